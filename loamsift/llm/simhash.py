@@ -1,13 +1,15 @@
 """SimHash near duplicates by meet-in-the-middle ball hashing.
 
-Each document has ``TABLES`` fingerprints of 64 bits over its words. Two
+Each document has ``TABLES`` fingerprints of ``BITS`` bits over its words. Two
 fingerprints at a distance of at most ``RADIUS`` have a middle within half of
 it from both, so every fingerprint emits all its variants within
 ``RADIUS // 2`` bits; equal variants meet in a shuffle. All that meet in one
 variant are within the radius of each other, so each is paired with the least
-and the greatest of them only; pairs are made distinct and then verified, by
-the distance of the fingerprints and by a 128-bit SimHash of neighbouring
-words. Verified pairs are joined to groups.
+and the greatest of them, and with the least of those that also share a
+min-hash label, by which copies find each other among many unlike documents.
+Pairs are made distinct and then verified, by the distance of the fingerprints
+and by a 128-bit SimHash of runs of three words. Verified pairs are joined to
+groups.
 
 Defined results: null texts and texts without words belong to no group and
 stay; equal texts always share a group; of a group the least id stays, null
@@ -28,11 +30,13 @@ from loamsift.llm.common import mix, partitions, q, slices, table
 from loamsift.operators.components import connected_components
 from loamsift.session import materialize
 
-TABLES = 4
+TABLES = 8
+BITS = 48
 RADIUS = 2
-PAIR_BITS = 38  # of 128: a cosine of 0.59 over pairs of neighbouring words
+RUN_BITS = 40  # of 128: a cosine of 0.56 over runs of three words
 ROWS_A_PARTITION = 2_000_000
 CHUNK = 1 << 16
+LOW = np.uint64(2**BITS - 1)
 FIELDS = [f"f{i}" for i in range(TABLES)] + ["s0", "s1"]
 
 
@@ -40,12 +44,12 @@ class Signs(dict):
     """Word to a row of +1 and -1, one for each bit of all tables; and the word's hash."""
 
     def __init__(self, most: int = 100_000):
-        self.most, self.rows, self.hash = most, np.empty((most, 64 * TABLES), np.int8), np.empty(most, np.uint64)
+        self.most, self.rows, self.hash = most, np.empty((most, BITS * TABLES), np.int8), np.empty(most, np.uint64)
         self.fresh: list[bytes] = []
 
     def __missing__(self, word: str) -> int:
         b = word.encode("utf-8", "surrogatepass")
-        self.fresh.append(b"".join(xxhash.xxh3_128_digest(b, seed=s) for s in range(TABLES // 2)))
+        self.fresh.append(b"".join(xxhash.xxh3_128_digest(b, seed=s) for s in range(-(-BITS * TABLES // 128)))[: BITS * TABLES // 8])
         v = self[word] = len(self)
         return v
 
@@ -78,37 +82,46 @@ def _sums(rows_of, n_tokens: int, owner: np.ndarray, n_docs: int, width: int) ->
 
 
 def _bits(x: np.ndarray) -> np.ndarray:
-    return np.packbits(x > 0, axis=1).view(np.int64)
+    return np.packbits(x > 0, axis=1).view(np.uint64)
 
 
 def fingerprint(texts: list[str | None], signs: Signs) -> tuple[np.ndarray, np.ndarray]:
-    """(n, TABLES + 2) of 64-bit fingerprints, and which texts have words."""
+    """(n, TABLES + 2) of 64-bit values, and which texts have words.
+
+    The first TABLES hold a fingerprint in their low BITS and a label in the
+    bits above; the last two are the SimHash of runs of three words.
+    """
     words = [t.lower().split() if t else [] for t in texts]
     sizes = np.array([len(w) for w in words], np.int64)
     n, total = len(texts), int(sizes.sum())
+    out = np.zeros((n, TABLES + 2), np.uint64)
+    if not total:
+        return out, sizes > 0
     ids = np.fromiter((signs[w] for ws in words for w in ws), np.int64, total)
     signs.settle()
     owner = np.repeat(np.arange(n), sizes)
-    uni = _sums(lambda a, b: signs.rows[ids[a:b]], total, owner, n, 64 * TABLES)
+    uni = _sums(lambda a, b: signs.rows[ids[a:b]], total, owner, n, BITS * TABLES)
+    padded = np.zeros((n, TABLES, 64), np.int64)
+    padded[:, :, :BITS] = uni.reshape(n, TABLES, BITS)
+    prints = (np.packbits(padded > 0, axis=2, bitorder="little").view(np.uint64))[:, :, 0]
     h = signs.hash[ids]
-    after = np.zeros_like(h)
-    same = owner[1:] == owner[:-1]
-    after[:-1][same] = h[1:][same]
-    pair = mix(h * np.uint64(0x9E3779B97F4A7C15) + after)
-    use = np.ones(total, bool)  # the last word has no pair, unless it is alone
-    use[:-1] = same
-    if total:
-        use[-1] = False
-        use[(np.cumsum(sizes) - 1)[sizes == 1]] = True
-    pair, own = pair[use], owner[use]
-
-    def pair_rows(a, b):
-        x = np.empty((len(pair[a:b]), 2), np.uint64)
-        x[:, 0], x[:, 1] = pair[a:b], mix(pair[a:b] + np.uint64(0xD1B54A32D192ED03))
+    starts = np.maximum(sizes - 2, np.minimum(sizes, 1))
+    own = np.repeat(np.arange(n), starts)
+    at = np.arange(len(own)) - np.repeat(np.cumsum(starts) - starts, starts) + (np.cumsum(sizes) - sizes)[own]
+    end = (np.cumsum(sizes) - 1)[own]
+    run = mix(mix(h[at] * np.uint64(0x9E3779B97F4A7C15) + h[np.minimum(at + 1, end)]) * np.uint64(0xC2B2AE3D27D4EB4F) + h[np.minimum(at + 2, end)])
+
+    def run_rows(a, b):
+        x = np.empty((len(run[a:b]), 2), np.uint64)
+        x[:, 0], x[:, 1] = run[a:b], mix(run[a:b] + np.uint64(0xD1B54A32D192ED03))
         return (np.unpackbits(x.view(np.uint8), axis=1) << 1).astype(np.int8) - 1
 
-    two = _sums(pair_rows, len(pair), own, n, 128)
-    return np.concatenate([_bits(uni), _bits(two)], axis=1), sizes > 0
+    out[:, TABLES:] = _bits(_sums(run_rows, len(run), own, n, 128))
+    full, first = np.flatnonzero(sizes), np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+    for t in range(TABLES):
+        least = np.minimum.reduceat(run * (mix(np.full(1, t + 1, np.uint64)) | np.uint64(1)), first)
+        out[full, t] = prints[full, t] | mix(least) >> np.uint64(BITS) << np.uint64(BITS)
+    return out, sizes > 0
 
 
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -121,8 +134,8 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             signs.forget()
             g = np.zeros(len(f), np.uint64)
             for k in range(f.shape[1]):
-                g = mix(g * np.uint64(31) + f[:, k].view(np.uint64) + np.uint64(k + 1))
-            cols = [b.column("rid"), b.column("doc_id"), pa.array(g.view(np.int64)), *(pa.array(np.ascontiguousarray(f[:, k])) for k in range(f.shape[1]))]
+                g = mix(g * np.uint64(31) + f[:, k] + np.uint64(k + 1))
+            cols = [b.column("rid"), b.column("doc_id"), pa.array(g.view(np.int64)), *(pa.array(np.ascontiguousarray(f[:, k]).view(np.int64)) for k in range(f.shape[1]))]
             yield pa.RecordBatch.from_arrays(cols, ["rid", "doc_id", "gid", *FIELDS]).filter(pa.array(ok))
 
     kept = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(q(id_col)).cast("long").alias("doc_id"), F.col(q(text_col)).cast("string").alias("text"))
@@ -130,10 +143,10 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def masks(radius: int) -> np.ndarray:
-    """All 64-bit masks of at most ``radius`` bits."""
+    """All masks of BITS bits with at most ``radius`` of them set."""
     out, layer = [0], [(0, -1)]
     for _ in range(radius):
-        layer = [(m | 1 << k, k) for m, last in layer for k in range(last + 1, 64)]
+        layer = [(m | 1 << k, k) for m, last in layer for k in range(last + 1, BITS)]
         out += [m for m, _ in layer]
     return np.array(out, np.uint64)
 
@@ -144,12 +157,17 @@ def _emit(n_parts: int, radius: int):
 
     def run(batches):
         for b in batches:
-            for at in range(0, b.num_rows, 4096):
-                part = b.slice(at, 4096)
+            for at in range(0, b.num_rows, 2048):
+                part = b.slice(at, 2048)
                 gid = part.column("gid").to_numpy().view(np.uint64)
-                key = np.concatenate([mix((part.column(f"f{t}").to_numpy().view(np.uint64)[:, None] ^ ball).ravel() ^ salt[t]) for t in range(TABLES)])
+                key = []
+                for t in range(TABLES):
+                    f = part.column(f"f{t}").to_numpy().view(np.uint64)
+                    variants = mix(((f & LOW)[:, None] ^ ball).ravel() ^ salt[t])
+                    key.append(variants & LOW << np.uint64(64 - BITS) | np.repeat(f >> np.uint64(BITS), len(ball)))
+                key = np.concatenate(key)
                 who = np.tile(np.repeat(gid, len(ball)), TABLES)
-                to = (key >> np.uint64(33)) % np.uint64(n_parts)
+                to = (key >> np.uint64(64 - BITS)) % np.uint64(n_parts)
                 order = np.argsort(to.astype(np.int32), kind="stable")
                 key, who, to = key[order], who[order], to[order]
                 first = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]]))
@@ -159,6 +177,18 @@ def _emit(n_parts: int, radius: int):
     return run
 
 
+def _stars(key: np.ndarray, gid: np.ndarray, centers: tuple) -> np.ndarray:
+    """(2, n) pairs of each member of a run of equal keys with the run's centers."""
+    first = np.concatenate([[True], key[1:] != key[:-1]])
+    last = np.concatenate([first[1:], [True]])
+    keep = ~(first & last)
+    gid, first = gid[keep], np.flatnonzero(first[keep])
+    if not len(gid):
+        return np.empty((2, 0), np.int64)
+    size = np.diff(np.concatenate([first, [len(gid)]]))
+    return np.concatenate([np.stack([np.repeat(m.reduceat(gid, first), size), gid]) for m in centers], axis=1)
+
+
 def _meet(batches):
     keys, gids = [], []
     for b in batches:
@@ -170,29 +200,25 @@ def _meet(batches):
     del keys, gids
     order = np.argsort(key)
     key, gid = key[order], gid[order]
-    first = np.concatenate([[True], key[1:] != key[:-1]])
-    last = np.concatenate([first[1:], [True]])
-    keep = ~(first & last)
-    gid, first = gid[keep], np.flatnonzero(first[keep])
-    if not len(gid):
+    pairs = [_stars(key >> np.uint64(64 - BITS), gid, (np.minimum, np.maximum)), _stars(key, gid, (np.minimum,))]
+    pairs = np.concatenate(pairs, axis=1)
+    if not pairs.shape[1]:
         return
-    size = np.diff(np.concatenate([first, [len(gid)]]))
-    pairs = np.concatenate([np.stack([np.repeat(m.reduceat(gid, first), size), gid]) for m in (np.minimum, np.maximum)], axis=1)
     pairs = np.unique(np.sort(pairs[:, pairs[0] != pairs[1]], axis=0), axis=1)
     for k in range(0, pairs.shape[1], 100_000):
         yield pa.RecordBatch.from_arrays([pa.array(pairs[0, k : k + 100_000]), pa.array(pairs[1, k : k + 100_000])], ["a", "b"])
 
 
-def verified_pairs(distinct: DataFrame, radius: int = RADIUS, pair_bits: int = PAIR_BITS) -> DataFrame:
+def verified_pairs(distinct: DataFrame, radius: int = RADIUS, run_bits: int = RUN_BITS) -> DataFrame:
     """(a, b) gids whose fingerprints collide and verify."""
     n_parts = max(partitions(distinct.sparkSession), distinct.count() * TABLES * len(masks(radius // 2)) // ROWS_A_PARTITION)
     blobs = distinct.mapInArrow(_emit(n_parts, radius), "to int, keys binary, gids binary")
     met = blobs.repartition(n_parts, "to").mapInArrow(_meet, "a long, b long").distinct()
     left = distinct.select(F.col("gid").alias("a"), *(F.col(c).alias(f"a_{c}") for c in FIELDS))
     right = distinct.select(F.col("gid").alias("b"), *(F.col(c).alias(f"b_{c}") for c in FIELDS))
-    apart = lambda c: F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}")))
-    near = F.least(*(apart(f"f{t}") for t in range(TABLES))) <= radius
-    return met.join(left, "a").join(right, "b").where(near & (apart("s0") + apart("s1") <= pair_bits)).select("a", "b")
+    apart = lambda c, low=-1: F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}")).bitwiseAND(F.lit(low).cast("long")))
+    near = F.least(*(apart(f"f{t}", 2**BITS - 1) for t in range(TABLES))) <= radius
+    return met.join(left, "a").join(right, "b").where(near & (apart("s0") + apart("s1") <= run_bits)).select("a", "b")
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -120,13 +120,11 @@ def near_corpus(seed, n=60):
 def test_groups_hold_against_brute_force(spark):
     texts, _ = near_corpus(4)
     f, _ = SH.fingerprint(texts, SH.Signs())
-    apart = lambda a, b: bin(int(a) ^ int(b) & 2**64 - 1 if a >= 0 else (int(a) & 2**64 - 1) ^ (int(b) & 2**64 - 1)).count("1")
-    u = f.view(np.uint64)
     close = set()
     for i in range(len(texts)):
         for j in range(i):
-            d = [bin(int(a) ^ int(b)).count("1") for a, b in zip(u[i], u[j])]
-            if min(d[: SH.TABLES]) <= SH.RADIUS and d[-2] + d[-1] <= SH.PAIR_BITS:
+            d = [bin((int(a) ^ int(b)) & (2**SH.BITS - 1 if k < SH.TABLES else 2**64 - 1)).count("1") for k, (a, b) in enumerate(zip(f[i], f[j]))]
+            if min(d[: SH.TABLES]) <= SH.RADIUS and d[-2] + d[-1] <= SH.RUN_BITS:
                 close.add((j, i))
     rows = SH.groups(frame(spark, texts)).collect()
     head = {r.doc_id: r.kept_doc_id for r in rows}
@@ -154,7 +152,7 @@ def test_planted_near_copies_are_found_and_others_left(spark):
 
 def test_masks_and_meeting():
     m = SH.masks(2)
-    assert len(m) == 1 + 64 + 2016 == len(set(m.tolist())) and max(bin(int(x)).count("1") for x in m) == 2
+    assert len(m) == 1 + SH.BITS + SH.BITS * (SH.BITS - 1) // 2 == len(set(m.tolist())) and max(bin(int(x)).count("1") for x in m) == 2
 
 
 def test_near_duplicate_edges(spark):
