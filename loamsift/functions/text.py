@@ -13,10 +13,19 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), r"(?U)\s+"), lambda w: w != "")
 
 
+def let(value: Column, f) -> Column:
+    """f of a value that is computed once: a name inside a lambda isn't expanded again for every use of it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def shingles(text: Column, n: int = NGRAM) -> Column:
     """The distinct runs of n words, joined by spaces; all words together where there are fewer than n; none for no words."""
-    w = words(text)
-    return F.when(F.size(w) == 0, F.array().cast("array<string>")).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(w) - (n - 1))), lambda i: F.array_join(F.slice(w, i, n), " "))))
+
+    def runs(w: Column) -> Column:
+        at = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(w) - (n - 1)))
+        return F.when(F.size(w) == 0, F.array().cast("array<string>")).otherwise(F.array_distinct(F.transform(at, lambda i: F.array_join(F.slice(w, i, n), " "))))
+
+    return let(words(text), runs)
 
 
 def jaccard(a: Column, b: Column) -> Column:
