@@ -1,15 +1,17 @@
 """SimHash near duplicates by meet-in-the-middle ball hashing.
 
-Each document has ``TABLES`` fingerprints of ``BITS`` bits over its words. Two
+Each document has ``TABLES`` fingerprints of ``BITS`` bits over its words, a
+word that occurs n times having the weight of n's square root. Two
 fingerprints at a distance of at most ``RADIUS`` have a middle within half of
 it from both, so every fingerprint emits all its variants within
-``RADIUS // 2`` bits; equal variants meet in a shuffle. All that meet in one
-variant are within the radius of each other, so each is paired with the least
-and the greatest of them, and with the least of those that also share a
-min-hash label, by which copies find each other among many unlike documents.
-Pairs are made distinct and then verified, by the distance of the fingerprints
-and by a 128-bit SimHash of runs of three words. Verified pairs are joined to
-groups.
+``RADIUS // 2`` bits; equal variants meet in a shuffle. Variants with the same
+members are one set, and sets are made distinct. Every set is then verified by
+a 128-bit SimHash of runs of three words: what its verified pairs connect is
+found exactly, by a search in which each member that was reached is held
+against all that weren't. The edges by which it reached them join documents to groups.
+
+``BITS`` has to grow with the corpus, by about two for each factor of four: at
+36 bits, unrelated documents meet at a rate of 667 / 2**36 for each pair.
 
 Defined results: null texts and texts without words belong to no group and
 stay; equal texts always share a group; of a group the least id stays, null
@@ -30,13 +32,12 @@ from loamsift.llm.common import mix, partitions, q, slices, table
 from loamsift.operators.components import connected_components
 from loamsift.session import materialize
 
-TABLES = 8
-BITS = 48
+TABLES = 10
+BITS = 36
 RADIUS = 2
 RUN_BITS = 40  # of 128: a cosine of 0.56 over runs of three words
 ROWS_A_PARTITION = 2_000_000
-CHUNK = 1 << 16
-LOW = np.uint64(2**BITS - 1)
+CHUNK = 1 << 14
 FIELDS = [f"f{i}" for i in range(TABLES)] + ["s0", "s1"]
 
 
@@ -49,7 +50,7 @@ class Signs(dict):
 
     def __missing__(self, word: str) -> int:
         b = word.encode("utf-8", "surrogatepass")
-        self.fresh.append(b"".join(xxhash.xxh3_128_digest(b, seed=s) for s in range(-(-BITS * TABLES // 128)))[: BITS * TABLES // 8])
+        self.fresh.append(b"".join(xxhash.xxh3_128_digest(b, seed=s) for s in range(-(-BITS * TABLES // 128))))
         v = self[word] = len(self)
         return v
 
@@ -62,7 +63,7 @@ class Signs(dict):
                 self.rows = np.concatenate([self.rows, np.empty_like(self.rows)])
                 self.hash = np.concatenate([self.hash, np.empty_like(self.hash)])
             raw = np.frombuffer(b"".join(self.fresh), np.uint8).reshape(n, -1)
-            self.rows[at : at + n] = (np.unpackbits(raw, axis=1) << 1).astype(np.int8) - 1
+            self.rows[at : at + n] = (np.unpackbits(raw, axis=1, count=BITS * TABLES) << 1).astype(np.int8) - 1
             self.hash[at : at + n] = raw[:, :8].copy().view(np.uint64)[:, 0]
             self.fresh.clear()
 
@@ -88,8 +89,8 @@ def _bits(x: np.ndarray) -> np.ndarray:
 def fingerprint(texts: list[str | None], signs: Signs) -> tuple[np.ndarray, np.ndarray]:
     """(n, TABLES + 2) of 64-bit values, and which texts have words.
 
-    The first TABLES hold a fingerprint in their low BITS and a label in the
-    bits above; the last two are the SimHash of runs of three words.
+    The first TABLES hold a fingerprint in their low BITS; the last two are the
+    SimHash of runs of three words.
     """
     words = [t.lower().split() if t else [] for t in texts]
     sizes = np.array([len(w) for w in words], np.int64)
@@ -100,10 +101,13 @@ def fingerprint(texts: list[str | None], signs: Signs) -> tuple[np.ndarray, np.n
     ids = np.fromiter((signs[w] for ws in words for w in ws), np.int64, total)
     signs.settle()
     owner = np.repeat(np.arange(n), sizes)
-    uni = _sums(lambda a, b: signs.rows[ids[a:b]], total, owner, n, BITS * TABLES)
-    padded = np.zeros((n, TABLES, 64), np.int64)
-    padded[:, :, :BITS] = uni.reshape(n, TABLES, BITS)
-    prints = (np.packbits(padded > 0, axis=2, bitorder="little").view(np.uint64))[:, :, 0]
+    each, count = np.unique(owner << 32 | ids, return_counts=True)
+    weight = np.rint(16 * np.sqrt(count)).astype(np.int16)
+    word = each & 0xFFFFFFFF
+    uni = _sums(lambda a, b: signs.rows[word[a:b]] * weight[a:b, None], len(each), each >> 32, n, BITS * TABLES)
+    padded = np.zeros((n, TABLES, 64), bool)
+    padded[:, :, :BITS] = uni.reshape(n, TABLES, BITS) > 0
+    out[:, :TABLES] = np.packbits(padded, axis=2, bitorder="little").view(np.uint64)[:, :, 0]
     h = signs.hash[ids]
     starts = np.maximum(sizes - 2, np.minimum(sizes, 1))
     own = np.repeat(np.arange(n), starts)
@@ -117,10 +121,6 @@ def fingerprint(texts: list[str | None], signs: Signs) -> tuple[np.ndarray, np.n
         return (np.unpackbits(x.view(np.uint8), axis=1) << 1).astype(np.int8) - 1
 
     out[:, TABLES:] = _bits(_sums(run_rows, len(run), own, n, 128))
-    full, first = np.flatnonzero(sizes), np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-    for t in range(TABLES):
-        least = np.minimum.reduceat(run * (mix(np.full(1, t + 1, np.uint64)) | np.uint64(1)), first)
-        out[full, t] = prints[full, t] | mix(least) >> np.uint64(BITS) << np.uint64(BITS)
     return out, sizes > 0
 
 
@@ -163,11 +163,10 @@ def _emit(n_parts: int, radius: int):
                 key = []
                 for t in range(TABLES):
                     f = part.column(f"f{t}").to_numpy().view(np.uint64)
-                    variants = mix(((f & LOW)[:, None] ^ ball).ravel() ^ salt[t])
-                    key.append(variants & LOW << np.uint64(64 - BITS) | np.repeat(f >> np.uint64(BITS), len(ball)))
+                    key.append(mix((f[:, None] ^ ball).ravel() ^ salt[t]))
                 key = np.concatenate(key)
                 who = np.tile(np.repeat(gid, len(ball)), TABLES)
-                to = (key >> np.uint64(64 - BITS)) % np.uint64(n_parts)
+                to = key % np.uint64(n_parts)
                 order = np.argsort(to.astype(np.int32), kind="stable")
                 key, who, to = key[order], who[order], to[order]
                 first = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]]))
@@ -177,55 +176,90 @@ def _emit(n_parts: int, radius: int):
     return run
 
 
-def _stars(key: np.ndarray, gid: np.ndarray, centers: tuple) -> np.ndarray:
-    """(2, n) pairs of each member of a run of equal keys with the run's centers."""
-    first = np.concatenate([[True], key[1:] != key[:-1]])
-    last = np.concatenate([first[1:], [True]])
-    keep = ~(first & last)
-    gid, first = gid[keep], np.flatnonzero(first[keep])
-    if not len(gid):
-        return np.empty((2, 0), np.int64)
-    size = np.diff(np.concatenate([first, [len(gid)]]))
-    return np.concatenate([np.stack([np.repeat(m.reduceat(gid, first), size), gid]) for m in centers], axis=1)
-
-
 def _meet(batches):
+    """(bucket, gid) of every variant that several fingerprints share; the bucket is a hash of its members."""
     keys, gids = [], []
     for b in batches:
         keys += [np.frombuffer(x, np.uint64) for x in b.column("keys").to_pylist()]
-        gids += [np.frombuffer(x, np.int64) for x in b.column("gids").to_pylist()]
+        gids += [np.frombuffer(x, np.uint64) for x in b.column("gids").to_pylist()]
     if not keys:
         return
     key, gid = np.concatenate(keys), np.concatenate(gids)
     del keys, gids
     order = np.argsort(key)
     key, gid = key[order], gid[order]
-    pairs = [_stars(key >> np.uint64(64 - BITS), gid, (np.minimum, np.maximum)), _stars(key, gid, (np.minimum,))]
-    pairs = np.concatenate(pairs, axis=1)
-    if not pairs.shape[1]:
+    first = np.concatenate([[True], key[1:] != key[:-1]])
+    keep = ~(first & np.concatenate([first[1:], [True]]))
+    gid, first = gid[keep], np.flatnonzero(first[keep])
+    if not len(gid):
         return
-    pairs = np.unique(np.sort(pairs[:, pairs[0] != pairs[1]], axis=0), axis=1)
-    for k in range(0, pairs.shape[1], 100_000):
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[0, k : k + 100_000]), pa.array(pairs[1, k : k + 100_000])], ["a", "b"])
+    members = np.add.reduceat(mix(gid), first)
+    size = np.diff(np.concatenate([first, [len(gid)]]))
+    _, one = np.unique(members, return_index=True)  # sets that several variants gave
+    keep = np.zeros(len(first), bool)
+    keep[one] = True
+    bucket, gid = np.repeat(members, size)[np.repeat(keep, size)], gid[np.repeat(keep, size)]
+    for k in range(0, len(gid), 100_000):
+        yield pa.RecordBatch.from_arrays([pa.array(bucket[k : k + 100_000].view(np.int64)), pa.array(gid[k : k + 100_000].view(np.int64))], ["bucket", "gid"])
+
+
+def spanning_edges(gid: np.ndarray, sketch: np.ndarray, most: int = RUN_BITS) -> list[tuple[int, int]]:
+    """Edges that connect exactly what pairs of sketches within ``most`` bits connect: a search that takes each member once."""
+    out, left = [], np.arange(len(gid))
+    while len(left) > 1:
+        reached, left = [int(left[0])], left[1:]
+        while reached and len(left):
+            at = reached.pop()
+            near = np.bitwise_count(sketch[left] ^ sketch[at]).sum(axis=1) <= most
+            found = left[near]
+            out += [(int(gid[at]), int(gid[k])) for k in found]
+            reached += found.tolist()
+            left = left[~near]
+    return out
+
+
+def _verify(most: int):
+    def run(batches):
+        held, gids, sketches = None, [], []
+
+        def edges():
+            e = spanning_edges(np.concatenate(gids), np.concatenate(sketches), most) if gids else []
+            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in e], pa.int64()), pa.array([x[1] for x in e], pa.int64())], ["a", "b"])
+
+        for b in batches:
+            bucket, gid = b.column("bucket").to_numpy(), b.column("gid").to_numpy()
+            sketch = np.stack([b.column(c).to_numpy().view(np.uint64) for c in ("s0", "s1")], axis=1)
+            cuts = [0, *(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1).tolist(), len(bucket)]
+            made = []
+            for i, j in zip(cuts, cuts[1:]):
+                if i == j:
+                    continue
+                if bucket[i] != held:
+                    made.append(edges())
+                    held, gids, sketches = bucket[i], [], []
+                gids.append(gid[i:j]), sketches.append(sketch[i:j])
+            made = [m for m in made if m.num_rows]
+            if made:
+                yield pa.Table.from_batches(made).combine_chunks().to_batches()[0]
+        yield edges()
+
+    return run
 
 
-def verified_pairs(distinct: DataFrame, radius: int = RADIUS, run_bits: int = RUN_BITS) -> DataFrame:
-    """(a, b) gids whose fingerprints collide and verify."""
+def verified_edges(distinct: DataFrame, radius: int = RADIUS, run_bits: int = RUN_BITS) -> DataFrame:
+    """(a, b) gids: verified pairs whose fingerprints collide, enough of them to connect all that such pairs connect."""
     n_parts = max(partitions(distinct.sparkSession), distinct.count() * TABLES * len(masks(radius // 2)) // ROWS_A_PARTITION)
     blobs = distinct.mapInArrow(_emit(n_parts, radius), "to int, keys binary, gids binary")
-    met = blobs.repartition(n_parts, "to").mapInArrow(_meet, "a long, b long").distinct()
-    left = distinct.select(F.col("gid").alias("a"), *(F.col(c).alias(f"a_{c}") for c in FIELDS))
-    right = distinct.select(F.col("gid").alias("b"), *(F.col(c).alias(f"b_{c}") for c in FIELDS))
-    apart = lambda c, low=-1: F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}")).bitwiseAND(F.lit(low).cast("long")))
-    near = F.least(*(apart(f"f{t}", 2**BITS - 1) for t in range(TABLES))) <= radius
-    return met.join(left, "a").join(right, "b").where(near & (apart("s0") + apart("s1") <= run_bits)).select("a", "b")
+    met = blobs.repartition(n_parts, "to").mapInArrow(_meet, "bucket long, gid long").distinct()
+    sketched = met.join(distinct.select("gid", "s0", "s1"), "gid").select("bucket", "gid", "s0", "s1")
+    return sketched.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_verify(run_bits), "a long, b long")
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(rid, doc_id, kept_doc_id, group_size, is_kept) of documents in groups of at least two."""
     s = materialize(signatures(docs, id_col, text_col), "signatures")
     distinct = materialize(s.select("gid", *FIELDS).dropDuplicates(["gid"]), "distinct")
-    parts = connected_components(verified_pairs(distinct), "a", "b")
+    parts = connected_components(verified_edges(distinct), "a", "b")
     named = s.select("rid", "doc_id", "gid").join(parts, F.col("gid") == F.col("id"), "left").select("rid", "doc_id", F.coalesce("component", "gid").alias("g"))
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")
     heads = named.groupBy("g").agg(F.min(rank).alias("head"), F.count("*").alias("group_size")).where("group_size > 1")
