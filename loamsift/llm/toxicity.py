@@ -7,8 +7,8 @@ a document's score is the sum over its clauses, so that words count by the
 clause in which they stand.
 
 The insult lexicon is a seed list and what a bounded sample of labelled rows
-adds to it (``max_labelled``); how much negated or reported insults count is
-learned from the same rows, from a prior at which they count little.
+adds to it (``max_labelled``); how much negated or reported insults count and
+from which score on a document is rejected are learned from the same rows.
 
 Defined results: null or empty texts score 0 and are never rejected; rows with
 a null id are scored like others; repeated rows are each scored; an empty
@@ -29,7 +29,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamsift.llm.common import pick, q, slices, table
+from loamsift.llm.common import pick, slices, table
+from loamsift.session import materialize
 
 SEED_INSULTS = "idiot idiots moron morons stupid loser losers scum trash worthless pathetic disgusting clown clowns imbecile dumbass bastard bastards vermin filth subhuman retard freak".split()
 THREATS = "kill murder hurt destroy strangle beat shoot stab punish exterminate".split()
@@ -40,8 +41,12 @@ TOKEN = re.compile(r"[^\W_]+(?:['’][^\W_]+)*|[\"“”«»]")
 CLAUSE_ENDS = ".!?;:\n"
 CLAUSE_END = re.compile(r"[.!?;:\n]+")
 REJECT_AT = 1.25
+REJECT_FROM = (1.0, 1.25, 1.5, 2.0)  # of these the least that rejects at most MAX_WRONG of at least MIN_CLEAN clean rows
+MAX_WRONG = 0.001
+MIN_CLEAN = 500
 MAX_LABELLED = 20_000
 MIN_CONTEXTS = 5
+CHANCE = 0.05  # words that chance alone may bring into the lexicon
 CONTEXT_SHARE = 0.15
 
 
@@ -176,26 +181,36 @@ def clauses_of(text: str, grammar: Grammar, automaton, machine: Composed) -> lis
     return found
 
 
+WORD = re.compile(r"[^\W_]+")
+
+
 def _label_counts(batches):
-    """For each word: toxic and clean documents with it, and hashes of its (previous, next) words in toxic ones."""
-    words = re.compile(r"[^\W_]+")
-    pos, neg, ctx = defaultdict(int), defaultdict(int), defaultdict(set)
+    """For each word: toxic and clean documents with it."""
+    pos, neg = defaultdict(int), defaultdict(int)
     for b in slices(batches):
         for text, toxic in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist()):
-            w = words.findall((text or "").lower())
-            if not toxic:
-                for x in set(w):
-                    neg[x] += 1
-                continue
-            for x in set(w):
-                pos[x] += 1
-            for a, x, c in zip(["", *w], w, [*w[1:], ""]):
-                if len(ctx[x]) < 512:
-                    ctx[x].add(xxhash.xxh3_64_intdigest(f"{a}\t{c}") >> 1)
+            into = pos if toxic else neg
+            for x in set(WORD.findall((text or "").lower())):
+                into[x] += 1
     names = list(pos.keys() | neg.keys())
     for k in range(0, len(names), 20_000):
         part = names[k : k + 20_000]
-        yield pa.RecordBatch.from_pydict({"word": part, "toxic_n": [pos[x] for x in part], "clean_n": [neg[x] for x in part], "contexts": pa.array([list(ctx[x]) if x in ctx else [] for x in part], pa.list_(pa.int64()))})
+        yield pa.RecordBatch.from_pydict({"word": part, "toxic_n": [pos[x] for x in part], "clean_n": [neg[x] for x in part]})
+
+
+def _contexts(wanted: frozenset):
+    """(word, hash of its previous and next word) of the wanted words in toxic documents."""
+
+    def run(batches):
+        for b in slices(batches):
+            found = set()
+            for text, toxic in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist()):
+                w = WORD.findall((text or "").lower()) if toxic else []
+                found |= {(x, xxhash.xxh3_64_intdigest(f"{a}\t{c}") >> 1) for a, x, c in zip(["", *w], w, [*w[1:], ""]) if x in wanted}
+            rows = list(found)
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64())], ["word", "context"])
+
+    return run
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> Grammar:
@@ -217,12 +232,15 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
     spark = docs.sparkSession
     sample = spark.createDataFrame(rows, "doc_id long, toxic boolean")
     texts = pick(docs).where("text IS NOT NULL").join(F.broadcast(sample), "doc_id").select("text", "toxic")  # max_labelled rows of 9 bytes
-    texts = texts.repartition(max(2, min(64, len(rows) // 1000)))
-    counts = texts.mapInArrow(_label_counts, "word string, toxic_n long, clean_n long, contexts array<long>")
-    each = counts.groupBy("word").agg(F.sum("toxic_n").alias("t"), F.sum("clean_n").alias("c"), F.array_distinct(F.flatten(F.collect_list("contexts"))).alias("x"))
+    texts = materialize(texts.repartition(max(2, min(64, len(rows) // 500))), "labelled")
+    counts = texts.mapInArrow(_label_counts, "word string, toxic_n long, clean_n long")
+    each = materialize(counts.groupBy("word").agg(F.sum("toxic_n").alias("t"), F.sum("clean_n").alias("c")), "words")
     rate = toxic / len(rows)
-    need = max(5, math.ceil(math.log(1e7) / -math.log(rate)))
-    learned = each.where((F.col("t") >= need) & (F.col("c") <= 0.02 * F.col("t")) & (F.size("x") >= MIN_CONTEXTS) & (F.size("x") >= CONTEXT_SHARE * F.col("t")) & (F.length("word") >= 3) & ~F.col("word").rlike("[0-9]")).select("word").collect()
+    tried = each.where(F.col("t") + F.col("c") >= 5).count()
+    need = max(5, math.ceil(math.log(max(1, tried) / CHANCE) / -math.log(rate)))
+    often = {r.word: r.t for r in each.where((F.col("t") >= need) & (F.col("c") <= 0.02 * F.col("t")) & (F.length("word") >= 3) & ~F.col("word").rlike("[0-9]")).select("word", "t").collect()}
+    around = texts.mapInArrow(_contexts(frozenset(often)), "word string, context long").distinct().groupBy("word").count().collect() if often else []
+    learned = [r for r in around if r["count"] >= max(MIN_CONTEXTS, CONTEXT_SHARE * often[r.word])]
     g = Grammar()
     for r in learned:
         g.insults[r.word] = 1.0
@@ -239,6 +257,17 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
     for kind, name, prior in (("i", "negated", (1, 3)), ("J", "reported", (1, 1))):
         if kind in by:
             setattr(g, name, (prior[0] + by[kind].toxic) / (sum(prior) + by[kind].toxic + by[kind].clean))
+
+    def scores(batches):
+        a, m = g.automaton(), g.machine()
+        for b in slices(batches):
+            yield pa.RecordBatch.from_arrays([b.column("toxic"), pa.array([sum(x[2] for x in clauses_of(t, g, a, m)) for t in b.column("text").to_pylist()], pa.float64())], ["toxic", "score"])
+
+    at = texts.mapInArrow(scores, "toxic boolean, score double")
+    over = at.agg(F.count_if(~F.col("toxic")).alias("clean"), *(F.count_if(~F.col("toxic") & (F.col("score") >= t)).alias(f"wrong{k}") for k, t in enumerate(REJECT_FROM)), *(F.count_if(F.col("toxic") & (F.col("score") >= t)).alias(f"right{k}") for k, t in enumerate(REJECT_FROM))).first()
+    fine = [t for k, t in enumerate(REJECT_FROM) if over[f"wrong{k}"] <= MAX_WRONG * over["clean"] and over[f"right{k}"] >= 10 * over[f"wrong{k}"]]
+    if over["clean"] >= MIN_CLEAN:
+        g.reject_at = fine[0] if fine else REJECT_FROM[-1]
     return g
 
 
