@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from loamsift.functions.text import let
+
 
 def _sum(x: Column) -> Column:
     return F.aggregate(x, F.lit(0.0), lambda s, v: s + v)
@@ -25,8 +27,7 @@ def norm(v: Column) -> Column:
 
 def normalize(v: Column) -> Column:
     """The vector at length 1; a zero vector stays."""
-    n = norm(v)
-    return F.when(n > 0, F.transform(_double(v), lambda x: x / n)).otherwise(_double(v))
+    return let(_double(v), lambda d: let(norm(d), lambda n: F.when(n > 0, F.transform(d, lambda x: x / n)).otherwise(d)))
 
 
 def euclidean(a: Column, b: Column) -> Column:

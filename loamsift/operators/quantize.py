@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loamsift.functions.text import let
+
 #: Quantiles of the normal distribution, scaled to [-1, 1].
 NF4 = (-1.0, -0.6961928009986877, -0.5250730514526367, -0.39491748809814453, -0.28444138169288635, -0.18477343022823334, -0.09105003625154495, 0.0, 0.07958029955625534, 0.16093020141124725, 0.24611230194568634, 0.33791524171829224, 0.44070982933044434, 0.5626170039176941, 0.7229568362236023, 1.0)
 GROUP = 64
@@ -103,11 +105,10 @@ def quantization_errors(df: DataFrame, method: str = "int8", id_col: str = "vec_
         for part in exclude:
             df = df.where(~F.contains(F.col(f"`{name_col}`"), F.lit(part)))
     if method in ("int8", "dynamic_int8"):
-        s = int8_scale(v)
-        return errors(df, v, from_int8(int8(v, s), s), 8.0, id_col)
+        return errors(df, v, let(int8_scale(v), lambda s: from_int8(int8(v, s), s)), 8.0, id_col)
     if method == "int4":
         low, step = int4_range(v)
-        return errors(df, v, from_int4(int4(v, low, step), low, step), 4.0, id_col)
+        return errors(df, v, let(low, lambda a: let(step, lambda b: from_int4(int4(v, a, b), a, b))), 4.0, id_col)
     if method == "nf4":
         s = nf4_scales(v)
         d = df.select(id_col, v.alias("v"), s.alias("s"))

@@ -218,13 +218,13 @@ def bloom_memory_model(spark, sf_dir):
 # vectors
 
 
-@query("WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), l AS (SELECT first(e ORDER BY vec_id) AS z FROM v) SELECT vec_id, round(sqrt(list_dot_product(e, e)), 6) AS norm, round(1 - list_dot_product(e, z), 6) AS cosine_distance, round(list_distance(e, z), 6) AS euclidean FROM v, l")
+@query("WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), l AS (SELECT first(e ORDER BY vec_id) AS z FROM v) SELECT vec_id, round(sqrt(list_dot_product(e, e)), 6) AS norm, round(1 - list_dot_product(e, z), 6) + 0.0 AS cosine_distance, round(list_distance(e, z), 6) AS euclidean FROM v, l")
 def vector_functions(spark, sf_dir):
     """Norm of every vector, and its distances to the first."""
     e = _t(spark, sf_dir, "embeddings")
     z = e.agg(F.min_by("embedding", "vec_id").alias("z"))  # one row
     v = F.col("embedding")
-    return e.crossJoin(F.broadcast(z)).select("vec_id", F.round(norm(v), 6).alias("norm"), F.round(cosine_distance(v, F.col("z")), 6).alias("cosine_distance"), F.round(euclidean(v, F.col("z")), 6).alias("euclidean"))
+    return e.crossJoin(F.broadcast(z)).select("vec_id", F.round(norm(v), 6).alias("norm"), (F.round(cosine_distance(v, F.col("z")), 6) + 0.0).alias("cosine_distance"), F.round(euclidean(v, F.col("z")), 6).alias("euclidean"))
 
 
 @query(S.DOTS + "SELECT id_a AS query_id, id_b AS doc_id, similarity, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY id_a ORDER BY similarity DESC, id_b) AS rank FROM s WHERE id_a <> id_b) WHERE rank <= 10")
