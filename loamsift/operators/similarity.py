@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from loamsift.functions.vectors import normalize
 
 BLOCK_ROWS = 4096
+SLAB_ROWS = 512
 DIGITS = 6
 PAIR = "id_a long, id_b long, similarity double"
 
@@ -130,8 +131,12 @@ def knn_pairs(df: DataFrame, threshold: float, k: int = 10, id_col: str = "vec_i
     return near.where((F.col("doc_id") > F.col("query_id")) & (F.col("similarity") >= threshold)).select(F.col("query_id").alias("id_a"), F.col("doc_id").alias("id_b"), "similarity")
 
 
-def approximate_top_k(df: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", tables: int = 16, planes: int = 6, dim: int = 64, seed: int = 42) -> DataFrame:
-    """As ``top_k``, by random hyperplanes: vectors that share a bucket of any table are ranked exactly."""
+def approximate_top_k(df: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", tables: int = 64, planes: int = 6, dim: int = 64, seed: int = 42) -> DataFrame:
+    """As ``top_k``, by random hyperplanes: vectors that share a bucket of any table are ranked exactly.
+
+    Each bucket is a matrix product that gives k for each of its vectors, so
+    what is shuffled grows with vectors times tables and not with pairs.
+    """
     planes_of = np.random.default_rng(seed).standard_normal((tables * planes, dim))
     weights = 1 << np.arange(planes)
 
@@ -139,12 +144,35 @@ def approximate_top_k(df: DataFrame, k: int, id_col: str = "vec_id", vector_col:
         for b in batches:
             m = np.array(b.column("v").to_pylist(), np.float64).reshape(b.num_rows, dim)
             code = ((m @ planes_of.T > 0).reshape(-1, tables, planes) * weights).sum(axis=2) + np.arange(tables) * (1 << planes)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column("id").to_numpy(), tables)), pa.array(code.ravel().astype(np.int64))], ["id", "bucket"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("v"), pa.array(list(code.astype(np.int64)), pa.list_(pa.int64()))], ["id", "v", "buckets"])
+
+    def flush(ids, m):
+        order = np.argsort(ids, kind="stable")
+        ids, m = ids[order], m[order]
+        for at in range(0, len(ids), SLAB_ROWS):
+            s = np.round(m[at : at + SLAB_ROWS] @ m.T, DIGITS)
+            s[ids[at : at + SLAB_ROWS, None] == ids] = -np.inf
+            best = np.argsort(-s, axis=1, kind="stable")[:, :k]
+            x, y, w = np.repeat(ids[at : at + SLAB_ROWS], best.shape[1]), ids[best.ravel()], np.take_along_axis(s, best, 1).ravel()
+            other = x != y
+            yield _batch(x[other], y[other], w[other])
+
+    def rank(batches):
+        bucket, held = None, []
+        for b in batches:
+            own, ids = (b.column(c).to_numpy() for c in ("bucket", "id"))
+            m = b.column("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+            cuts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else []
+            for a, e in zip(cuts, [*cuts[1:], len(own)]):
+                if own[a] != bucket:
+                    if held:
+                        yield from flush(*map(np.concatenate, zip(*held)))
+                    bucket, held = own[a], []
+                held.append((ids[a:e], m[a:e]))
+        if held:
+            yield from flush(*map(np.concatenate, zip(*held)))
 
     v = _vectors(df, id_col, vector_col)
-    keys = v.mapInArrow(run, "id long, bucket long")
-    met = keys.select("bucket", F.col("id").alias("query_id")).join(keys.select("bucket", F.col("id").alias("doc_id")), "bucket").where("query_id <> doc_id").select("query_id", "doc_id").distinct()
-    from loamsift.functions.vectors import dot
-
-    both = met.join(v.select(F.col("id").alias("query_id"), F.col("v").alias("x")), "query_id").join(v.select(F.col("id").alias("doc_id"), F.col("v").alias("y")), "doc_id")
-    return _nearest(both.select("query_id", "doc_id", F.round(dot(F.col("x"), F.col("y")), DIGITS).alias("similarity")), k)
+    keys = v.mapInArrow(run, "id long, v array<double>, buckets array<long>").select(F.explode("buckets").alias("bucket"), "id", "v")
+    met = keys.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(rank, PAIR)
+    return _nearest(met.select(F.col("id_a").alias("query_id"), F.col("id_b").alias("doc_id"), "similarity").distinct(), k)

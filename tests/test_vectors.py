@@ -8,6 +8,7 @@ from loamsift.operators.minhash import signatures
 from loamsift.operators.semantic import embedded, estimated_pairs, hybrid_keep, semantic_keep
 from loamsift.operators.similarity import all_pairs, approximate_top_k, knn_pairs, range_search, top_k
 from loamsift.plans.config import DedupConfig, HybridConfig, SemanticConfig
+from loamsift.plans.queries import QUERIES
 from tests.test_text_and_minhash import corpus, frame
 
 
@@ -49,6 +50,15 @@ def test_approximate_recall(spark):
     assert len(exact & near) >= 0.9 * len(exact)
 
 
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_registered_approximate_recall(spark, sf):
+    d = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet")
+    exact = {(r.query_id, r.doc_id): r.similarity for r in top_k(d, 10).collect()}
+    near = {(r.query_id, r.doc_id): r.similarity for r in QUERIES["ann_lsh_topk"](spark, f"/root/testdata/{sf}").collect()}
+    assert len(near) == len(exact) and len(exact.keys() & near.keys()) >= 0.9 * len(exact)
+    assert all(near[p] == pytest.approx(exact[p], abs=2e-6) for p in exact.keys() & near.keys())
+
+
 def plain_greedy(n, edges):
     kept = []
     for i in range(n):
