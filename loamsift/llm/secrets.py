@@ -50,6 +50,7 @@ NAMES = ("passw", "pwd", "passphrase", "secret", "token", "api", "access", "auth
 PERCENT = re.compile(r"(?<![\w.~+/=%-])[\w.~+/=-]*(?:%[0-9A-Fa-f]{2}[\w.~+/=-]*)+")
 HAS_PERCENT = re.compile(r"%[0-9A-Fa-f]{2}")
 ESCAPE = re.compile(r"\\u\{[0-9a-fA-F]{1,6}\}|\\u[0-9a-fA-F]{4}|\\x[0-9a-fA-F]{2}|&#[xX]?[0-9a-fA-F]{1,7};")
+SPACE = re.compile(r"\s")
 BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}(?![A-Za-z0-9+/_=-])")
 MIXED = re.compile(r"(?=.*[A-Z])(?=.*[a-z0-9])")
 MAGIC = ((b"\x1f\x8b", "gzip"), (b"\x28\xb5\x2f\xfd", "zstd"), (b"BZh", "bzip2"), (b"\xfd7zXZ", "xz"), (b"\x78\x01", "zlib"), (b"\x78\x5e", "zlib"), (b"\x78\x9c", "zlib"), (b"\x78\xda", "zlib"))
@@ -130,19 +131,14 @@ def decodings(text: str):
     if "\\u" in text or "\\x" in text or "&#" in text:
         found = list(ESCAPE.finditer(text))
         k = 0
-        while k < len(found):  # escapes with fewer than 65 characters between them, and no white space, belong together
-            j = k
-            while j + 1 < len(found) and found[j + 1].start() - found[j].end() <= 64 and not re.search(r"\s", text[found[j].end() : found[j + 1].start()]):
-                j += 1
-            a, b = found[k].start(), found[j].end()
+        while k < len(found):  # all escapes of a run without white space belong together, with the whole run
+            a, end = found[k].start(), SPACE.search(text, found[k].end())
+            b = end.start() if end else len(text)
             while a and not text[a - 1].isspace():
                 a -= 1
-                if found[k].start() - a >= 256:
-                    break
-            while b < len(text) and not text[b].isspace():
-                b += 1
-                if b - found[j].end() >= 256:
-                    break
+            j = k
+            while j + 1 < len(found) and found[j + 1].start() < b:
+                j += 1
             out, starts, ends, at = [], [], [], a
             for m in found[k : j + 1]:
                 out += text[at : m.start()]

@@ -4,6 +4,7 @@ import base64
 import gzip
 import json
 import random
+import re
 import zlib
 from urllib.parse import quote
 
@@ -276,6 +277,16 @@ def test_nested_layers(order):
     assert KEY not in S.redacted(text) and "".join(S.redacted(text).split("[SECRET:aws_access_key]")).startswith("before é")
 
 
+def test_escapes_far_apart_are_one_stretch():
+    rng = random.Random(4)
+    noise = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(1200))
+    blob = base64.b64encode(gzip.compress(f"{noise} {KEY} {noise[::-1]}".encode())).decode()
+    raw = blob.replace("+", "\\u002b").replace("/", "\\u002f")
+    assert len(raw) > 2000 and max(map(len, re.split(r"\\u002.", raw))) > 64
+    for at in (f'before "{raw}" after', f"before {'a' * 300}.{raw} after"):
+        assert [f[0] for f in S.findings(at)] == ["aws_access_key"] and raw[300:600] not in S.redacted(at)
+
+
 def test_same_layer_twice_has_two_spans_and_cycles_end():
     b = base64.b64encode(f"x {KEY} y".encode()).decode()
     assert len([k for k in kinds(f"{b} and {b}") if k[0] == "aws_access_key"]) == 2
