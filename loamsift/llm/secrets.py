@@ -1,8 +1,9 @@
 """Secret scans with a recursive decoding worklist.
 
 A text is the first layer. Each layer is scanned for secrets and for encoded
-stretches: percent escapes, Unicode and character references, base64, and
-compressed bytes inside base64. What a stretch decodes to is a new layer on
+stretches: percent escapes, Unicode and character references, base64 (also over
+lines), and compressed bytes inside base64, all members of them and what a
+truncated one gives. What a stretch decodes to is a new layer on
 the worklist, until none is left; a layer whose content the same
 stretch of the document already gave isn't gone through again, so cycles end. Every character of a layer knows which
 characters of the document it came from, so findings at any depth have spans
@@ -52,6 +53,8 @@ HAS_PERCENT = re.compile(r"%[0-9A-Fa-f]{2}")
 ESCAPE = re.compile(r"\\u\{[0-9a-fA-F]{1,6}\}|\\u[0-9a-fA-F]{4}|\\x[0-9a-fA-F]{2}|&#[xX]?[0-9a-fA-F]{1,7};")
 SPACE = re.compile(r"\s")
 BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}(?![A-Za-z0-9+/_=-])")
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}(?:[ \t]*(?:\r?\n|\r)[ \t]*[A-Za-z0-9+/_-]{16,})*(?:[ \t]*(?:\r?\n|\r)[ \t]*[A-Za-z0-9+/_-]+)?={0,2}")
+LINE = re.compile(r"[A-Za-z0-9+/_=-]+")
 MIXED = re.compile(r"(?=.*[A-Z])(?=.*[a-z0-9])")
 MAGIC = ((b"\x1f\x8b", "gzip"), (b"\x28\xb5\x2f\xfd", "zstd"), (b"BZh", "bzip2"), (b"\xfd7zXZ", "xz"), (b"\x78\x01", "zlib"), (b"\x78\x5e", "zlib"), (b"\x78\x9c", "zlib"), (b"\x78\xda", "zlib"))
 
@@ -69,29 +72,44 @@ def scan(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
+def _member(codec: str, data: bytes, room: int) -> tuple[bytes, bytes | None]:
+    """What the first member of data unpacks to, up to a little over room, and the bytes after it; None if it has no end."""
+    out = bytearray()
+    try:
+        if codec == "zstd":
+            d, step = zstandard.ZstdDecompressor().decompressobj(), 256
+        else:
+            d, step = zlib.decompressobj(zlib.MAX_WBITS | 32) if codec in ("gzip", "zlib") else bz2.BZ2Decompressor() if codec == "bzip2" else lzma.LZMADecompressor(memlimit=256 << 20), 4096
+        for at in range(0, len(data), step):
+            part = data[at : at + step]
+            out += d.decompress(part) if codec == "zstd" else d.decompress(part, room + 1 - len(out))
+            if d.eof:
+                return bytes(out), d.unused_data + data[at + step :]
+            if len(out) > room:
+                break
+    except (zlib.error, zstandard.ZstdError, OSError, lzma.LZMAError, EOFError, ValueError):
+        pass
+    return bytes(out), None
+
+
 def unpack(data: bytes) -> tuple[str, bytes | None] | None:
-    """(codec, bytes) of compressed data; bytes are None beyond MAX_LAYER; None if it isn't compressed."""
-    for magic, codec in MAGIC:
-        if data.startswith(magic):
-            try:
-                if codec in ("gzip", "zlib"):
-                    d = zlib.decompressobj(zlib.MAX_WBITS | 32)
-                    got = d.decompress(data, MAX_LAYER + 1)
-                    whole = d.eof
-                elif codec == "zstd":
-                    with zstandard.ZstdDecompressor().stream_reader(data) as r:
-                        got = r.read(MAX_LAYER + 1)
-                    whole = bool(got)
-                else:
-                    d = bz2.BZ2Decompressor() if codec == "bzip2" else lzma.LZMADecompressor(memlimit=256 << 20)
-                    got = d.decompress(data, MAX_LAYER + 1)
-                    whole = d.eof
-            except (zlib.error, zstandard.ZstdError, OSError, lzma.LZMAError, EOFError, ValueError):
-                return None
-            if len(got) > MAX_LAYER:
-                return codec, None
-            return (codec, got) if whole else None
-    return None
+    """(codec, bytes) of all members of compressed data, of a truncated one what it gives; bytes are None beyond MAX_LAYER; None if it isn't compressed."""
+    first, out, rest = None, bytearray(), data
+    while rest:
+        if first:
+            rest = rest.lstrip(b"\0")  # padding between members
+        if rest[1:4] == b"\x2a\x4d\x18" and 0x50 <= rest[0] < 0x60:  # a frame that zstd skips
+            rest = rest[8 + int.from_bytes(rest[4:8], "little") :]
+            continue
+        codec = next((c for magic, c in MAGIC if rest.startswith(magic)), None)
+        if not codec:
+            break
+        got, rest = _member(codec, rest, MAX_LAYER - len(out))
+        first = first or codec
+        out += got
+        if len(out) > MAX_LAYER:
+            return first, None
+    return (first, bytes(out)) if out else None
 
 
 def readable(data: bytes) -> str | None:
@@ -160,26 +178,46 @@ def decodings(text: str):
             yield "unicode", a, b, "".join(out), np.array(starts, np.int64), np.array(ends, np.int64)
             k = j + 1
     for m in BASE64.finditer(text):
-        raw = m.group()
-        if not MIXED.match(raw):
-            continue
-        core = raw.rstrip("=").translate(_URLSAFE)
-        if len(core) % 4 == 1:
-            continue
-        data = base64.b64decode(core + "=" * (-len(core) % 4))
-        packed = unpack(data)
-        if packed:
-            codec, got = packed
-            if got is None:
-                yield f"base64>{codec}", m.start(), m.end(), None, None, None
-                continue
+        yield from _base64(m.group(), np.arange(m.start(), m.end()))
+    for m in WRAPPED.finditer(text):
+        lines = [x.span() for x in LINE.finditer(text, m.start(), m.end())]
+        for some in _stretches(lines):
+            yield from _base64("".join(text[a:b] for a, b in some), np.concatenate([np.arange(a, b) for a, b in some]))
+
+
+def _stretches(lines: list[tuple[int, int]]) -> list[list[tuple[int, int]]]:
+    """The lines that may be one base64 text: all, and each body of equal lines, with the line after it and without."""
+    width, out, a = [b - a for a, b in lines], [lines, lines[:-1]], 0
+    while a < len(lines):
+        b = a + 1
+        while b < len(lines) and width[b] == width[a]:
+            b += 1
+        out += [lines[a : b + 1], lines[a:b]]
+        a = b
+    return [x for k, x in enumerate(out) if len(x) > 1 and x not in out[:k]] if len(out) < 9 else [x for x in out if len(x) > 1]
+
+
+def _base64(raw: str, at: np.ndarray):
+    """What base64 whose characters stand at these places decodes to, as ``decodings`` gives it."""
+    if not MIXED.match(raw):
+        return
+    core = raw.rstrip("=").translate(_URLSAFE)
+    if len(core) % 4 == 1:
+        core = core[:-1]
+    data = base64.b64decode(core + "=" * (-len(core) % 4))
+    start, end = int(at[0]), int(at[-1]) + 1
+    packed = unpack(data)
+    if packed:
+        codec, got = packed
+        if got is None:
+            yield f"base64>{codec}", start, end, None, None, None
+        else:
             t = got.decode("utf-8", "replace")
-            yield f"base64>{codec}", m.start(), m.end(), t, np.full(len(t), m.start()), np.full(len(t), m.end())
-            continue
-        if readable(data) is None:
-            continue
-        i = np.arange(len(data))
-        yield ("base64", m.start(), m.end(), *_chars(data, m.start() + i * 8 // 6, m.start() + np.minimum((i + 1) * 8 // 6 + 1, len(raw))))
+            yield f"base64>{codec}", start, end, t, np.full(len(t), start), np.full(len(t), end)
+    if readable(data) is None:  # text may begin as compressed data does
+        return
+    i = np.arange(len(data))
+    yield ("base64", start, end, *_chars(data, at[i * 8 // 6], at[np.minimum((i + 1) * 8 // 6, len(raw) - 1)] + 1))
 
 
 _URLSAFE = str.maketrans("-_", "+/")

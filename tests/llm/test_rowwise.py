@@ -1,8 +1,10 @@
 """Operators that work document by document."""
 
 import base64
+import bz2
 import gzip
 import json
+import lzma
 import random
 import re
 import zlib
@@ -10,6 +12,7 @@ from urllib.parse import quote
 
 import numpy as np
 import pytest
+import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -287,6 +290,34 @@ def test_escapes_far_apart_are_one_stretch():
         assert [f[0] for f in S.findings(at)] == ["aws_access_key"] and raw[300:600] not in S.redacted(at)
 
 
+@pytest.mark.parametrize("pack", [gzip.compress, zlib.compress, bz2.compress, lzma.compress, zstandard.ZstdCompressor().compress])
+def test_all_members_and_truncated_streams_are_scanned(pack):
+    rng = random.Random(5)
+    noise = "".join(rng.choice("bcdfghjkmnpqrtvwxz ") for _ in range(4000))
+    two = pack(b"nothing here") + pack(b"nor here") + pack(f"key {KEY} end".encode())
+    assert [k[0] for k in kinds(f"x {base64.b64encode(two).decode()} y")] == ["aws_access_key"]
+    if pack in (gzip.compress, zlib.compress, lzma.compress):
+        cut = pack(f"key {KEY} end {noise}".encode())[:-400]
+        assert "aws_access_key" in [k[0] for k in kinds(f"x {base64.b64encode(cut).decode()} y")]
+
+
+@pytest.mark.parametrize("width", [64, 76, 20])
+@pytest.mark.parametrize("end", ["\n", "\r\n", "\n  "])
+def test_base64_over_lines(width, end):
+    rng = random.Random(6)
+    noise = "".join(rng.choice("bcdfghjkmnpqrtvwxz ") for _ in range(200))
+    for data in (f"{noise} {KEY} {noise}".encode(), gzip.compress(f"{noise} {KEY} {noise}".encode())):
+        b = base64.b64encode(data).decode()
+        raw = end.join(b[i : i + width] for i in range(0, len(b), width))
+        for text in (f"before\n{raw}\n\nafter", f"see aLongIdentifierIsHere1\n{raw}\nafter all", f"x {raw} y"):
+            found = [f for f in S.findings(text) if f[0] == "aws_access_key"]
+            assert found and all(text.index(raw) <= f[1] < f[2] <= text.index(raw) + len(raw) + 6 and f[5] == KEY for f in found)
+    b = base64.b64encode(f"{'ab ' * 13}{KEY} end of it".encode()).decode()
+    text = f"x\n{b[:64]}\n{b[64:]}\ny"
+    _, s, e, *_ = next(f for f in S.findings(text) if f[0] == "aws_access_key")
+    assert "\n" in text[s:e] and 28 <= e - s <= 31
+
+
 def test_same_layer_twice_has_two_spans_and_cycles_end():
     b = base64.b64encode(f"x {KEY} y".encode()).decode()
     assert len([k for k in kinds(f"{b} and {b}") if k[0] == "aws_access_key"]) == 2
