@@ -1,12 +1,13 @@
 """Related-document packing along paths of a nearest-neighbour graph.
 
-A document's sketch is every hash of its runs of ``GRAM`` words below a fixed
-fraction. Documents meet in a shuffle on the hashes; the list of a hash is
-sorted by the documents' least hashes, which puts copies side by side, and
-each is paired with the ``K`` before and after it: lists of up to K + 1 are
-paired in full, longer ones with those most alike. The similarity of a pair is
-the number of hashes at which it meets, and each document keeps its K most
-similar. Each is joined to its best neighbour; within what that connects, paths
+A document's sketch is the hash of every one of its runs of ``GRAM`` words.
+Documents meet in a shuffle on the hashes; equal lists of documents are folded
+into one with a weight. The similarity of a pair is the number of hashes that
+both have, and each document keeps its K most similar. Lists of up to ``HOT``
+documents are paired in full. Of longer ones the documents with the same lists
+are one group: groups are held against groups, and only the least K + 1
+documents of a group can be neighbours through long lists alone.
+Each is joined to its best neighbour; within what that connects, paths
 start at the unvisited document of least degree and go to the nearest
 unvisited neighbour. The paths, those with like least hashes together, are
 cut into windows of ``WINDOW`` words.
@@ -34,11 +35,11 @@ from loamsift.operators.components import connected_components
 from loamsift.session import materialize
 
 GRAM = 5
-SCALED = 32
+SCALED = 1
+HOT = 256
 K = 4
 WINDOW = 1024
 WINDOWS_A_BUCKET = 256
-POSTING = np.dtype([("h", "u8"), ("label", "u8"), ("rid", "i8")])
 
 
 def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scaled: int = SCALED) -> DataFrame:
@@ -78,52 +79,89 @@ def _emit(n_parts: int):
     def run(batches):
         for b in batches:
             sketch = b.column("sketch")
-            sizes = sketch.value_lengths().to_numpy()
-            out = np.empty(int(sizes.sum()), POSTING)
-            if len(out):
-                out["h"] = sketch.flatten().to_numpy().view(np.uint64)
-                out["label"] = np.repeat(b.column("label").to_numpy().view(np.uint64), sizes)
-                out["rid"] = np.repeat(b.column("rid").to_numpy(), sizes)
-                yield _blobs((mix(out["h"]) % np.uint64(n_parts)).astype(np.int64), {"postings": out})
+            h = sketch.flatten().to_numpy().view(np.uint64)
+            if len(h):
+                rid = np.repeat(b.column("rid").to_numpy(), sketch.value_lengths().to_numpy())
+                yield _blobs((mix(h) % np.uint64(n_parts)).astype(np.int64), {"hashes": h, "rids": rid})
 
     return run
 
 
-def _meet(k: int):
-    def run(batches):
-        blobs = [np.frombuffer(x, POSTING) for b in batches for x in b.column("postings").to_pylist()]
-        if not blobs:
-            return
-        p = np.concatenate(blobs)
-        del blobs
-        p = p[np.argsort(p["h"], kind="stable")]
-        same = p["h"][1:] == p["h"][:-1]
-        p = p[np.concatenate([[False], same]) | np.concatenate([same, [False]])]
-        p = p[np.lexsort((p["rid"], p["label"], p["h"]))]
-        a, b = [], []
-        for d in range(1, k + 1):
-            i = np.flatnonzero(p["h"][d:] == p["h"][:-d]) if len(p) > d else np.empty(0, np.int64)
-            x, y = p["rid"][i], p["rid"][i + d]
-            a.append(np.minimum(x, y)), b.append(np.maximum(x, y))
-        a, b = np.concatenate(a), np.concatenate(b)
-        if not len(a):
-            return
-        order = np.lexsort((b, a))
-        a, b = a[order], b[order]
-        first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
-        a, b, w = a[first], b[first], np.diff(np.concatenate([first, [len(a)]]))
-        for j in range(0, len(a), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(x[j : j + 100_000]) for x in (a, b, w)], ["a", "b", "similarity"])
-
-    return run
+def _lists(batches):
+    """The documents of each hash that more than one has, in order, as bytes."""
+    h, rid = [], []
+    for b in batches:
+        h += [np.frombuffer(x, np.uint64) for x in b.column("hashes").to_pylist()]
+        rid += [np.frombuffer(x, np.int64) for x in b.column("rids").to_pylist()]
+    if not h:
+        return
+    h, rid = np.concatenate(h), np.concatenate(rid)
+    order = np.argsort(h)
+    h, rid = h[order], rid[order]
+    same = h[1:] == h[:-1]
+    shared = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+    h, rid = h[shared], rid[shared]
+    if not len(h):
+        return
+    order = np.lexsort((rid, h))
+    h, data = h[order], rid[order].tobytes()
+    cuts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1], [True]])) * 8
+    for j in range(0, len(cuts) - 1, 10_000):
+        part = cuts[j : j + 10_001].tolist()
+        yield pa.RecordBatch.from_arrays([pa.array([data[x:y] for x, y in zip(part, part[1:])], pa.binary())], ["members"])
+
+
+def _pairs(batches):
+    for b in batches:
+        weight = b.column("weight").to_numpy()
+        members = [np.frombuffer(x, np.int64) for x in b.column("members").to_pylist()]
+        size = np.array([len(m) for m in members])
+        for n in np.unique(size):
+            i, j = np.triu_indices(n, 1)
+            step = max(1, 500_000 // len(i))
+            of = np.flatnonzero(size == n)
+            for at in range(0, len(of), step):
+                some = of[at : at + step]
+                m = np.stack([members[x] for x in some])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (m[:, i].ravel(), m[:, j].ravel(), np.repeat(weight[some], len(i)))], ["a", "b", "similarity"])
+
+
+def _members(batches):
+    for b in batches:
+        members = [np.frombuffer(x, np.int64) for x in b.column("members").to_pylist()]
+        for no, weight, m in zip(b.column("no").to_pylist(), b.column("weight").to_pylist(), members):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(m), no)), pa.array(np.full(len(m), weight)), pa.array(m)], ["no", "weight", "rid"])
+
+
+def _groups(long: DataFrame, k: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rid, g), the groups of documents with the same long lists; (g, o, more), what two groups share; (a, b, similarity), the k nearest by long lists alone."""
+    each = long.select(F.monotonically_increasing_id().alias("no"), "weight", "members").mapInArrow(_members, "no long, weight long, rid long")
+    held = each.groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("no", "weight"))).alias("held"))
+    named = materialize(held.withColumn("g", F.min("rid").over(Window.partitionBy("held"))), "groups")
+    of = named.select("rid", "g")
+    lists = named.where("rid = g").select("g", F.explode("held").alias("x")).select("g", "x.no", "x.weight")
+    share = materialize(lists.join(lists.select(F.col("g").alias("o"), "no"), "no").groupBy("g", "o").agg(F.sum("weight").alias("more")), "shared")
+    heads = of.withColumn("n", F.row_number().over(Window.partitionBy("g").orderBy("rid"))).where(F.col("n") <= k + 1).select(F.col("g").alias("o"), F.col("rid").alias("b"))
+    best = Window.partitionBy("g").orderBy(F.desc("more"), "b")
+    near = share.join(heads, "o").withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1)
+    return of, share, of.join(near, "g").where("rid <> b").select(F.col("rid").alias("a"), "b", F.col("more").alias("similarity"))
 
 
 def neighbours(feats: DataFrame, k: int = K) -> DataFrame:
     """(a, b, similarity, rank): the k most similar documents of each that shares a hash with any."""
     n_parts = partitions(feats.sparkSession)
-    met = feats.mapInArrow(_emit(n_parts), "to int, postings binary").repartition(n_parts, "to").mapInArrow(_meet(k), "a long, b long, similarity long")
-    pairs = met.groupBy("a", "b").agg(F.sum("similarity").alias("similarity"))
+    met = feats.mapInArrow(_emit(n_parts), "to int, hashes binary, rids binary").repartition(n_parts, "to").mapInArrow(_lists, "members binary")
+    lists = materialize(met.groupBy("members").agg(F.count("*").alias("weight")), "lists")
+    short, long = (lists.where(c) for c in (F.length("members") <= 8 * HOT, F.length("members") > 8 * HOT))
+    pairs = short.mapInArrow(_pairs, "a long, b long, similarity long").groupBy("a", "b").agg(F.sum("similarity").alias("similarity"))
+    hot = not long.isEmpty()
+    if hot:
+        of, share, far = _groups(long, k)
+        grouped = pairs.join(of.select(F.col("rid").alias("a"), "g"), "a", "left").join(of.select(F.col("rid").alias("b"), F.col("g").alias("o")), "b", "left")
+        pairs = grouped.join(share, ["g", "o"], "left").select("a", "b", (F.col("similarity") + F.coalesce("more", F.lit(0))).alias("similarity"))
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity"))
+    if hot:
+        both = both.unionByName(far).groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
     best = Window.partitionBy("a").orderBy(F.desc("similarity"), "b")
     return both.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
@@ -219,8 +257,8 @@ def _fill(window: int):
 
 def pack_related(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame:
     """One row for each window: which words of which documents it holds, in order."""
-    f = materialize(features(docs), "features")
-    near = materialize(neighbours(f, k), "neighbours")
+    f = materialize(features(docs).drop("sketch"), "features")
+    near = materialize(neighbours(features(docs), k), "neighbours")  # sketches are made again: they are larger than the texts
     parts = connected_components(near.where("rank = 1"), "a", "b")
     edges = near.select("a", "b", "similarity").unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity")).distinct()
     lists = edges.groupBy("a").agg(F.collect_list(F.struct("b", "similarity")).alias("near"))

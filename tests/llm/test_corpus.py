@@ -205,6 +205,30 @@ def test_neighbours_hold_against_brute_force(spark):
     assert total > 100 and right >= 0.9 * total
 
 
+@pytest.mark.parametrize("hot", [256, 6])
+def test_neighbours_are_those_of_whole_texts(spark, monkeypatch, hot):
+    monkeypatch.setattr(P, "HOT", hot)
+    rng = random.Random(9)
+    word = lambda: f"z{rng.randrange(10**6)}"
+    texts = []
+    for _ in range(30):  # short documents, two of which share a few runs
+        own = [word() for _ in range(20)]
+        texts += [" ".join(own), " ".join(own[:12] + [word() for _ in range(8)])]
+    lines = [" ".join(word() for _ in range(9)) for _ in range(3)]
+    for i in range(40):  # unlike documents in long lists, some with a nearer one
+        texts.append(" ".join([lines[j] + " " + word() for j in range(3) if i % 7 != j] + [word() for _ in range(30)]))
+    texts += [t + " " + word() for t in texts[60:66]]
+    runs = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    f = P.features(frame(spark, texts)).cache()
+    doc = {r.rid: r.doc_id for r in f.collect()}
+    near = defaultdict(dict)
+    for r in P.neighbours(f).collect():
+        near[doc[r.a]][doc[r.b]] = r.similarity
+    for a, x in enumerate(runs):
+        want = sorted((len(x & y) for b, y in enumerate(runs) if b != a and x & y), reverse=True)[: P.K]
+        assert sorted(near[a].values(), reverse=True) == want and all(s == len(x & runs[b]) for b, s in near[a].items())
+
+
 def test_walk_starts_low_and_goes_near():
     nodes = {1: [(2, 0.9), (3, 0.5), (4, 0.4)], 2: [(1, 0.9), (3, 0.8)], 3: [(2, 0.8), (1, 0.5)], 4: [(1, 0.4)], 5: []}
     assert P.walk(nodes) == [[5], [4, 1, 2, 3]]
