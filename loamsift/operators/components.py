@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loamsift.session import materialize
+from loamsift.session import materialize, release
 
 
 def _shape(edges: DataFrame) -> tuple:
@@ -31,7 +31,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         large = both.join(low, "a").where("b > a AND b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b"))).distinct()
-        e = materialize(small, f"edges{k}")
+        e, before = materialize(small, f"edges{k}"), e
+        release(before)
         now = _shape(e)
         if now == shape:
             break

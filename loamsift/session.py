@@ -54,10 +54,20 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     This cuts the lineage: a lost executor costs a read of the table and no
-    recomputation. The table is deleted when the program ends.
+    recomputation. The table is deleted by ``release``, or when the program ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/loamsift-{uuid.uuid4().hex}/{label}.parquet"
-    df.write.parquet(path)
-    atexit.register(_delete, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    folder = f"{shared_dir(spark)}/loamsift-{uuid.uuid4().hex}"
+    df.write.parquet(f"{folder}/{label}.parquet")
+    atexit.register(_delete, spark, folder)
+    out = spark.read.schema(df.schema).parquet(f"{folder}/{label}.parquet")
+    out._loamsift_folder = folder
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables that ``materialize`` wrote and no plan reads any more; others are left alone."""
+    for t in tables:
+        folder = t.__dict__.pop("_loamsift_folder", None)
+        if folder:
+            _delete(t.sparkSession, folder)
