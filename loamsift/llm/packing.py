@@ -1,173 +1,400 @@
 """Related-document packing along paths of a nearest-neighbour graph.
 
-A document's sketch is the hash of every one of its runs of ``GRAM`` words.
-Documents meet in a shuffle on the hashes; equal lists of documents are folded
-into one with a weight. The similarity of a pair is the number of hashes that
-both have, and each document keeps its K most similar. Lists of up to ``HOT``
-documents are paired in full. Of longer ones the documents with the same lists
-are one group: groups are held against groups, and only the least K + 1
-documents of a group can be neighbours through long lists alone.
-Each is joined to its best neighbour; within what that connects, paths
-start at the unvisited document of least degree and go to the nearest
-unvisited neighbour. The paths, those with like least hashes together, are
-cut into windows of ``WINDOW`` words.
+The features of a document are its runs of ``GRAM`` words, all of them. The
+similarity of two documents is the number of different runs that both have,
+and each document keeps its K most similar; of equals the next in place, so
+that copies form a ring and no star.
+
+Documents meet in a shuffle on the hashes of their runs. Runs with the same
+documents are one list with a weight. Documents lie in blocks by their least
+hash, near copies side by side; a list is sent once to each block that has
+members of it, and a block's similarities are a product of two incidence
+matrices, of which K a document leave the task. Lists that lie so wide that
+members times blocks pass ``SPREAD`` aren't sent: documents with the same wide
+lists are one class, classes are multiplied in place of documents, and what
+wide lists add to pairs that other lists have is sent to their blocks. Both
+ways are exact.
+
+Paths are walked within what best neighbours connect: each starts at the
+unvisited document of least degree and goes to the nearest unvisited
+neighbour. Then path ends are linked by the neighbour edges that are left, the
+most similar first, in rounds in which every chain of paths takes its best
+edge. The chains are cut into windows of ``WINDOW`` words.
 
 Defined results: null and empty texts and those without words are in no
 window; documents without neighbours are paths of one; longer documents than a
 window go on in the next; repeated rows are packed as often as they occur;
-ids may be null; ties are broken by similarity, degree and place; an empty
-table gives an empty result; other columns are ignored. Lengths are words
-without white space.
+ids may be null; an empty table gives an empty result; other columns are
+ignored. Lengths are words without white space. ``docs`` is read twice if
+texts are asked for, and then has to give the same rows in the same places,
+as tables of files do.
 """
 
 from __future__ import annotations
 
 import heapq
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loamsift.llm.common import WordHash, mix, partitions, q, slices, table
-from loamsift.llm.repeats import Powers, _blobs, prefix_hashes, span_hash
+from loamsift.functions.words import spans
+from loamsift.llm.common import Powers, mix, partitions, q, slices, table, word_hashes
+from loamsift.llm.repeats import _blobs, prefix_hashes, span_hash
 from loamsift.operators.components import connected_components
-from loamsift.session import materialize
+from loamsift.session import materialize, release
 
 GRAM = 5
-SCALED = 1
-HOT = 256
 K = 4
 WINDOW = 1024
 WINDOWS_A_BUCKET = 256
+BLOCK = 512  # documents of one product
+SPREAD = 1 << 20  # members times blocks up to which a list is sent to its blocks
+HOT = 1 << 16  # documents of a run beyond which no task holds them together
+HELD = 1 << 23  # (hash, document) pairs of a task after which it looks for hot runs
+CLUSTER = 50_000  # documents of one walk
+PATHS = 1024  # of a chain that stay together
+EDGES = 2_000_000  # edges between path ends that one task links
 
 
-def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scaled: int = SCALED) -> DataFrame:
-    """(rid, doc_id, length, label, sketch) of the documents with words; the label is the least hash of all runs."""
-    limit = np.uint64(2**64 // scaled - 1)
+def _grams(sizes: np.ndarray, h: np.ndarray, powers: Powers) -> tuple[np.ndarray, np.ndarray]:
+    """(document, hash) of every run of GRAM words; shorter documents are one run."""
+    starts = np.maximum(sizes - GRAM + 1, np.minimum(sizes, 1))
+    owner = np.repeat(np.arange(len(sizes)), starts)
+    at = np.arange(len(owner)) - np.repeat(np.cumsum(starts) - starts, starts) + (np.cumsum(sizes) - sizes)[owner]
+    return owner, mix(span_hash(prefix_hashes(h, powers), at, at + np.minimum(GRAM, sizes[owner]), powers))
+
+
+_SENT = "to int, hashes binary, rids binary, rid array<long>, doc_id array<long>, length array<long>, label array<long>"
+_FEATURES = ("rid", "doc_id", "length", "label")
+
+
+def _scan(n_parts: int):
+    """One pass over the texts: the hashes for each partition as bytes, and (rid, doc_id, length, least hash) beside them."""
+    small = np.uint16 if n_parts <= 1 << 16 else np.int64
 
     def run(batches):
-        known, powers = WordHash(), Powers()
-        for b in slices(batches, limit=4 << 20):
-            words = [t.split() if t else [] for t in b.column("text").to_pylist()]
-            sizes = np.array([len(w) for w in words], np.int64)
-            h = known.of([w for ws in words for w in ws])
+        powers, held = Powers(), []
+
+        def flush():
+            h, rid = (np.concatenate([x[k] for x in held]) for k in (0, 1))
+            out = _blobs((h % np.uint64(n_parts)).astype(small), {"hashes": h, "rids": rid})
+            none = pa.nulls(out.num_rows, pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*out.columns, *[none] * 4], ["to", "hashes", "rids", *_FEATURES])
+            rows = [pa.concat_arrays([x[2][k] for x in held]) for k in range(4)]
+            lists = [pa.ListArray.from_arrays(pa.array([0, len(r)], pa.int32()), r) for r in rows]
+            yield pa.RecordBatch.from_arrays([pa.array([int(rid[0]) % n_parts], pa.int32()), *[pa.nulls(1, pa.binary())] * 2, *lists], ["to", "hashes", "rids", *_FEATURES])
+            held.clear()
+
+        for b in slices(batches, limit=1 << 20):
+            h, sizes = word_hashes(b.column("text"), powers)
             if not len(h):
                 continue
-            starts = np.maximum(sizes - GRAM + 1, np.minimum(sizes, 1))
-            owner = np.repeat(np.arange(len(sizes)), starts)
-            inner = np.arange(len(owner)) - np.repeat(np.cumsum(starts) - starts, starts)
-            s = (np.cumsum(sizes) - sizes)[owner] + inner
-            grams = mix(span_hash(prefix_hashes(h, powers), s, s + np.minimum(GRAM, sizes[owner]), powers))
-            full = np.flatnonzero(sizes)
+            owner, grams = _grams(sizes, h, powers)
             label = np.minimum.reduceat(grams, np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])))
-            low = grams < limit
-            who, kept = owner[low], grams[low]
-            order = np.lexsort((kept, who))
-            who, kept = who[order], kept[order]
-            new = np.concatenate([[True], (who[1:] != who[:-1]) | (kept[1:] != kept[:-1])])[: len(who)]
-            who, kept = who[new], kept[new]
-            at = np.concatenate([[0], np.cumsum(np.bincount(who, minlength=len(sizes))[full])]).astype(np.int32)
-            take = pa.array(full)
-            yield pa.RecordBatch.from_arrays([b.column("rid").take(take), b.column("doc_id").take(take), pa.array(sizes[full]), pa.array(label.view(np.int64)), pa.ListArray.from_arrays(at, kept.view(np.int64))], ["rid", "doc_id", "length", "label", "sketch"])
+            full = pa.array(np.flatnonzero(sizes))
+            held.append((grams, b.column("rid").to_numpy()[owner], (b.column("rid").take(full), b.column("doc_id").take(full), pa.array(sizes[sizes > 0]), pa.array(label.view(np.int64)))))
+            if sum(len(x[0]) for x in held) >= min(4_000_000, 2000 * n_parts):
+                yield from flush()
+        if held:
+            yield from flush()
 
-    placed = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(q(id_col)).cast("long").alias("doc_id"), F.col(q(text_col)).cast("string").alias("text"))
-    return placed.mapInArrow(run, "rid long, doc_id long, length long, label long, sketch array<long>")
+    return run
 
 
-def _emit(n_parts: int):
+_MET = "members binary, weight long, gram long, rid long, doc_id long, length long, label long"
+
+
+def _met(**columns) -> pa.RecordBatch:
+    n = len(next(iter(columns.values())))
+    kinds = [(c.split()[0], pa.binary() if c.endswith("binary") else pa.int64()) for c in _MET.split(", ")]
+    return pa.RecordBatch.from_arrays([columns[c] if c in columns else pa.nulls(n, t) for c, t in kinds], [c for c, _ in kinds])
+
+
+def _shared(h: np.ndarray, rid: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of pairs sorted by hash: (hash, document) of the hashes with several documents, in order and each once, and where a hash begins."""
+    for again in (False, True):
+        if again:
+            order = np.lexsort((rid, h))
+            h, rid = h[order], rid[order]
+            new = np.concatenate([[True], (h[1:] != h[:-1]) | (rid[1:] != rid[:-1])])[: len(h)]
+            h, rid = h[new], rid[new]
+        same = h[1:] == h[:-1]
+        keep = np.concatenate([[False], same]) | np.concatenate([same, [False]]) if len(h) > 1 else np.zeros(len(h), bool)
+        h, rid = h[keep], rid[keep]
+    return h, rid, np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
+
+
+def _lists(hot: int, most: int):
+    """Lists of documents that have runs in common, with the number of these; runs of more than ``hot`` documents in pieces; and features."""
+
     def run(batches):
+        h, rid, count, limit, known = [], [], 0, most, np.zeros(0, np.uint64)
+
+        def take_hot():
+            """What is held, sorted by hash, and apart from it what belongs to hot runs."""
+            nonlocal known
+            a, r = np.concatenate(h), np.concatenate(rid)
+            order = np.argsort(a)
+            a, r = a[order], r[order]
+            first = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
+            known = np.union1d(known, a[first[np.diff([*first, len(a)]) > hot]])
+            out = np.isin(a, known) if len(known) else np.zeros(len(a), bool)
+            return a[~out], r[~out], a[out], r[out]
+
+        def pieces(a, r):
+            order = np.lexsort((r, a))
+            a, r = a[order], r[order]
+            new = np.concatenate([[True], (a[1:] != a[:-1]) | (r[1:] != r[:-1])])[: len(a)]
+            a, r = a[new], r[new]
+            first = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]])).tolist()
+            for s, e in zip(first, [*first[1:], len(a)]):
+                for k in range(s, e, hot):
+                    yield _met(members=pa.array([r[k : min(e, k + hot)].tobytes()], pa.binary()), gram=pa.array(a[s : s + 1].view(np.int64)))
+
         for b in batches:
-            sketch = b.column("sketch")
-            h = sketch.flatten().to_numpy().view(np.uint64)
-            if len(h):
-                rid = np.repeat(b.column("rid").to_numpy(), sketch.value_lengths().to_numpy())
-                yield _blobs((mix(h) % np.uint64(n_parts)).astype(np.int64), {"hashes": h, "rids": rid})
+            if len(b.column("rid").flatten()):
+                yield _met(**{c: b.column(c).flatten() for c in _FEATURES})
+            blobs = b.column("hashes").is_valid()
+            got = [np.frombuffer(x, np.uint64) for x in b.column("hashes").filter(blobs).to_pylist()]
+            h += got
+            rid += [np.frombuffer(x, np.int64) for x in b.column("rids").filter(blobs).to_pylist()]
+            count += sum(map(len, got))
+            if count > limit:
+                a, r, x, y = take_hot()
+                h[:], rid[:], count = [a], [r], len(a)
+                limit = max(most, 2 * count)
+                if len(x):
+                    yield from pieces(x, y)
+        if not count:
+            return
+        a, r, x, y = take_hot()
+        del h, rid
+        if len(x):
+            yield from pieces(x, y)
+        _, r, first = _shared(a, r)
+        data, cuts = r.tobytes(), [*(first * 8).tolist(), 8 * len(r)]
+        weights = Counter(data[x:y] for x, y in zip(cuts, cuts[1:]))
+        names = list(weights)
+        for k in range(0, len(names), 10_000):
+            yield _met(members=pa.array(names[k : k + 10_000], pa.binary()), weight=pa.array([weights[x] for x in names[k : k + 10_000]], pa.int64()))
 
     return run
 
 
-def _lists(batches):
-    """The documents of each hash that more than one has, in order, as bytes."""
-    h, rid = [], []
+def _placed(batches):
+    """(rid, block): blocks of BLOCK rows of a sorted partition."""
+    n, base = 0, TaskContext.get().partitionId() << 32
     for b in batches:
-        h += [np.frombuffer(x, np.uint64) for x in b.column("hashes").to_pylist()]
-        rid += [np.frombuffer(x, np.int64) for x in b.column("rids").to_pylist()]
-    if not h:
-        return
-    h, rid = np.concatenate(h), np.concatenate(rid)
-    order = np.argsort(h)
-    h, rid = h[order], rid[order]
-    same = h[1:] == h[:-1]
-    shared = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-    h, rid = h[shared], rid[shared]
-    if not len(h):
-        return
-    order = np.lexsort((rid, h))
-    h, data = h[order], rid[order].tobytes()
-    cuts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1], [True]])) * 8
-    for j in range(0, len(cuts) - 1, 10_000):
-        part = cuts[j : j + 10_001].tolist()
-        yield pa.RecordBatch.from_arrays([pa.array([data[x:y] for x, y in zip(part, part[1:])], pa.binary())], ["members"])
-
-
-def _pairs(batches):
-    for b in batches:
-        weight = b.column("weight").to_numpy()
-        members = [np.frombuffer(x, np.int64) for x in b.column("members").to_pylist()]
-        size = np.array([len(m) for m in members])
-        for n in np.unique(size):
-            i, j = np.triu_indices(n, 1)
-            step = max(1, 500_000 // len(i))
-            of = np.flatnonzero(size == n)
-            for at in range(0, len(of), step):
-                some = of[at : at + step]
-                m = np.stack([members[x] for x in some])
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (m[:, i].ravel(), m[:, j].ravel(), np.repeat(weight[some], len(i)))], ["a", "b", "similarity"])
+        at = np.arange(n, n + b.num_rows)
+        n += b.num_rows
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(base + at // BLOCK)], ["id", "block"])
 
 
 def _members(batches):
+    """A row for each member of a list, with the list's other columns."""
     for b in batches:
-        members = [np.frombuffer(x, np.int64) for x in b.column("members").to_pylist()]
-        for no, weight, m in zip(b.column("no").to_pylist(), b.column("weight").to_pylist(), members):
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(m), no)), pa.array(np.full(len(m), weight)), pa.array(m)], ["no", "weight", "rid"])
-
-
-def _groups(long: DataFrame, k: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(rid, g), the groups of documents with the same long lists; (g, o, more), what two groups share; (a, b, similarity), the k nearest by long lists alone."""
-    each = long.select(F.monotonically_increasing_id().alias("no"), "weight", "members").mapInArrow(_members, "no long, weight long, rid long")
-    held = each.groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("no", "weight"))).alias("held"))
-    named = materialize(held.withColumn("g", F.min("rid").over(Window.partitionBy("held"))), "groups")
-    of = named.select("rid", "g")
-    lists = named.where("rid = g").select("g", F.explode("held").alias("x")).select("g", "x.no", "x.weight")
-    share = materialize(lists.join(lists.select(F.col("g").alias("o"), "no"), "no").groupBy("g", "o").agg(F.sum("weight").alias("more")), "shared")
-    heads = of.withColumn("n", F.row_number().over(Window.partitionBy("g").orderBy("rid"))).where(F.col("n") <= k + 1).select(F.col("g").alias("o"), F.col("rid").alias("b"))
-    best = Window.partitionBy("g").orderBy(F.desc("more"), "b")
-    near = share.join(heads, "o").withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1)
-    return of, share, of.join(near, "g").where("rid <> b").select(F.col("rid").alias("a"), "b", F.col("more").alias("similarity"))
-
-
-def neighbours(feats: DataFrame, k: int = K) -> DataFrame:
-    """(a, b, similarity, rank): the k most similar documents of each that shares a hash with any."""
-    n_parts = partitions(feats.sparkSession)
-    met = feats.mapInArrow(_emit(n_parts), "to int, hashes binary, rids binary").repartition(n_parts, "to").mapInArrow(_lists, "members binary")
-    lists = materialize(met.groupBy("members").agg(F.count("*").alias("weight")), "lists")
-    short, long = (lists.where(c) for c in (F.length("members") <= 8 * HOT, F.length("members") > 8 * HOT))
-    pairs = short.mapInArrow(_pairs, "a long, b long, similarity long").groupBy("a", "b").agg(F.sum("similarity").alias("similarity"))
-    hot = not long.isEmpty()
-    if hot:
-        of, share, far = _groups(long, k)
-        grouped = pairs.join(of.select(F.col("rid").alias("a"), "g"), "a", "left").join(of.select(F.col("rid").alias("b"), F.col("g").alias("o")), "b", "left")
-        pairs = grouped.join(share, ["g", "o"], "left").select("a", "b", (F.col("similarity") + F.coalesce("more", F.lit(0))).alias("similarity"))
-    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity"))
-    if hot:
-        both = both.unionByName(far).groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
-    best = Window.partitionBy("a").orderBy(F.desc("similarity"), "b")
-    return both.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+        members = b.column("members").to_pylist()
+        for k in range(0, len(members), 2000):
+            part = members[k : k + 2000]
+            of = pa.array(np.repeat(np.arange(k, k + len(part)), [len(x) // 8 for x in part]))
+            rest = [c for c in b.schema.names if c != "members"]
+            yield pa.RecordBatch.from_arrays([*(b.column(c).take(of) for c in rest), pa.array(np.frombuffer(b"".join(part), np.int64))], [*rest, "id"])
+
+
+def nearest_of_block(rows: np.ndarray, weights: np.ndarray, sizes: np.ndarray, members: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, similarity): for each of the rows its k nearest, where two are as similar as their common lists weigh; of equals the next in order, in a ring."""
+    cols, code = np.unique(members, return_inverse=True)
+    of = np.repeat(np.arange(len(sizes)), sizes)
+    begin = np.cumsum(sizes) - sizes
+    rows = np.sort(rows[np.isin(rows, cols)])
+    place = np.searchsorted(cols, rows)
+    row_of = np.full(len(cols), -1)
+    row_of[place] = np.arange(len(rows))
+    mine = np.flatnonzero(row_of[code] >= 0)
+    mine = mine[np.argsort(row_of[code[mine]], kind="stable")]
+    row = row_of[code[mine]]
+    out = []
+    slab = max(1, min(256, 8_000_000 // max(1, len(cols))))
+    for at in range(0, len(rows), slab):
+        some = mine[np.searchsorted(row, at) : np.searchsorted(row, at + slab)]
+        r, lists = row_of[code[some]] - at, of[some]
+        n = min(slab, len(rows) - at)
+        used, which = np.unique(lists, return_inverse=True)
+        s = np.zeros((n, len(cols)))
+        if n * len(used) * len(cols) < 500 * int(sizes[lists].sum()):
+            for k0 in range(0, len(used), 512):
+                part = np.flatnonzero((which >= k0) & (which < k0 + 512))
+                left, right = np.zeros((n, min(512, len(used) - k0))), np.zeros((min(512, len(used) - k0), len(cols)))
+                left[r[part], which[part] - k0] = weights[lists[part]]
+                for x in range(right.shape[0]):
+                    u = used[k0 + x]
+                    right[x, code[begin[u] : begin[u] + sizes[u]]] = 1
+                s += left @ right
+        else:
+            step = np.concatenate([[0], np.cumsum(sizes[lists])])
+            k0 = 0
+            while k0 < len(lists):
+                k1 = max(k0 + 1, int(np.searchsorted(step, step[k0] + 2_000_000, "right")) - 1)
+                n_of = sizes[lists[k0:k1]]
+                inner = np.arange(int(n_of.sum())) - np.repeat(np.cumsum(n_of) - n_of, n_of)
+                key = np.repeat(r[k0:k1], n_of) * len(cols) + code[np.repeat(begin[lists[k0:k1]], n_of) + inner]
+                w = np.repeat(weights[lists[k0:k1]], n_of)
+                if len(key) * 4 < s.size:
+                    np.add.at(s.reshape(-1), key, w)
+                else:
+                    s += np.bincount(key, w, s.size).reshape(s.shape)
+                k0 = k1
+        own = place[at : at + n]
+        s[np.arange(n), own] = 0
+        i, j = np.nonzero(s)
+        v = s[i, j]
+        order = np.lexsort(((j - own[i] - 1) % len(cols), -v, i))
+        i, j, v = i[order], j[order], v[order]
+        first = np.searchsorted(i, np.arange(n))
+        keep = np.arange(len(i)) - first[i] < k
+        out.append((rows[at + i[keep]], cols[j[keep]], v[keep].astype(np.int64)))
+    return tuple(np.concatenate(c) for c in zip(*out)) if out else (np.zeros(0, np.int64),) * 3
+
+
+_PART = "block long, kind int, no long, weight long, id long, members binary"
+
+
+def _block_task(k: int):
+    def run(batches):
+        held, block = [], None
+
+        def flush():
+            t = pa.Table.from_batches(held)
+            kind = t.column("kind").to_numpy()
+            ids, no, weight = (pa.compute.fill_null(t.column(c), 0).to_numpy() for c in ("id", "no", "weight"))
+            rows, single = ids[kind == 0], kind == 2
+            lists = [np.frombuffer(x, np.int64) for x in t.column("members").filter(pa.array(kind == 1)).to_pylist()]
+            weights, sizes = [weight[kind == 1]], [np.array([len(x) for x in lists], np.int64)]
+            if single.any():
+                order = np.argsort(no[single], kind="stable")
+                n, w = no[single][order], weight[single][order]
+                first = np.flatnonzero(np.concatenate([[True], n[1:] != n[:-1]]))
+                weights.append(w[first]), sizes.append(np.diff([*first, len(n)]))
+                lists.append(ids[single][order])
+            if not lists or not len(rows):
+                return
+            a, b, s = nearest_of_block(rows, np.concatenate(weights), np.concatenate(sizes), np.concatenate(lists), k)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(s)], ["a", "b", "similarity"])
+
+        for b in batches:
+            own = b.column("block").to_numpy()
+            cuts = [0, *(np.flatnonzero(own[1:] != own[:-1]) + 1).tolist(), len(own)]
+            for x, y in zip(cuts, cuts[1:]):
+                if x == y:
+                    continue
+                if held and own[x] != block:
+                    yield from flush()
+                    held = []
+                block = own[x]
+                held.append(b.slice(x, y - x))
+        if held:
+            yield from flush()
+
+    return run
+
+
+def _multiply(placed: DataFrame, parts: list[DataFrame], k: int) -> DataFrame:
+    """The k nearest (a, b, similarity) of everything in ``placed`` (id, block) by the lists sent to its blocks."""
+    none = {"no": "long", "weight": "long", "id": "long", "members": "binary"}
+    rows = placed.select("block", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("no"), F.lit(None).cast("long").alias("weight"), "id", F.lit(None).cast("binary").alias("members"))
+    for p in parts:
+        kind = F.lit(1 if "members" in p.columns else 2).alias("kind")
+        rows = rows.unionByName(p.select("block", kind, *(F.col(c) if c in p.columns else F.lit(None).cast(t).alias(c) for c, t in none.items())))
+    return rows.repartition(partitions(placed.sparkSession), "block").sortWithinPartitions("block").mapInArrow(_block_task(k), "a long, b long, similarity long")
+
+
+def _blocks(ids: DataFrame, by: str) -> DataFrame:
+    """(id, block) of a table with ids, those with like values of ``by`` side by side."""
+    n = partitions(ids.sparkSession)
+    return materialize(ids.select("id", by).repartitionByRange(n, by, "id").sortWithinPartitions(by, "id").mapInArrow(_placed, "id long, block long"), "blocks")
+
+
+def _ring(k: int):
+    """(a, b, similarity): each document of a class with the k that come after it, around the class's end."""
+
+    def run(batches):
+        g, ids, w = (np.concatenate(x) for x in zip(*[[b.column(c).to_numpy() for c in ("g", "id", "total")] for b in batches] or [[np.zeros(0, np.int64)] * 3]))
+        if not len(g):
+            return
+        first = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
+        size = np.diff([*first, len(g)])
+        base, n = np.repeat(first, size), np.repeat(size, size)
+        at = np.arange(len(g))
+        for d in range(1, k + 1):
+            ok = n > d
+            yield pa.RecordBatch.from_arrays([pa.array(x[ok]) for x in (ids, ids[base + (at - base + d) % n], w)], ["a", "b", "similarity"])
+
+    return run
+
+
+def _wide(wide: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """Of the members (no, weight, id) of wide lists: (id, g, held), the class of each document and the lists it has; (a, b, similarity), the k nearest by wide lists alone."""
+    n_parts = partitions(wide.sparkSession)
+    held = wide.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("no", "weight"))).alias("held"))
+    total = F.aggregate("held", F.lit(0).cast("long"), lambda s, x: s + x["weight"])
+    held = materialize(held.select("id", F.xxhash64("held").alias("g"), total.alias("total"), "held"), "held")
+    classes = held.groupBy("g").agg(F.first("held").alias("held"), F.first("total").alias("total"))
+    each = materialize(classes.select(F.col("g").alias("id"), "total", F.col("held")[0]["no"].alias("first"), F.explode("held").alias("x")).select("id", "total", "first", "x.no", "x.weight"), "classes")
+    placed = _blocks(each.groupBy("id").agg(F.first("first").alias("first")), "first")
+    where = each.join(placed, "id").select("no", "block").distinct()
+    near = _multiply(placed, [each.select("no", "weight", "id").join(where, "no")], k + 1)
+    own = each.groupBy("id").agg(F.first("total").alias("similarity")).select(F.col("id").alias("a"), F.col("id").alias("b"), "similarity")
+    heads = held.select("g", "id", F.row_number().over(Window.partitionBy("g").orderBy("id")).alias("n")).where(F.col("n") <= k + 1)
+    best = Window.partitionBy("a").orderBy(F.desc("similarity"), "id")
+    near = near.unionByName(own).join(heads, F.col("b") == F.col("g")).withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1)
+    far = held.select(F.col("id").alias("me"), "g").join(near.select("a", "id", "similarity"), F.col("a") == F.col("g")).where("me <> id").select(F.col("me").alias("a"), F.col("id").alias("b"), "similarity")
+    ring = held.select("g", "id", "total").repartitionByRange(n_parts, "g", "id").sortWithinPartitions("g", "id").mapInArrow(_ring(k), "a long, b long, similarity long")
+    return held, far.unionByName(ring)
+
+
+def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Lists and features of the documents with words, written."""
+    n_parts = partitions(docs.sparkSession)
+    placed = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(q(id_col)).cast("long").alias("doc_id"), F.col(q(text_col)).cast("string").alias("text"))
+    return materialize(placed.mapInArrow(_scan(n_parts), _SENT).repartition(n_parts, "to").mapInArrow(_lists(HOT, HELD), _MET), "met")
+
+
+def neighbours(met: DataFrame, k: int = K) -> DataFrame:
+    """(a, b, similarity, rank): the k most similar documents of each that shares a run with any."""
+    folded = met.where("members IS NOT NULL AND gram IS NULL").groupBy("members").agg(F.sum("weight").alias("weight"))
+    lists = materialize(folded.select(F.monotonically_increasing_id().alias("no"), "weight", "members"), "lists")
+    placed = _blocks(met.where("rid IS NOT NULL").select(F.col("rid").alias("id"), "label"), "label")
+    where = lists.select("no", "members").mapInArrow(_members, "no long, id long").join(placed, "id")
+    spread = where.groupBy("no").agg(F.collect_set("block").alias("blocks"), F.count("*").alias("n"))
+    sent = materialize(lists.join(spread, "no"), "sent")
+    release(lists)
+    narrow = F.col("n") * F.size("blocks") <= SPREAD
+    short = sent.where(narrow)
+    wide = sent.where(~narrow).select("no", "weight", "members").mapInArrow(_members, "no long, weight long, id long")
+    hot = met.where("gram IS NOT NULL").select("gram", "members")
+    if not hot.isEmpty():
+        names = hot.mapInArrow(_members, "gram long, id long").groupBy("gram").agg(F.count("*").alias("n"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("s"))
+        names = names.where("n > 1").groupBy(F.xxhash64("n", "s").alias("no")).agg(F.count("*").alias("weight"), F.min("gram").alias("gram"))
+        wide = wide.unionByName(hot.join(names, "gram").select("no", "weight", "members").mapInArrow(_members, "no long, weight long, id long"))
+    parts = [short.select(F.explode("blocks").alias("block"), "no", "weight", "members")]
+    far = None
+    if not wide.isEmpty():
+        held, far = _wide(wide, k)
+        seen = short.select("blocks", "members").mapInArrow(_members, "blocks array<long>, id long").join(held.select("id"), "id").select("id", F.explode("blocks").alias("block")).distinct()
+        parts.append(seen.join(held.select("id", F.explode("held").alias("x")), "id").select("block", "x.no", "x.weight", "id"))
+    near = _multiply(placed, parts, k)
+    if far is not None:
+        near = near.unionByName(far).groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
+    best = Window.partitionBy("a").orderBy(F.desc("similarity"), F.col("b") < F.col("a"), "b")
+    return near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
 def walk(nodes: dict[int, list[tuple[int, int]]]) -> list[list[int]]:
-    """Greedy paths over all nodes: each starts at the least degree left and goes to the nearest unvisited neighbour."""
+    """Greedy paths over all nodes: each starts at the least degree and goes to the nearest unvisited neighbour."""
     heap = [(len(n), i) for i, n in nodes.items()]
     heapq.heapify(heap)
     seen, paths = set(), []
@@ -185,90 +412,237 @@ def walk(nodes: dict[int, list[tuple[int, int]]]) -> list[list[int]]:
     return paths
 
 
+_WALKED = "rid long, path long, pos int, n int, degree int"
+
+
+def _walk_clusters(batches):
+    """Rows sorted by cluster: the path and the place in it of every document."""
+    cluster, nodes, own = None, {}, {}
+
+    def flush():
+        for r in list(nodes):  # an edge leads both ways
+            for b, s in nodes[r][: own[r]]:
+                if b in nodes and (r, s) not in nodes[b]:
+                    nodes[b].append((r, s))
+        own.clear()
+        rows = [(r, p[0], k, len(p), len(nodes[r])) for p in walk(nodes) for k, r in enumerate(p)]
+        nodes.clear()
+        return rows
+
+    for b in batches:
+        out = []
+        for c, s, rid, near in zip(*(b.column(x).to_pylist() for x in ("cluster", "sub", "rid", "near"))):
+            if (c, s) != cluster:
+                out += flush()
+                cluster = (c, s)
+            nodes[rid] = [(x["b"], x["similarity"]) for x in near or ()]
+            own[rid] = len(nodes[rid])
+        if out:
+            yield _walked(out)
+    yield _walked(flush())
+
+
+def _walked(rows: list[tuple]) -> pa.RecordBatch:
+    c = list(zip(*rows)) or [()] * 5
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(c, [pa.int64()] * 2 + [pa.int32()] * 3)], [x.split()[0] for x in _WALKED.split(", ")])
+
+
+def paths(features: DataFrame, near: DataFrame, cluster: int = CLUSTER) -> tuple[DataFrame, DataFrame]:
+    """(rid, path, pos, n, degree) of every document, walked within what best neighbours connect; (a, b, similarity), a < b, of all neighbours."""
+    parts = connected_components(near.where("rank = 1"), "a", "b")
+    edges = materialize(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similarity").distinct(), "graph")
+    lists = near.groupBy("a").agg(F.collect_list(F.struct("b", "similarity")).alias("near"))
+    large = parts.groupBy("component").count().where(F.col("count") > cluster)
+    piece = F.when(F.col("count").isNotNull(), F.pmod(F.xxhash64(F.shiftright("rid", 10)), F.ceil(F.col("count") / cluster))).otherwise(F.lit(0))
+    placed = features.select("rid").join(parts, F.col("rid") == F.col("id"), "left").join(large, "component", "left").join(lists, F.col("rid") == F.col("a"), "left")
+    rows = placed.select(F.coalesce("component", "rid").alias("cluster"), piece.cast("long").alias("sub"), "rid", "near")
+    n = partitions(features.sparkSession)
+    return materialize(rows.repartition(n, "cluster", "sub").sortWithinPartitions("cluster", "sub", "rid").mapInArrow(_walk_clusters, _WALKED), "walked"), edges
+
+
+_LINKED = "chain long, into long, at long, flip boolean"
+
+
+def link(chains: dict[int, tuple[int, int, int]], edges: list[tuple[int, int]]) -> list[tuple[int, int, int, bool]]:
+    """(chain, into, at, flip): chains of (head, tail, paths) joined end to end by edges, the first that fit; ``at`` counts paths."""
+    of, up, near = {}, {c: c for c in chains}, {}
+    for c, (head, tail, _) in chains.items():
+        of[head] = of[tail] = c
+
+    def root(c):
+        while up[c] != c:
+            up[c] = c = up[up[c]]
+        return c
+
+    for a, b in edges:
+        x, y = of.get(a), of.get(b)
+        if x is None or y is None or root(x) == root(y):
+            continue
+        ends = [near.setdefault(c, [None, None]) for c in (x, y)]  # what follows the head, and the tail
+        at = [next((k for k in (1, 0) if chains[c][k] == e and n[k] is None), None) for c, e, n in ((x, a, ends[0]), (y, b, ends[1]))]
+        if None in at:
+            continue
+        ends[0][at[0]], ends[1][at[1]] = (y, at[1]), (x, at[0])
+        up[root(y)] = root(x)
+    out, done = [], set()
+    for c in sorted(chains):
+        n = near.get(c, [None, None])
+        if c in done or (n[0] is not None and n[1] is not None):
+            continue
+        first, at, came = c, 0, 0 if n[0] is None else 1
+        while True:
+            done.add(c)
+            out.append((c, first, at, came == 1))
+            at += chains[c][2]
+            after = near.get(c, [None, None])[1 - came]
+            if after is None:
+                break
+            c, came = after
+    return out
+
+
+def _link_task(batches):
+    chains, edges = {}, []
+    for b in batches:
+        for c, head, tail, size, a, e, key in zip(*(b.column(x).to_pylist() for x in ("chain", "head", "tail", "size", "a", "b", "key"))):
+            if key is None:
+                chains[c] = (head, tail, size)
+            else:
+                edges.append((-key["similarity"], key["degree"], key["h"], a, e))
+    rows = link(chains, [e[-2:] for e in sorted(edges)])
+    c = list(zip(*rows)) or [()] * 4
+    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(c, [pa.int64()] * 3 + [pa.bool_()])], [x.split()[0] for x in _LINKED.split(", ")])
+
+
+def chained(walked: DataFrame, edges: DataFrame, most: int = EDGES) -> DataFrame:
+    """(path, chain, at, flip): paths linked at their ends by the edges left, by similarity, degree and a hash.
+
+    Each round every chain takes its best edge, and edges that are best for
+    both of theirs are linked; that is what going through all edges in order
+    gives, as one task does once at most ``most`` are left.
+    """
+    ends = walked.groupBy("path").agg(F.min_by("rid", "pos").alias("head"), F.max_by("rid", "pos").alias("tail"))
+    at_end = walked.where("pos = 0 OR pos = n - 1").select("rid", "path", "degree")
+    x, y = (at_end.select(F.col("rid").alias(c), F.col("path").alias(f"p{c}"), F.col("degree").alias(f"d{c}")) for c in "ab")
+    key = F.struct((-F.col("similarity")).alias("minus"), (F.col("da") + F.col("db")).alias("degree"), F.xxhash64("a", "b").alias("h"), "a", "b")
+    live = materialize(edges.join(x, "a").join(y, "b").where("pa <> pb").select("a", "b", key.alias("key")), "live")
+    chains = materialize(ends.select(F.col("path").alias("chain"), "head", "tail", F.lit(1).cast("long").alias("size")), "chains")
+    seg = chains.select(F.col("chain").alias("path"), "chain", F.lit(0).cast("long").alias("at"), F.lit(False).alias("flip"))
+    while True:
+        side = chains.select("chain", "size", F.explode(F.array_distinct(F.array("head", "tail"))).alias("e"))
+        a, b = (side.select(F.col("chain").alias(f"c{s}"), F.col("e").alias(s)) for s in "ab")
+        now = materialize(live.select("a", "b", "key").join(a, "a").join(b, "b").where("ca <> cb").select("a", "b", "key", "ca", "cb"), "live")
+        release(live)
+        live, left = now, now.count()
+        if left <= most:
+            break
+        best = live.select(F.explode(F.array("ca", "cb")).alias("c"), "key").groupBy("c").agg(F.min("key").alias("key"))
+        won = live.join(best.select(F.col("c").alias("ca"), "key"), ["ca", "key"]).join(best.select(F.col("c").alias("cb"), "key"), ["cb", "key"]).select("ca", "cb", "a", "b")
+        one, two = (chains.select(F.col("chain").alias(f"c{s}"), *(F.col(c).alias(f"{c}_{s}") for c in ("head", "tail", "size"))) for s in "ab")
+        m = won.join(one, "ca").join(two, "cb").withColumn("flip_a", F.expr("a = head_a AND a <> tail_a")).withColumn("flip_b", F.expr("b = tail_b AND b <> head_b"))
+        m = materialize(m, "merged")
+        moves = m.select(F.col("ca").alias("chain"), F.col("ca").alias("into"), F.lit(0).cast("long").alias("off"), F.col("size_a").alias("size"), F.col("flip_a").alias("turn")).unionByName(m.select(F.col("cb").alias("chain"), F.col("ca").alias("into"), F.col("size_a").alias("off"), F.col("size_b").alias("size"), F.col("flip_b").alias("turn")))
+        fresh = m.select(F.col("ca").alias("chain"), F.when(F.col("flip_a"), F.col("tail_a")).otherwise(F.col("head_a")).alias("head"), F.when(F.col("flip_b"), F.col("head_b")).otherwise(F.col("tail_b")).alias("tail"), (F.col("size_a") + F.col("size_b")).alias("size"))
+        old, before = chains, seg
+        chains = materialize(chains.join(moves, "chain", "left_anti").unionByName(fresh), "chains")
+        seg = materialize(_moved(seg, moves), "segments")
+        release(old, before, m)
+    touched = live.select(F.explode(F.array("ca", "cb")).alias("chain")).distinct()
+    rows = chains.join(touched, "chain", "left_semi").select("chain", "head", "tail", "size", F.lit(None).cast("long").alias("a"), F.lit(None).cast("long").alias("b"), F.lit(None).cast("struct<similarity:long,degree:int,h:long>").alias("key"))
+    none = [F.lit(None).cast("long").alias(c) for c in ("chain", "head", "tail", "size")]
+    rows = rows.unionByName(live.select(*none, "a", "b", F.struct((-F.col("key.minus")).alias("similarity"), "key.degree", "key.h").alias("key")))
+    done = rows.repartition(1).mapInArrow(_link_task, _LINKED)
+    moves = done.join(chains.select("chain", "size"), "chain").select("chain", "into", F.col("at").alias("off"), "size", F.col("flip").alias("turn"))
+    return _moved(seg, moves)
+
+
+def _moved(seg: DataFrame, moves: DataFrame) -> DataFrame:
+    """Segments after their chains went (into, off, turned) others; those of other chains as they are."""
+    at = F.coalesce("off", F.lit(0)) + F.when(F.col("turn"), F.col("size") - 1 - F.col("at")).otherwise(F.col("at"))
+    return seg.join(moves, "chain", "left").select("path", F.coalesce("into", "chain").alias("chain"), at.alias("at"), (F.col("flip") != F.coalesce("turn", F.lit(False))).alias("flip"))
+
+
 SCHEMA = "bucket long, window_no int, n_words long, doc_ids array<long>, starts array<long>, ends array<long>, n_paths int"
 _TYPES = [pa.int64(), pa.int32(), pa.int64(), *[pa.list_(pa.int64())] * 3, pa.int32()]
 _NAMES = [c.split()[0] for c in SCHEMA.split(", ")]
+TEXT_SCHEMA = SCHEMA + ", texts array<string>"
 
 
 class Filler:
     """Cuts a stream of documents into windows."""
 
-    def __init__(self, size: int):
-        self.size, self.rows, self.bucket = size, [], None
+    def __init__(self, size: int, texts: bool = False):
+        self.size, self.texts, self.rows, self.bucket = size, texts, [], None
         self.reset()
 
     def reset(self) -> None:
-        self.ids, self.starts, self.ends, self.used, self.paths = [], [], [], 0, set()
+        self.ids, self.starts, self.ends, self.parts, self.used, self.chains = [], [], [], [], 0, set()
 
     def close(self) -> None:
         if self.ids:
-            self.rows.append((self.bucket, self.no, self.used, self.ids, self.starts, self.ends, len(self.paths)))
+            self.rows.append((self.bucket, self.no, self.used, self.ids, self.starts, self.ends, len(self.chains), self.parts))
             self.no += 1
             self.reset()
 
-    def open(self, bucket: int) -> None:
+    def open(self, bucket: int | None) -> None:
         self.close()
-        self.bucket, self.no, self.path = bucket, 0, 0
-
-    def add(self, path: list[tuple[int, int]]) -> None:
-        self.path += 1
-        for doc, length in path:
-            at = 0
-            while at < length:
-                n = min(length - at, self.size - self.used)
-                self.ids.append(doc), self.starts.append(at), self.ends.append(at + n), self.paths.add(self.path)
-                at += n
-                self.used += n
-                if self.used == self.size:
-                    self.close()
+        self.bucket, self.no = bucket, 0
+
+    def add(self, chain: int, doc: int | None, length: int, text: str | None) -> None:
+        at, where = 0, None
+        while at < length:
+            n = min(length - at, self.size - self.used)
+            self.ids.append(doc), self.starts.append(at), self.ends.append(at + n), self.chains.add(chain)
+            if self.texts:
+                if n < length and where is None:
+                    raw, first, last, _ = spans(pa.array([text]))
+                    where = raw.tobytes(), first, last
+                self.parts.append(text if n == length else where[0][where[1][at] : where[2][at + n - 1]].decode("utf-8", "replace"))
+            at += n
+            self.used += n
+            if self.used == self.size:
+                self.close()
 
     def take(self) -> pa.RecordBatch:
-        c = list(zip(*self.rows)) or [()] * len(_NAMES)
+        c = list(zip(*self.rows)) or [()] * 8
         self.rows = []
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(c, _TYPES)], _NAMES)
+        types, names = ([*_TYPES, pa.list_(pa.string())], [*_NAMES, "texts"]) if self.texts else (_TYPES, _NAMES)
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(c, types)], names)
 
 
-def _fill(window: int):
+def _fill(window: int, texts: bool):
     def run(batches):
-        fill, cluster, members = Filler(window), None, {}
-
-        def flush():
-            for path in walk({r: n for r, (_, _, n) in members.items()}):
-                fill.add([members[r][:2] for r in path])
-            members.clear()
-
-        for b in batches:
-            for bucket, c, rid, doc, length, near in zip(*(b.column(x).to_pylist() for x in ("bucket", "cluster", "rid", "doc_id", "length", "near"))):
-                if (bucket, c) != cluster:
-                    flush()
-                    if cluster is None or bucket != cluster[0]:
-                        fill.open(bucket)
-                    cluster = (bucket, c)
-                members[rid] = (doc, length, [(x["b"], x["similarity"]) for x in near or ()])
+        fill = Filler(window, texts)
+        for b in batches if not texts else slices(batches, limit=4 << 20):
+            n = b.num_rows
+            for bucket, chain, doc, length, text in zip(*(b.column(x).to_pylist() for x in ("bucket", "chain", "doc_id", "length")), b.column("text").to_pylist() if texts else [None] * n):
+                if bucket != fill.bucket:
+                    fill.open(bucket)
+                fill.add(chain, doc, length, text)
             if fill.rows:
                 yield fill.take()
-        flush()
-        if cluster is not None:
-            fill.close()
+        fill.close()
         yield fill.take()
 
     return run
 
 
-def pack_related(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame:
-    """One row for each window: which words of which documents it holds, in order."""
-    f = materialize(features(docs).drop("sketch"), "features")
-    near = materialize(neighbours(features(docs), k), "neighbours")  # sketches are made again: they are larger than the texts
-    parts = connected_components(near.where("rank = 1"), "a", "b")
-    edges = near.select("a", "b", "similarity").unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity")).distinct()
-    lists = edges.groupBy("a").agg(F.collect_list(F.struct("b", "similarity")).alias("near"))
+def pack_related(docs: DataFrame, window: int = WINDOW, k: int = K, texts: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row for each window: which words of which documents it holds, in order; with ``texts`` also these words as they stand in the documents."""
+    met = scanned(docs, id_col, text_col)
+    f = met.where("rid IS NOT NULL").select("rid", "doc_id", "length")
+    near = materialize(neighbours(met, k), "neighbours")
+    walked, edges = paths(f, near)
+    seg = chained(walked, edges)
     words = f.agg(F.sum("length")).first()[0] or 0
     n_buckets = max(1, words // (window * WINDOWS_A_BUCKET))
-    heads = parts.join(f.select(F.col("rid").alias("id"), "label"), "id").groupBy("component").agg(F.min("label").alias("first"))
-    placed = f.select("rid", "doc_id", "length", "label").join(parts, F.col("rid") == F.col("id"), "left").join(heads, "component", "left").join(lists, F.col("rid") == F.col("a"), "left")
-    cluster, first = F.coalesce("component", "rid"), F.coalesce("first", "label")
-    rows = placed.select(F.pmod(F.xxhash64(first), F.lit(n_buckets)).alias("bucket"), first.alias("first"), cluster.alias("cluster"), "rid", "doc_id", "length", "near")
-    return rows.repartition(partitions(docs.sparkSession), "bucket").sortWithinPartitions("bucket", "first", "cluster", "rid").mapInArrow(_fill(window), SCHEMA)
+    pos = F.when(F.col("flip"), F.col("n") - 1 - F.col("pos")).otherwise(F.col("pos"))
+    bucket = F.pmod(F.xxhash64("chain", F.floor(F.col("at") / PATHS)), F.lit(n_buckets))
+    rows = f.join(walked, "rid").join(seg, "path").select(bucket.alias("bucket"), "chain", "at", pos.alias("pos"), "rid", "doc_id", "length")
+    if texts:
+        text = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(q(text_col)).cast("string").alias("text"))
+        rows = rows.join(text.hint("shuffle_hash"), "rid")
+    return rows.repartition(partitions(docs.sparkSession), "bucket").sortWithinPartitions("bucket", "chain", "at", "pos").mapInArrow(_fill(window, texts), TEXT_SCHEMA if texts else SCHEMA)
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

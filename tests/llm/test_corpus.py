@@ -186,28 +186,23 @@ def test_near_duplicate_edges(spark):
 # packing
 
 
-def test_neighbours_hold_against_brute_force(spark):
-    texts, _ = near_corpus(6, 40)
-    rng = random.Random(6)
-    shared = " ".join(f"s{i}" for i in range(120))
-    texts += [" ".join(f"y{rng.randrange(10**6)}" for _ in range(100)) + " " + shared for _ in range(40)]
-    f = P.features(frame(spark, texts), scaled=8).cache()
+def hold_against_all(spark, texts):
+    """Neighbours of every document against the number of runs that whole texts share."""
+    runs = [{tuple(w[i : i + 5]) for i in range(max(len(w) - 4, min(len(w), 1)))} for w in map(str.split, texts)]
+    met = P.scanned(frame(spark, texts))
+    doc = {r.rid: r.doc_id for r in met.where("rid IS NOT NULL").collect()}
     near = defaultdict(dict)
-    for r in P.neighbours(f).collect():
-        near[r.a][r.b] = r.similarity
-    sk = {r.rid: set(r.sketch) for r in f.collect()}
-    right = total = 0
-    for a in sk:
-        sims = sorted((len(sk[a] & sk[b]) for b in sk if b != a and sk[a] & sk[b]), reverse=True)[: P.K]
-        total += len(sims)
-        if sims:
-            right += sum(len(sk[a] & sk[b]) >= sims[-1] for b in near[a])
-    assert total > 100 and right >= 0.9 * total
-
-
-@pytest.mark.parametrize("hot", [256, 6])
-def test_neighbours_are_those_of_whole_texts(spark, monkeypatch, hot):
-    monkeypatch.setattr(P, "HOT", hot)
+    for r in P.neighbours(met).collect():
+        near[doc[r.a]][doc[r.b]] = r.similarity
+    for a, x in enumerate(runs):
+        want = sorted((len(x & y) for b, y in enumerate(runs) if b != a and x & y), reverse=True)[: P.K]
+        assert sorted(near[a].values(), reverse=True) == want and all(s == len(x & runs[b]) for b, s in near[a].items())
+
+
+@pytest.mark.parametrize("hot,spread,held", [(1 << 16, 1 << 20, 1 << 23), (1 << 16, 30, 1 << 23), (20, 1 << 20, 1 << 23), (10, 60, 500), (3, 1, 1)])
+def test_neighbours_are_those_of_whole_texts(spark, monkeypatch, hot, spread, held):
+    for name, value in (("HOT", hot), ("SPREAD", spread), ("HELD", held), ("BLOCK", 16)):
+        monkeypatch.setattr(P, name, value)
     rng = random.Random(9)
     word = lambda: f"z{rng.randrange(10**6)}"
     texts = []
@@ -217,16 +212,50 @@ def test_neighbours_are_those_of_whole_texts(spark, monkeypatch, hot):
     lines = [" ".join(word() for _ in range(9)) for _ in range(3)]
     for i in range(40):  # unlike documents in long lists, some with a nearer one
         texts.append(" ".join([lines[j] + " " + word() for j in range(3) if i % 7 != j] + [word() for _ in range(30)]))
-    texts += [t + " " + word() for t in texts[60:66]]
-    runs = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
-    f = P.features(frame(spark, texts)).cache()
-    doc = {r.rid: r.doc_id for r in f.collect()}
-    near = defaultdict(dict)
-    for r in P.neighbours(f).collect():
-        near[doc[r.a]][doc[r.b]] = r.similarity
-    for a, x in enumerate(runs):
-        want = sorted((len(x & y) for b, y in enumerate(runs) if b != a and x & y), reverse=True)[: P.K]
-        assert sorted(near[a].values(), reverse=True) == want and all(s == len(x & runs[b]) for b, s in near[a].items())
+    texts += [t + " " + word() for t in texts[60:66]] + [texts[70]] * 30 + ["a a a a a a a a", "a a", "a", ""]
+    near, _ = near_corpus(6, 12)
+    hold_against_all(spark, texts + near + [lines[0] + " " + t for t in near[:9]])
+
+
+def test_products_are_the_same_dense_and_sparse():
+    rng = np.random.default_rng(2)
+    for lists, ids in ((400, 30), (60, 900)):
+        members = [np.sort(rng.choice(ids, rng.integers(2, 9), replace=False)) for _ in range(lists)]
+        weights, sizes = rng.integers(1, 9, lists), np.array([len(m) for m in members])
+        a, b, s = P.nearest_of_block(np.arange(0, ids, 2), weights, sizes, np.concatenate(members), 3)
+        both = np.zeros((ids, ids), int)
+        for m, w in zip(members, weights):
+            both[np.ix_(m, m)] += w
+        np.fill_diagonal(both, 0)
+        for i in range(0, ids, 2):
+            order = sorted(np.flatnonzero(both[i]), key=lambda j: (-both[i, j], j < i, j))[:3]
+            assert b[a == i].tolist() == order and s[a == i].tolist() == both[i, order].tolist()
+
+
+def test_links_are_the_same_in_rounds_and_in_one_task(spark):
+    rng = random.Random(3)
+    walked = [(10 * p + k, 10 * p, k, n, rng.randrange(5)) for p in range(60) for n in [rng.randrange(1, 4)] for k in range(n)]
+    ids = [r[0] for r in walked]
+    edges = {tuple(sorted(rng.sample(ids, 2))): rng.randrange(1, 6) for _ in range(300)}
+    w = spark.createDataFrame(walked, "rid long, path long, pos int, n int, degree int")
+    e = spark.createDataFrame([(a, b, s) for (a, b), s in edges.items()], "a long, b long, similarity long")
+
+    def orders(most):
+        by = defaultdict(list)
+        for r in P.chained(w, e, most).collect():
+            by[r.chain].append((r.at, r.path, r.flip))
+        out = set()
+        for rows in by.values():
+            assert sorted(r[0] for r in rows) == list(range(len(rows)))
+            line = [d for _, p, flip in sorted(rows) for d in sorted((x for x in ids if x // 10 == p // 10), reverse=flip)]
+            out.add(min(tuple(line), tuple(reversed(line))))
+        return out
+
+    one = orders(10**6)
+    assert one == orders(0) and sum(map(len, one)) == len(ids) and len(one) < 30
+    joined = {d for line in one for d in (line[0], line[-1])}
+    of = {d: line for line in one for d in line}
+    assert not [1 for a, b in edges if a in joined and b in joined and of[a] != of[b]]  # no two ends with an edge are left apart
 
 
 def test_walk_starts_low_and_goes_near():
@@ -247,6 +276,9 @@ def test_windows_hold_every_word_once(spark):
     stream = [d for r in sorted(rows, key=lambda r: (r.bucket, r.window_no)) for d in r.doc_ids]
     order = [d for k, d in enumerate(stream) if not k or stream[k - 1] != d]
     beside = sum(group[a] == group[b] for a, b in zip(order, order[1:]))
+    whole = P.pack_related(frame(spark, texts), window=256, texts=True).collect()
+    assert {(r.bucket, r.window_no, tuple(r.doc_ids), tuple(r.starts)) for r in whole} == {(r.bucket, r.window_no, tuple(r.doc_ids), tuple(r.starts)) for r in rows}
+    assert all(t.split() == texts[d].split()[s:e] for r in whole for d, s, e, t in zip(r.doc_ids, r.starts, r.ends, r.texts))
     assert beside >= 0.8 * (len(group) - len(set(group)))
 
 
