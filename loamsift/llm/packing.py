@@ -6,8 +6,8 @@ and each document keeps its K most similar; of equals the next in place, so
 that copies form a ring and no star.
 
 Documents meet in a shuffle on the hashes of their runs. Runs with the same
-documents are one list with a weight. Documents lie in blocks by their least
-hash, near copies side by side; a list is sent once to each block that has
+documents are one list with a weight. Documents lie in blocks, near copies
+side by side; a list is sent once to each block that has
 members of it, and a block's similarities are a product of two incidence
 matrices, of which K a document leave the task. Lists that lie so wide that
 members times blocks pass ``SPREAD`` aren't sent: documents with the same wide
@@ -33,6 +33,7 @@ as tables of files do.
 from __future__ import annotations
 
 import heapq
+import math
 from collections import Counter
 
 import numpy as np
@@ -51,8 +52,8 @@ GRAM = 5
 K = 4
 WINDOW = 1024
 WINDOWS_A_BUCKET = 256
-BLOCK = 512  # documents of one product
-SPREAD = 1 << 20  # members times blocks up to which a list is sent to its blocks
+BLOCK = 8192  # documents of one product
+SPREAD = 1 << 17  # members times blocks up to which a list is sent to its blocks
 HOT = 1 << 16  # documents of a run beyond which no task holds them together
 HELD = 1 << 23  # (hash, document) pairs of a task after which it looks for hot runs
 CLUSTER = 50_000  # documents of one walk
@@ -68,12 +69,12 @@ def _grams(sizes: np.ndarray, h: np.ndarray, powers: Powers) -> tuple[np.ndarray
     return owner, mix(span_hash(prefix_hashes(h, powers), at, at + np.minimum(GRAM, sizes[owner]), powers))
 
 
-_SENT = "to int, hashes binary, rids binary, rid array<long>, doc_id array<long>, length array<long>, label array<long>"
-_FEATURES = ("rid", "doc_id", "length", "label")
+_SENT = "to int, hashes binary, rids binary, rid array<long>, doc_id array<long>, length array<long>"
+_FEATURES = ("rid", "doc_id", "length")
 
 
 def _scan(n_parts: int):
-    """One pass over the texts: the hashes for each partition as bytes, and (rid, doc_id, length, least hash) beside them."""
+    """One pass over the texts: the hashes for each partition as bytes, and (rid, doc_id, length) beside them."""
     small = np.uint16 if n_parts <= 1 << 16 else np.int64
 
     def run(batches):
@@ -83,8 +84,8 @@ def _scan(n_parts: int):
             h, rid = (np.concatenate([x[k] for x in held]) for k in (0, 1))
             out = _blobs((h % np.uint64(n_parts)).astype(small), {"hashes": h, "rids": rid})
             none = pa.nulls(out.num_rows, pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([*out.columns, *[none] * 4], ["to", "hashes", "rids", *_FEATURES])
-            rows = [pa.concat_arrays([x[2][k] for x in held]) for k in range(4)]
+            yield pa.RecordBatch.from_arrays([*out.columns, *[none] * 3], ["to", "hashes", "rids", *_FEATURES])
+            rows = [pa.concat_arrays([x[2][k] for x in held]) for k in range(3)]
             lists = [pa.ListArray.from_arrays(pa.array([0, len(r)], pa.int32()), r) for r in rows]
             yield pa.RecordBatch.from_arrays([pa.array([int(rid[0]) % n_parts], pa.int32()), *[pa.nulls(1, pa.binary())] * 2, *lists], ["to", "hashes", "rids", *_FEATURES])
             held.clear()
@@ -94,9 +95,8 @@ def _scan(n_parts: int):
             if not len(h):
                 continue
             owner, grams = _grams(sizes, h, powers)
-            label = np.minimum.reduceat(grams, np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])))
             full = pa.array(np.flatnonzero(sizes))
-            held.append((grams, b.column("rid").to_numpy()[owner], (b.column("rid").take(full), b.column("doc_id").take(full), pa.array(sizes[sizes > 0]), pa.array(label.view(np.int64)))))
+            held.append((grams, b.column("rid").to_numpy()[owner], (b.column("rid").take(full), b.column("doc_id").take(full), pa.array(sizes[sizes > 0]))))
             if sum(len(x[0]) for x in held) >= min(4_000_000, 2000 * n_parts):
                 yield from flush()
         if held:
@@ -105,7 +105,7 @@ def _scan(n_parts: int):
     return run
 
 
-_MET = "members binary, weight long, gram long, rid long, doc_id long, length long, label long"
+_MET = "members binary, weight long, gram long, rid long, doc_id long, length long"
 
 
 def _met(**columns) -> pa.RecordBatch:
@@ -205,58 +205,89 @@ def _members(batches):
             yield pa.RecordBatch.from_arrays([*(b.column(c).take(of) for c in rest), pa.array(np.frombuffer(b"".join(part), np.int64))], [*rest, "id"])
 
 
-def nearest_of_block(rows: np.ndarray, weights: np.ndarray, sizes: np.ndarray, members: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """begin[0], begin[0] + 1, ... for size[0] numbers, then so for the next."""
+    return np.arange(int(size.sum())) + np.repeat(begin - (np.cumsum(size) - size), size)
+
+
+def nearest_of_block(rows: np.ndarray, weights: np.ndarray, sizes: np.ndarray, members: np.ndarray, k: int, slab: int = 256) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(a, b, similarity): for each of the rows its k nearest, where two are as similar as their common lists weigh; of equals the next in order, in a ring."""
-    cols, code = np.unique(members, return_inverse=True)
+    names, code = np.unique(members, return_inverse=True)
     of = np.repeat(np.arange(len(sizes)), sizes)
     begin = np.cumsum(sizes) - sizes
-    rows = np.sort(rows[np.isin(rows, cols)])
-    place = np.searchsorted(cols, rows)
-    row_of = np.full(len(cols), -1)
-    row_of[place] = np.arange(len(rows))
+    row_of = np.full(len(names), -1)
+    row_of[np.flatnonzero(np.isin(names, rows))] = 0
+    own_code = np.flatnonzero(row_of == 0)
+    row_of[own_code] = np.arange(len(own_code))
     mine = np.flatnonzero(row_of[code] >= 0)
-    mine = mine[np.argsort(row_of[code[mine]], kind="stable")]
-    row = row_of[code[mine]]
+    mine = mine[np.argsort(of[mine], kind="stable")]
+    side = np.full(len(own_code), -1)  # rows with the same longest list come together
+    long_first = mine[np.argsort(sizes[of[mine]], kind="stable")]
+    side[row_of[code[long_first]]] = of[long_first]
+    turn = np.empty(len(own_code), np.int64)
+    turn[np.argsort(side, kind="stable")] = np.arange(len(own_code))
+    at_row = np.empty(len(own_code), np.int64)
+    at_row[turn] = np.arange(len(own_code))
+    place = turn[row_of[code[mine]]]
+    order = np.argsort(place, kind="stable")
+    mine, place = mine[order], place[order]
+    exact = np.float32 if weights.sum() < 2**23 else np.float64
     out = []
-    slab = max(1, min(256, 8_000_000 // max(1, len(cols))))
-    for at in range(0, len(rows), slab):
-        some = mine[np.searchsorted(row, at) : np.searchsorted(row, at + slab)]
-        r, lists = row_of[code[some]] - at, of[some]
-        n = min(slab, len(rows) - at)
-        used, which = np.unique(lists, return_inverse=True)
-        s = np.zeros((n, len(cols)))
-        if n * len(used) * len(cols) < 500 * int(sizes[lists].sum()):
-            for k0 in range(0, len(used), 512):
-                part = np.flatnonzero((which >= k0) & (which < k0 + 512))
-                left, right = np.zeros((n, min(512, len(used) - k0))), np.zeros((min(512, len(used) - k0), len(cols)))
-                left[r[part], which[part] - k0] = weights[lists[part]]
-                for x in range(right.shape[0]):
-                    u = used[k0 + x]
-                    right[x, code[begin[u] : begin[u] + sizes[u]]] = 1
-                s += left @ right
+    for at in range(0, len(own_code), slab):
+        n = min(slab, len(own_code) - at)
+        x, y = np.searchsorted(place, [at, at + n])
+        r, (used, which) = place[x:y] - at, np.unique(of[mine[x:y]], return_inverse=True)
+        long = sizes[used]
+        c = code[_ranges(begin[used], long)]
+        seen = np.zeros(len(names), bool)
+        seen[c] = True
+        cols = np.flatnonzero(seen)
+        small = np.cumsum(seen) - 1
+        c, first = small[c], np.cumsum(long) - long
+        own = small[own_code[at_row[at : at + n]]]
+        work, cells = int(long[which].sum()), n * len(cols)
+        if cells > 8 * work:  # few of the pairs have anything in common
+            many = long[which]
+            key = np.repeat(r, many) * len(cols) + c[_ranges(first[which], many)]
+            key, inverse = np.unique(key, return_inverse=True)
+            v = np.bincount(inverse, np.repeat(weights[used][which], many)).astype(np.int64)
+            i, j = key // len(cols), key % len(cols)
+            other = j != own[i]
+            i, j, v = i[other], j[other], v[other]
+            order = np.lexsort(((j - own[i] - 1) % len(cols), -v, i))
+            i, j, v = i[order], j[order], v[order]
+            keep = np.arange(len(i)) - np.searchsorted(i, np.arange(n))[i] < k
+            i, j, v = i[keep], j[keep], v[keep]
         else:
-            step = np.concatenate([[0], np.cumsum(sizes[lists])])
-            k0 = 0
-            while k0 < len(lists):
-                k1 = max(k0 + 1, int(np.searchsorted(step, step[k0] + 2_000_000, "right")) - 1)
-                n_of = sizes[lists[k0:k1]]
-                inner = np.arange(int(n_of.sum())) - np.repeat(np.cumsum(n_of) - n_of, n_of)
-                key = np.repeat(r[k0:k1], n_of) * len(cols) + code[np.repeat(begin[lists[k0:k1]], n_of) + inner]
-                w = np.repeat(weights[lists[k0:k1]], n_of)
-                if len(key) * 4 < s.size:
-                    np.add.at(s.reshape(-1), key, w)
-                else:
-                    s += np.bincount(key, w, s.size).reshape(s.shape)
-                k0 = k1
-        own = place[at : at + n]
-        s[np.arange(n), own] = 0
-        i, j = np.nonzero(s)
-        v = s[i, j]
-        order = np.lexsort(((j - own[i] - 1) % len(cols), -v, i))
-        i, j, v = i[order], j[order], v[order]
-        first = np.searchsorted(i, np.arange(n))
-        keep = np.arange(len(i)) - first[i] < k
-        out.append((rows[at + i[keep]], cols[j[keep]], v[keep].astype(np.int64)))
+            s = np.zeros((n, len(cols)), exact)
+            if cells * len(used) < 50 * work:
+                for k0 in range(0, len(used), 256):
+                    some = (which >= k0) & (which < k0 + 256)
+                    left, right = np.zeros((n, min(256, len(used) - k0)), exact), np.zeros((min(256, len(used) - k0), len(cols)), exact)
+                    left[r[some], which[some] - k0] = weights[used[which[some]]]
+                    many = long[k0 : k0 + 256]
+                    right[np.repeat(np.arange(len(many)), many), c[_ranges(first[k0 : k0 + 256], many)]] = 1
+                    s += left @ right
+            else:
+                step = np.concatenate([[0], np.cumsum(long[which])])
+                k0 = 0
+                while k0 < len(which):
+                    k1 = max(k0 + 1, int(np.searchsorted(step, step[k0] + 4_000_000, "right")) - 1)
+                    many = long[which[k0:k1]]
+                    key = np.repeat(r[k0:k1] * len(cols), many) + c[_ranges(first[which[k0:k1]], many)]
+                    r0, r1 = int(r[k0]), int(r[k1 - 1]) + 1
+                    part = np.bincount(key - r0 * len(cols), np.repeat(weights[used[which[k0:k1]]], many), (r1 - r0) * len(cols))
+                    s[r0:r1] += part.reshape(r1 - r0, -1).astype(exact)
+                    k0 = k1
+            s[np.arange(n), own] = 0
+            ring = (np.arange(len(cols))[None, :] - own[:, None] - 1) % len(cols)
+            rank = s.astype(np.float64) * (len(cols) + 1) - ring
+            rank[s == 0] = -np.inf
+            best = np.argpartition(-rank, min(k, len(cols)) - 1, axis=1)[:, :k]
+            i, j = np.repeat(np.arange(n), best.shape[1]), best.ravel()
+            v = s[i, j].astype(np.int64)
+            i, j, v = i[v > 0], j[v > 0], v[v > 0]
+        out.append((names[own_code[at_row[at + i]]], names[cols[j]], v))
     return tuple(np.concatenate(c) for c in zip(*out)) if out else (np.zeros(0, np.int64),) * 3
 
 
@@ -318,6 +349,19 @@ def _blocks(ids: DataFrame, by: str) -> DataFrame:
     return materialize(ids.select("id", by).repartitionByRange(n, by, "id").sortWithinPartitions(by, "id").mapInArrow(_placed, "id long, block long"), "blocks")
 
 
+def _sides(lists: DataFrame) -> DataFrame:
+    """(id, side): the list by which each member of any is put beside others.
+
+    Of the lists of a document those of like size (within a half) belong
+    together; of the sizes that has most runs the longest list is taken, so
+    that near copies agree on it however many longer passages some have.
+    """
+    size = (F.octet_length("members") / 8).cast("long")
+    each = lists.select("no", "weight", size.alias("n"), "members").mapInArrow(_members, "no long, weight long, n long, id long")
+    sizes = each.groupBy("id", F.floor(F.log("n") / math.log(1.5)).alias("like")).agg(F.sum("weight").alias("runs"), F.max(F.struct("n", "no")).alias("longest"))
+    return sizes.groupBy("id").agg(F.max(F.struct("runs", "longest")).alias("best")).select("id", F.col("best.longest.no").alias("side"))
+
+
 def _ring(k: int):
     """(a, b, similarity): each document of a class with the k that come after it, around the class's end."""
 
@@ -360,14 +404,14 @@ def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """Lists and features of the documents with words, written."""
     n_parts = partitions(docs.sparkSession)
     placed = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(q(id_col)).cast("long").alias("doc_id"), F.col(q(text_col)).cast("string").alias("text"))
-    return materialize(placed.mapInArrow(_scan(n_parts), _SENT).repartition(n_parts, "to").mapInArrow(_lists(HOT, HELD), _MET), "met")
+    return materialize(placed.mapInArrow(_scan(n_parts), _SENT).repartitionById(n_parts, "to").mapInArrow(_lists(HOT, HELD), _MET), "met")
 
 
 def neighbours(met: DataFrame, k: int = K) -> DataFrame:
     """(a, b, similarity, rank): the k most similar documents of each that shares a run with any."""
     folded = met.where("members IS NOT NULL AND gram IS NULL").groupBy("members").agg(F.sum("weight").alias("weight"))
     lists = materialize(folded.select(F.monotonically_increasing_id().alias("no"), "weight", "members"), "lists")
-    placed = _blocks(met.where("rid IS NOT NULL").select(F.col("rid").alias("id"), "label"), "label")
+    placed = _blocks(_sides(lists), "side")
     where = lists.select("no", "members").mapInArrow(_members, "no long, id long").join(placed, "id")
     spread = where.groupBy("no").agg(F.collect_set("block").alias("blocks"), F.count("*").alias("n"))
     sent = materialize(lists.join(spread, "no"), "sent")
