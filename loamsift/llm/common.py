@@ -28,7 +28,7 @@ def pick(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
     return df.select(F.col(q(id_col)).cast("long").alias("doc_id"), F.col(q(text_col)).cast("string").alias("text"))
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str | int = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Batches of about ``limit`` bytes of text, so that memory doesn't follow the length of documents."""
     for b in batches:
         if not b.num_rows:

@@ -11,9 +11,14 @@ Blocks are items of like self-score. A passage first sums, for all its words
 at once, each block's largest impacts; blocks that stay below their smallest
 threshold are skipped, and WAND with block bounds goes through the rest.
 
+Document frequencies, the mean length and the window are those of all items,
+also where these are so many that they are indexed in parts.
+
 Defined results: null and empty texts match nothing; items that are null or
 without words are left out; repeated rows and equal items each give their own
-rows; empty tables give an empty result; long texts are read whole.
+rows; null ids stay null; of windows with equal scores the first is given;
+empty tables give an empty result; other columns are ignored (``leaks``) or
+passed through (``remove_contaminated``); long texts are read whole.
 """
 
 from __future__ import annotations
@@ -31,6 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loamsift.llm.common import pick, slices, table
+from loamsift.session import materialize, release
 
 WORD = re.compile(r"\w+")
 SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
@@ -80,13 +86,23 @@ def terms_of(words: list[str]) -> list[tuple[str, str]]:
     return list(zip(words, words[1:])) if len(words) > 1 else [(w, "") for w in words]
 
 
-def build(items: list[tuple[int, str]], share: float = SHARE) -> Index | None:
-    """An index of (item_id, text); None without any usable item."""
+@dataclass(frozen=True)
+class Statistics:
+    """Of all usable items: how many, their mean number of terms, and the words of the longest."""
+
+    n: int
+    mean: float
+    longest: int
+
+
+def build(items: list[tuple[int, str]], share: float = SHARE, df: dict | None = None, of_all: Statistics | None = None) -> Index | None:
+    """An index of (item_id, text); None without any usable item. ``df`` and ``of_all`` are those of these items unless they are given."""
     docs = [(i, t, terms_of(words_of(t))) for i, t in items if t and words_of(t)]
     if not docs:
         return None
-    df = Counter(x for *_, t in docs for x in set(t))
-    n, mean = len(docs), sum(len(t) for *_, t in docs) / len(docs)
+    df = df or Counter(x for *_, t in docs for x in set(t))
+    of_all = of_all or Statistics(len(docs), sum(len(t) for *_, t in docs) / len(docs), max(len(words_of(t)) for _, t, _ in docs))
+    n, mean = of_all.n, of_all.mean
 
     def impact(term, tf, size):
         return math.log(1 + (n - df[term] + 0.5) / (df[term] + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B_LEN + B_LEN * size / mean))
@@ -100,14 +116,13 @@ def build(items: list[tuple[int, str]], share: float = SHARE) -> Index | None:
         for (a, b), v in t.items():
             by[vocab[a] * (len(vocab) + 1) + vocab.get(b, 0)].append((k, v))
     codes = np.array(sorted(by), np.int64)
-    size = max(BLOCK, -(-n // LEVEL))
-    block_of = np.arange(n) // size
+    size = max(BLOCK, -(-len(weighed) // LEVEL))
+    block_of = np.arange(len(weighed)) // size
     level = np.zeros((len(codes) + 1, int(block_of[-1]) + 1), np.float32)
     for k, c in enumerate(codes):
         for item, v in by[int(c)]:
             level[k, block_of[item]] = max(level[k, block_of[item]], v * 1.00001)
-    longest = max(len(words_of(t)) for _, t, _ in weighed)
-    return Index([d[0] for d in weighed], [question_and_answer(d[1]) for d in weighed], vocab, codes, [by[int(c)] for c in codes], limits, block_of, np.minimum.reduceat(limits, np.searchsorted(block_of, np.arange(block_of[-1] + 1))), level, max(WINDOW, 2 * longest))
+    return Index([d[0] for d in weighed], [question_and_answer(d[1]) for d in weighed], vocab, codes, [by[int(c)] for c in codes], limits, block_of, np.minimum.reduceat(limits, np.searchsorted(block_of, np.arange(block_of[-1] + 1))), level, max(WINDOW, 2 * of_all.longest))
 
 
 def wand(index: Index, terms: list[int], live: np.ndarray) -> list[tuple[int, float]]:
@@ -150,11 +165,10 @@ def wand(index: Index, terms: list[int], live: np.ndarray) -> list[tuple[int, fl
                 if c[0][c[1]][0] < pivot:
                     seek(c, pivot)
         else:
-            score = 0.0
-            for c in cursors:
-                if c[1] < len(c[0]) and c[0][c[1]][0] == pivot:
-                    score += c[0][c[1]][1]
-                    c[1] += 1
+            found = [c for c in cursors if c[1] < len(c[0]) and c[0][c[1]][0] == pivot]
+            score = math.fsum(c[0][c[1]][1] for c in found)
+            for c in found:
+                c[1] += 1
             if score >= index.limits[pivot] - 1e-9:
                 out.append((pivot, score))
 
@@ -203,17 +217,42 @@ def search(index: Index, words: list[str]) -> list[tuple[int, int, float, float,
 SCHEMA = "doc_id long, item_id long, passage_start int, score double, question_overlap double, answer_overlap double"
 
 
+def _item_terms(batches):
+    """The distinct terms of each usable item, joined by spaces, and its numbers of terms and words."""
+    for b in batches:
+        rows = []
+        for rid, text in zip(b.column("rid").to_pylist(), b.column("text").to_pylist()):
+            words = words_of(text)
+            if words:
+                terms = terms_of(words)
+                rows.append((rid, [" ".join(x for x in t if x) for t in dict.fromkeys(terms)], len(terms), len(words)))
+        c = list(zip(*rows)) or [()] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(c, [pa.int64(), pa.list_(pa.string()), pa.int64(), pa.int64()])], ["rid", "terms", "n_terms", "n_words"])
+
+
 def _indexes(items: DataFrame, share: float):
-    """Indexes of at most ITEMS_AT_ONCE items each, in turn, so that what a task holds has a checked size."""
-    rows = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).orderBy("item_id", "text")
-    part = []
-    for r in rows.toLocalIterator():
+    """Indexes of at most ITEMS_AT_ONCE items each, in turn, so that what a task holds has a checked size; statistics are those of all items."""
+    rows = items.select(F.monotonically_increasing_id().alias("rid"), F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+    rows = materialize(rows, "items")
+    terms = materialize(rows.select("rid", "text").mapInArrow(_item_terms, "rid long, terms array<string>, n_terms long, n_words long"), "terms")
+    of = terms.agg(F.count("*").alias("n"), F.sum("n_terms").alias("terms"), F.max("n_words").alias("longest")).first()
+    if not of.n:
+        return
+    of_all = Statistics(of.n, of.terms / of.n, of.longest)
+    each = terms.select("rid", F.explode("terms").alias("term"))
+    counts = each.join(each.groupBy("term").agg(F.count("*").alias("df")), "term").groupBy("rid").agg(F.collect_list(F.struct("term", "df")).alias("counts"))
+    part, df = [], {}
+    for r in rows.join(counts, "rid").orderBy("item_id", "text", "rid").toLocalIterator():
         part.append((r.item_id, r.text))
+        for x in r.counts:
+            a, _, b = x.term.partition(" ")
+            df[a, b] = x.df
         if len(part) == ITEMS_AT_ONCE:
-            yield build(part, share)
-            part = []
+            yield build(part, share, df, of_all)
+            part, df = [], {}
     if part:
-        yield build(part, share)
+        yield build(part, share, df, of_all)
+    release(rows, terms)
 
 
 def leaks(docs: DataFrame, items: DataFrame, share: float = SHARE) -> DataFrame:
@@ -243,7 +282,7 @@ def remove_contaminated(docs: DataFrame, items: DataFrame, share: float = SHARE,
 
         def run(batches, held=held):
             index = pickle.loads(held.value)
-            for b in batches:
+            for b in slices(batches, text_at):
                 yield b.filter(pa.array([not search(index, words_of(t)) for t in b.column(text_at).to_pylist()], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
