@@ -13,7 +13,10 @@ Defined results: null and empty texts have no findings; repeated rows each
 give theirs; ids may be null; an empty table gives an empty result; texts are
 read whole. A compressed stretch that unpacks to more than ``MAX_LAYER``
 bytes is itself reported, as ``oversized_layer``, so that nothing is dropped
-in silence. ``redact_secrets`` passes other columns through and sets
+in silence, and so is one in xz whose dictionary needs more than
+``XZ_MEMORY``. Decoded bytes are read as UTF-8, UTF-16, or else byte for byte.
+Where several layers give the same kind and span the least deep is given.
+``redact_secrets`` passes other columns through and sets
 ``n_chars``, where there is one, to the length of a changed text.
 """
 
@@ -36,6 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from loamsift.llm.common import pick, slices, table
 
 MAX_LAYER = 64 << 20
+XZ_MEMORY = 256 << 20
 RULES = [
     ("aws_access_key", ("AKIA", "ASIA"), re.compile(r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])")),
     ("github_token", ("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_"), re.compile(r"\b(?:gh[pousr]_[A-Za-z0-9]{36,}|github_pat_\w{22,})")),
@@ -44,10 +48,10 @@ RULES = [
     ("stripe_key", ("k_live_", "k_test_"), re.compile(r"\b[rs]k_(?:live|test)_[A-Za-z0-9]{16,}")),
     ("private_key", ("-----BEGIN",), re.compile(r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----(?:[\s\S]*?-----END (?:[A-Z]+ )*PRIVATE KEY-----)?")),
     ("jwt", ("eyJ",), re.compile(r"\beyJ[\w-]{8,}\.eyJ[\w-]{8,}\.[\w-]{8,}")),
-    ("url_credentials", ("://",), re.compile(r"\b[a-z][a-z0-9+.-]{1,20}://[^\s/:@]{1,256}:[^\s/@]{3,256}@[\w.-]+")),
+    ("url_credentials", ("://",), re.compile(r"[a-z][a-z0-9+.-]{0,20}://[^\s/:@]+:[^\s/@]{3,}@[\w.-]+")),
 ]
-NAMED = re.compile(r"(?i)\b(?:password|passwd|pwd|passphrase|secret|token|api[_-]?key|access[_-]?key|auth[_-]?key|client[_-]?secret)[\"']?\s{0,8}[=:]\s{0,8}(?:\"([^\"\n]{8,})\"|'([^'\n]{8,})'|([^\s\"',;]{8,}))")
-NAMES = ("passw", "pwd", "passphrase", "secret", "token", "api", "access", "auth")
+NAMED = re.compile(r"(?:(?<![A-Za-z0-9])|(?<=[a-z0-9])(?=[A-Z]))(?i:password|passwd|pwd|passphrase|secret(?:[_-]?(?:access[_-]?)?key)?|token|(?:api|access|auth|private|encryption|signing)[_-]?key|client[_-]?secret)[\"']?\s{0,8}[=:]\s{0,8}(?:\"([^\"\n]{8,})\"|'([^'\n]{8,})'|([^\s\"',;]{8,}))")
+NAMES = ("passw", "pwd", "passphrase", "secret", "token", "key")
 PERCENT = re.compile(r"(?<![\w.~+/=%-])[\w.~+/=-]*(?:%[0-9A-Fa-f]{2}[\w.~+/=-]*)+")
 HAS_PERCENT = re.compile(r"%[0-9A-Fa-f]{2}")
 ESCAPE = re.compile(r"\\u\{[0-9a-fA-F]{1,6}\}|\\u[0-9a-fA-F]{4}|\\x[0-9a-fA-F]{2}|&#[xX]?[0-9a-fA-F]{1,7};")
@@ -79,7 +83,7 @@ def _member(codec: str, data: bytes, room: int) -> tuple[bytes, bytes | None]:
         if codec == "zstd":
             d, step = zstandard.ZstdDecompressor().decompressobj(), 256
         else:
-            d, step = zlib.decompressobj(zlib.MAX_WBITS | 32) if codec in ("gzip", "zlib") else bz2.BZ2Decompressor() if codec == "bzip2" else lzma.LZMADecompressor(memlimit=256 << 20), 4096
+            d, step = zlib.decompressobj(zlib.MAX_WBITS | 32) if codec in ("gzip", "zlib") else bz2.BZ2Decompressor() if codec == "bzip2" else lzma.LZMADecompressor(memlimit=XZ_MEMORY), 4096
         for at in range(0, len(data), step):
             part = data[at : at + step]
             out += d.decompress(part) if codec == "zstd" else d.decompress(part, room + 1 - len(out))
@@ -87,7 +91,10 @@ def _member(codec: str, data: bytes, room: int) -> tuple[bytes, bytes | None]:
                 return bytes(out), d.unused_data + data[at + step :]
             if len(out) > room:
                 break
-    except (zlib.error, zstandard.ZstdError, OSError, lzma.LZMAError, EOFError, ValueError):
+    except lzma.LZMAError as e:
+        if "emory" in str(e):  # a dictionary beyond XZ_MEMORY
+            raise MemoryError from e
+    except (zlib.error, zstandard.ZstdError, OSError, EOFError, ValueError):
         pass
     return bytes(out), None
 
@@ -104,21 +111,42 @@ def unpack(data: bytes) -> tuple[str, bytes | None] | None:
         codec = next((c for magic, c in MAGIC if rest.startswith(magic)), None)
         if not codec:
             break
-        got, rest = _member(codec, rest, MAX_LAYER - len(out))
         first = first or codec
+        try:
+            got, rest = _member(codec, rest, MAX_LAYER - len(out))
+        except MemoryError:
+            return first, None
         out += got
         if len(out) > MAX_LAYER:
             return first, None
     return (first, bytes(out)) if out else None
 
 
-def readable(data: bytes) -> str | None:
-    """The text of bytes that are text."""
+def _utf16(data: bytes) -> str | None:
+    """The byte order of text in UTF-16 that is mostly ASCII."""
+    even, odd = data[0::2].count(0), data[1::2].count(0)
+    if 4 * max(even, odd) < len(data) or min(even, odd) * 8 > max(even, odd):
+        return None
+    return "utf-16-le" if odd > even else "utf-16-be"
+
+
+def as_text(data: bytes, starts: np.ndarray, ends: np.ndarray):
+    """The text of bytes in UTF-8, else UTF-16, else byte for byte, with each character's source span."""
     try:
-        t = data.decode("utf-8")
+        data.decode("utf-8")
     except UnicodeDecodeError:
-        return None
-    return t if t and sum(c.isprintable() or c in "\n\r\t" for c in t) >= 0.95 * len(t) else None
+        pass
+    else:
+        order = _utf16(data) if b"\0" in data else None
+        if not order:
+            return _chars(data, starts, ends)
+    order = _utf16(data)
+    if order:
+        units = len(data) // 2
+        text = data[: 2 * units].decode(order, "replace").replace("\ufeff", " ")
+        if len(text) == units:  # no surrogate pairs: a character for each two bytes
+            return text, starts[0 : 2 * units : 2], ends[1 : 2 * units : 2]
+    return data.decode("latin-1"), starts, ends
 
 
 def _chars(data: bytes, starts: np.ndarray, ends: np.ndarray):
@@ -213,11 +241,9 @@ def _base64(raw: str, at: np.ndarray):
             yield f"base64>{codec}", start, end, None, None, None
         else:
             t = got.decode("utf-8", "replace")
-            yield f"base64>{codec}", start, end, t, np.full(len(t), start), np.full(len(t), end)
-    if readable(data) is None:  # text may begin as compressed data does
-        return
-    i = np.arange(len(data))
-    yield ("base64", start, end, *_chars(data, at[i * 8 // 6], at[np.minimum((i + 1) * 8 // 6, len(raw) - 1)] + 1))
+            yield f"base64>{codec}", start, end, t, np.broadcast_to(np.int64(start), len(t)), np.broadcast_to(np.int64(end), len(t))
+    i = np.arange(len(data))  # text may begin as compressed data does
+    yield ("base64", start, end, *as_text(data, at[i * 8 // 6], at[np.minimum((i + 1) * 8 // 6, len(raw) - 1)] + 1))
 
 
 _URLSAFE = str.maketrans("-_", "+/")
@@ -283,7 +309,7 @@ def redact_secrets(docs: DataFrame, text_col: str = "text", length_col: str = "n
     sized = docs.columns.index(length_col) if length_col in docs.columns and dict(docs.dtypes)[length_col] in ("bigint", "int") else None
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches, at):
             old = b.column(at).to_pylist()
             new = [redacted(t) for t in old]
             if new != old:
