@@ -4,11 +4,13 @@ Five transducers are composed: a lexical one (token to class, with the weight
 of an insult), one for negation, one for reported speech, one for targets and
 one for threats. The composed machine reads one clause and returns one score;
 a document's score is the sum over its clauses, so that words count by the
-clause in which they stand.
+clause in which they stand. Quotations go on over clauses, to the end of their
+line at most.
 
 The insult lexicon is a seed list and what a bounded sample of labelled rows
 adds to it (``max_labelled``); how much negated or reported insults count and
-from which score on a document is rejected are learned from the same rows.
+from which score on a document is rejected are learned from the same rows, by
+one rule at every number of them: priors that labels outweigh.
 
 Defined results: null or empty texts score 0 and are never rejected; rows with
 a null id are scored like others; repeated rows are each scored; an empty
@@ -32,18 +34,21 @@ from pyspark.sql import functions as F
 from loamsift.llm.common import pick, slices, table
 from loamsift.session import materialize
 
-SEED_INSULTS = "idiot idiots moron morons stupid loser losers scum trash worthless pathetic disgusting clown clowns imbecile dumbass bastard bastards vermin filth subhuman retard freak".split()
-THREATS = "kill murder hurt destroy strangle beat shoot stab punish exterminate".split()
-TARGETS = frozenset("you your yours yourself youre u vous toi dich dir euch usted ustedes vosotros".split())
+SEED_INSULTS = "idiot idiots moron morons stupid loser losers scum trash worthless pathetic disgusting clown clowns imbecile dumbass bastard bastards vermin filth subhuman retard freak dummkopf trottel abschaum arschloch connard imbécile ordure estúpido imbécil cabrón escoria".split()
+THREATS = "kill murder hurt destroy strangle beat shoot stab punish exterminate töten umbringen ermorden erschießen erwürgen vernichten tuer assassiner étrangler détruire matar asesinar estrangular destruir".split()
+TARGETS = frozenset("you your yours yourself youre u vous toi tu te dich dir euch du deine deinen usted ustedes vosotros ti".split())
 NEGATIONS = frozenset("not never no isn't aren't wasn't weren't don't doesn't neither nor hardly nicht kein keine nie pas jamais nunca jamás".split())
 REPORTS = frozenset("said says say claimed claims wrote writes quoted quote reported called alleged sagte sagt schrieb dijo dice escribió dit déclaré écrit".split())
 TOKEN = re.compile(r"[^\W_]+(?:['’][^\W_]+)*|[\"“”«»]")
-CLAUSE_ENDS = ".!?;:\n"
-CLAUSE_END = re.compile(r"[.!?;:\n]+")
+CLAUSE_ENDS = ".!?;\n"
+CLAUSE_END = re.compile(r"[.!?;\n]+")
+QUOTE = re.compile(r"[\"“”«»]")
+THREAT = 1.25  # what a threat to a target scores, enough for a rejection
 REJECT_AT = 1.25
-REJECT_FROM = (1.0, 1.25, 1.5, 2.0)  # of these the least that rejects at most MAX_WRONG of at least MIN_CLEAN clean rows
-MAX_WRONG = 0.001
-MIN_CLEAN = 500
+REJECT_FROM = (1.0, 1.25, 1.5, 2.0)  # of these the least that is thought to reject at most MAX_WRONG of clean rows
+MAX_WRONG = 0.002
+PRIOR_WRONG = (2.0, 0.5, 0.5, 0.5)  # clean rows that each of them is held to have rejected out of PRIOR_CLEAN before any label is seen
+PRIOR_CLEAN = 500
 MAX_LABELLED = 20_000
 MIN_CONTEXTS = 5
 CHANCE = 0.05  # words that chance alone may bring into the lexicon
@@ -69,8 +74,9 @@ class Composed:
     def __init__(self, machines: list[Transducer]):
         self.machines, self.memo = machines, {}
 
-    def start(self):
-        return tuple(m.start for m in self.machines)
+    def start(self, quoted: bool = False):
+        """The states at the start of a clause, one within quotation marks among them."""
+        return tuple("quoted" if quoted and m.start == "plain" else m.start for m in self.machines)
 
     def step(self, state, symbol: str):
         hit = self.memo.get((state, symbol))
@@ -98,12 +104,12 @@ def negation(scope: int = 3) -> Transducer:
 def reported_speech() -> Transducer:
     """Insults and threats after a reporting verb, or inside quotation marks, become J and K."""
     arcs = {}
-    for s in (0, 1, 2):  # plain, after a verb, inside quotation marks
-        arcs[(s, "R")] = ("o", 0.0, max(s, 1))
-        arcs[(s, "Q")] = ("o", 0.0, {0: 2, 1: 1, 2: 0}[s])
-        if s:
+    for s in ("plain", "verb", "quoted"):
+        arcs[(s, "R")] = ("o", 0.0, "quoted" if s == "quoted" else "verb")
+        arcs[(s, "Q")] = ("o", 0.0, {"plain": "quoted", "verb": "verb", "quoted": "plain"}[s])
+        if s != "plain":
             arcs[(s, "I")], arcs[(s, "i")], arcs[(s, "H")] = ("J", 0.0, s), ("i", 0.0, s), ("K", 0.0, s)
-    return Transducer(0, arcs)
+    return Transducer("plain", arcs)
 
 
 def target() -> Transducer:
@@ -113,7 +119,7 @@ def target() -> Transducer:
 
 def threat() -> Transducer:
     """A threat counts only with a target in its clause."""
-    return Transducer("", {("", "T"): ("T", 0.0, "t"), ("", "H"): ("H", 0.0, "h"), ("t", "H"): ("H", 1.0, "th"), ("h", "T"): ("T", 1.0, "th")})
+    return Transducer("", {("", "T"): ("T", 0.0, "t"), ("", "H"): ("H", 0.0, "h"), ("t", "H"): ("H", THREAT, "th"), ("h", "T"): ("T", THREAT, "th")})
 
 
 @dataclass
@@ -157,7 +163,7 @@ def clauses_of(text: str, grammar: Grammar, automaton, machine: Composed) -> lis
     low = text.lower()
     if len(low) != len(text):  # a few letters change length; keep the offsets
         low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
-    found, known, factor = [], -1, {"I": 1.0, "i": grammar.negated, "J": grammar.reported}
+    found, known, marks, quoted, factor = [], -1, 0, False, {"I": 1.0, "i": grammar.negated, "J": grammar.reported}
     for end, size in automaton.iter(low):
         at = end - size + 1
         if at < known or (at and (low[at - 1].isalnum())) or (end + 1 < len(low) and low[end + 1].isalnum()):
@@ -166,7 +172,12 @@ def clauses_of(text: str, grammar: Grammar, automaton, machine: Composed) -> lis
         m = CLAUSE_END.search(low, end)
         known = m.end() if m else len(low)
         stop = m.start() if m else len(low)
-        state, score, seen = machine.start(), 0.0, []
+        line = low.rfind("\n", marks, start) + 1
+        if line:  # quotations end with their line
+            marks, quoted = line, False
+        quoted ^= len(QUOTE.findall(low, marks, start)) % 2 == 1
+        marks = start
+        state, score, seen = machine.start(quoted), 0.0, []
         for t in TOKEN.finditer(low, start, stop):
             word = t.group()
             out, w, state = machine.step(state, grammar.classify(word))
@@ -265,9 +276,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
 
     at = texts.mapInArrow(scores, "toxic boolean, score double")
     over = at.agg(F.count_if(~F.col("toxic")).alias("clean"), *(F.count_if(~F.col("toxic") & (F.col("score") >= t)).alias(f"wrong{k}") for k, t in enumerate(REJECT_FROM)), *(F.count_if(F.col("toxic") & (F.col("score") >= t)).alias(f"right{k}") for k, t in enumerate(REJECT_FROM))).first()
-    fine = [t for k, t in enumerate(REJECT_FROM) if over[f"wrong{k}"] <= MAX_WRONG * over["clean"] and over[f"right{k}"] >= 10 * over[f"wrong{k}"]]
-    if over["clean"] >= MIN_CLEAN:
-        g.reject_at = fine[0] if fine else REJECT_FROM[-1]
+    fine = [t for k, (t, prior) in enumerate(zip(REJECT_FROM, PRIOR_WRONG)) if over[f"wrong{k}"] + prior <= MAX_WRONG * (over["clean"] + PRIOR_CLEAN) and over[f"right{k}"] >= 10 * over[f"wrong{k}"]]
+    g.reject_at = fine[0] if fine else REJECT_FROM[-1]
     return g
 
 
@@ -298,7 +308,7 @@ def reject_toxic(docs: DataFrame, grammar: Grammar, text_col: str = "text") -> D
 
     def run(batches):
         a, m = grammar.automaton(), grammar.machine()
-        for b in batches:
+        for b in slices(batches, text_at):
             keep = [not text or sum(x[2] for x in clauses_of(text, grammar, a, m)) < grammar.reject_at for text in b.column(text_at).to_pylist()]
             yield b.filter(pa.array(keep, pa.bool_()))
 

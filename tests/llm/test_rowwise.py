@@ -8,7 +8,7 @@ import lzma
 import random
 import re
 import zlib
-from urllib.parse import quote
+from urllib.parse import quote, unquote
 
 import numpy as np
 import pytest
@@ -43,21 +43,35 @@ def score(text, g=None):
 
 
 def brute_score(text, g):
-    """Every clause, token by token, each transducer by itself."""
-    total, start = 0.0, 0
-    low = text.lower()
-    ends = [m.span() for m in X.CLAUSE_END.finditer(low)] + [(len(low), len(low))]
-    for a, b in ends:
-        machines = [X.negation(), X.reported_speech(), X.target(), X.threat()]
-        states, s = [m.start for m in machines], 0.0
-        for t in X.TOKEN.finditer(low[start:a]):
-            sym = g.classify(t.group())
-            for k, m in enumerate(machines):
-                sym, w, states[k] = m.step(states[k], sym)
-                s += w
-            s += {"I": 1.0, "i": g.negated, "J": g.reported}.get(sym, 0.0) * g.insults.get(t.group(), 0.0)
-        total += max(0.0, s)
-        start = b
+    """By rules of its own: what each word of a clause is, with flags for what stands before it."""
+    total = 0.0
+    for line in text.lower().split("\n"):
+        quoted = False
+        for clause in re.split(r"[.!?;]+", line):
+            negated = score = 0
+            told, in_quote, target, insult, threat, bonus, struck = False, quoted, False, False, False, False, False
+            for w in re.findall(r"[^\W_]+(?:['’][^\W_]+)*|[\"“”«»]", clause):
+                near, negated = negated > 0, max(0, negated - 1)
+                apart = told or in_quote
+                if w in '"“”«»':
+                    in_quote ^= not told
+                elif w in g.insults:
+                    score += g.insults[w] * (g.negated if near else g.reported if apart else 1.0)
+                    insult |= not near and not apart
+                elif w in X.TARGETS:
+                    target = True
+                elif w in X.NEGATIONS:
+                    negated = 3
+                elif w in X.REPORTS:
+                    told |= not in_quote
+                elif w in X.THREATS:
+                    threat |= not near and not apart
+                if target and insult and not bonus:
+                    score, bonus = score + 0.5, True
+                if target and threat and not struck:
+                    score, struck = score + 1.25, True
+            total += score
+            quoted ^= sum(clause.count(c) for c in '"“”«»') % 2 == 1
     return total
 
 
@@ -66,14 +80,16 @@ def test_clauses_not_words():
     assert score("You are not an idiot.") == 0.25
     assert score("She said you idiot.") < score("you idiot.")
     assert score('The word "idiot" is old.') == 0.5
-    assert score("I will kill you.") == 1.0 and score("Kill the process. You may go.") == 0.0
+    assert score("I will kill you.") == 1.25 and score("Kill the process. You may go.") == 0.0
     assert score("idiotic trashcan") == 0.0 and score("") == 0.0
+    assert score("She wrote: you idiot") == 0.5 == score('"You are slow. You idiot," she said.')
+    assert score('A "mark left open.\nYou idiot') == 1.5 and score("Ich werde dich töten") == score("te voy a matar") == 1.25
 
 
 def test_score_is_the_brute_force_score():
     rng, g = random.Random(1), X.Grammar()
     pool = ["idiot", "scum", "you", "not", "said", "kill", '"', ".", "\n", ",", "tree", "of", "don't", "Idiot", "ende;"]
-    for _ in range(400):
+    for _ in range(1500):
         t = " ".join(rng.choice(pool) for _ in range(rng.randrange(40)))
         assert score(t, g) == pytest.approx(brute_score(t, g)), t
 
@@ -101,6 +117,16 @@ def test_fit_learns_words_and_not_copies(spark):
     assert X.fit(d, spark.createDataFrame([], "doc_id long, toxic int")).insults == X.Grammar().insults
 
 
+@pytest.mark.parametrize("clean", [40, 400, 700])
+def test_one_rule_sets_the_threshold(spark, clean):
+    plain = lambda i: f"river {i} stone cloud seven"
+    docs = [(i, plain(i)) for i in range(clean)] + [(clean + i, f"{plain(i)} you idiot, moron {i}") for i in range(60)] + [(clean + 60, "you idiot, moron")]
+    labels = [(i, 0) for i in range(clean)] + [(clean + i, 1) for i in range(60)] + [(clean + 60, 0)]  # the last is marked wrongly
+    one = X.fit(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    none = X.fit(spark.createDataFrame(docs[:-1], "doc_id long, text string"), spark.createDataFrame(labels[:-1], "doc_id long, toxic int"))
+    assert none.reject_at == (1.0 if clean >= 500 else 1.25) and one.reject_at == (2.0 if clean < 250 else 1.25)
+
+
 def test_toxicity_edges(spark):
     d = edge_docs(spark, "you idiot, you moron")
     assert [r.doc_id for r in X.score_toxicity(d, X.Grammar()).collect()] == [100]
@@ -200,8 +226,15 @@ def test_decontamination_edges(spark):
 def test_many_indexes_give_what_one_gives(spark, monkeypatch):
     d = spark.createDataFrame([(1, "alpha beta gamma delta. epsilon zeta"), (2, "one two three four five six")], "doc_id long, text string")
     items = spark.createDataFrame([(1, "alpha beta gamma delta. epsilon zeta"), (2, "one two three four five six")], "item_id long, text string")
-    monkeypatch.setattr(D, "ITEMS_AT_ONCE", 1)
-    assert sorted((r.doc_id, r.item_id) for r in D.leaks(d, items).collect()) == [(1, 1), (2, 2)]
+    rng = random.Random(7)
+    more = [(k, " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "one", "two", "six"]) for _ in range(rng.randrange(3, 40)))) for k in range(3, 40)]
+    items = items.union(spark.createDataFrame(more, items.schema))
+    d = d.union(spark.createDataFrame([(k, f"before it {t} and after") for k, t in more], d.schema))
+    whole = sorted(D.leaks(d, items).collect())
+    assert {(k, k) for k in range(1, 40)} <= {(r.doc_id, r.item_id) for r in whole}
+    for n in (1, 7):
+        monkeypatch.setattr(D, "ITEMS_AT_ONCE", n)
+        assert sorted(D.leaks(d, items).collect()) == whole  # scores too
     assert D.remove_contaminated(d, items).count() == 0
 
 
@@ -295,7 +328,7 @@ def test_all_members_and_truncated_streams_are_scanned(pack):
     rng = random.Random(5)
     noise = "".join(rng.choice("bcdfghjkmnpqrtvwxz ") for _ in range(4000))
     two = pack(b"nothing here") + pack(b"nor here") + pack(f"key {KEY} end".encode())
-    assert [k[0] for k in kinds(f"x {base64.b64encode(two).decode()} y")] == ["aws_access_key"]
+    assert {k[0] for k in kinds(f"x {base64.b64encode(two).decode()} y")} == {"aws_access_key"}
     if pack in (gzip.compress, zlib.compress, lzma.compress):
         cut = pack(f"key {KEY} end {noise}".encode())[:-400]
         assert "aws_access_key" in [k[0] for k in kinds(f"x {base64.b64encode(cut).decode()} y")]
@@ -333,6 +366,70 @@ def test_bomb_is_reported(monkeypatch):
     assert [k[0] for k in kinds(f"x {b} y")] == ["oversized_layer"]
 
 
+@pytest.mark.parametrize("text", ["DB_PASSWORD=3521a84065cd575efa", "export AWS_SECRET_ACCESS_KEY=3521a84065cd575efa", "my_api_key: 3521a84065cd575efa", "dbPassword='3521a84065cd575efa'", "CLIENT-SECRET=3521a84065cd575efa;"])
+def test_named_secrets_with_prefixes(text):
+    assert [k[:2] for k in kinds(text)] == [("named_secret", "3521a84065cd575efa")]
+
+
+def test_bytes_that_are_no_utf8_are_scanned():
+    rng = random.Random(8)
+    noise = bytes(rng.randrange(128, 256) for _ in range(90))
+    for data in (f"key {KEY} end".encode("utf-16"), f"key {KEY} end".encode("utf-16-be"), noise + f" {KEY} ".encode() + noise):
+        text = f"x {base64.b64encode(data).decode()} y"
+        found = [f for f in S.findings(text) if f[0] == "aws_access_key"]
+        assert len(found) == 1 and found[0][5] == KEY and KEY not in S.redacted(text)
+
+
+def test_a_dictionary_beyond_the_limit_is_reported(monkeypatch):
+    monkeypatch.setattr(S, "XZ_MEMORY", 1 << 20)
+    b = base64.b64encode(lzma.compress(f"x {KEY} y".encode(), preset=9)).decode()
+    assert "oversized_layer" in [k[0] for k in kinds(f"a {b} b")]
+
+
+def test_long_url_credentials():
+    text = f"see https://{'u' * 300}:{'p' * 400}@host.org/x and averyveryverylongschemename://me:secretpw@h.org"
+    assert [k[0] for k in kinds(text)] == ["url_credentials"] * 2
+
+
+def brute_secrets(text, seen=None):
+    """(kind, secret) of a text and of all that its parts decode to, by plain recursion on parts without white space."""
+    seen = set() if seen is None else seen
+    if text in seen:
+        return set()
+    seen.add(text)
+    out = {(k, text[a:b]) for k, a, b in S.scan(text)}
+    for part in text.split():
+        tries = [unquote(part), re.sub(r"\\u([0-9a-f]{4})", lambda m: chr(int(m[1], 16)), part)]
+        try:
+            raw = base64.b64decode(part, validate=True)
+            tries += [raw.decode("latin-1")]
+            tries += [gzip.decompress(raw).decode()]
+        except (ValueError, OSError, EOFError, zlib.error):
+            pass
+        for t in tries:
+            if t != part:
+                out |= brute_secrets(t, seen)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_findings_are_those_of_plain_recursion(seed):
+    rng = random.Random(seed)
+    wrap = [lambda t: quote(t, safe=""), lambda t: "".join(f"\\u{ord(c):04x}" for c in t), lambda t: base64.b64encode(t.encode()).decode(), lambda t: base64.b64encode(gzip.compress(t.encode())).decode()]
+    say = lambda n: " ".join(rng.choice(["river", "stone", "cloud", "seven"]) for _ in range(n))
+    parts = []
+    for _ in range(4):
+        inner = f"{say(3)} {''.join(['AKIA', *(rng.choice('ABCDEFGHIJKLMNOP') for _ in range(16))])} {say(2)}"
+        for _ in range(rng.randrange(5)):
+            inner = rng.choice(wrap)(inner)
+            if rng.random() < 0.4:
+                inner = f"{say(2)} {inner} {say(1)}"
+        parts += [inner, say(3)]
+    text = " ".join(parts)
+    want = brute_secrets(text)
+    assert {(k, x) for k, *_, x in S.findings(text)} == want and len(want) == 4
+
+
 def test_secrets_edges(spark):
     d = edge_docs(spark, f"x {KEY}", json.dumps({"password": "hunter2hunter2"}))
     assert sorted((r.doc_id, r.kind) for r in S.secrets(d).collect()) == [(100, "aws_access_key"), (101, "named_secret")]
