@@ -54,6 +54,7 @@ WINDOW = 1024
 WINDOWS_A_BUCKET = 256
 BLOCK = 8192  # documents of one product
 SPREAD = 1 << 17  # members times blocks up to which a list is sent to its blocks
+CELLS = 1 << 21  # of a similarity matrix held at a time
 HOT = 1 << 16  # documents of a run beyond which no task holds them together
 HELD = 1 << 23  # (hash, document) pairs of a task after which it looks for hot runs
 CLUSTER = 50_000  # documents of one walk
@@ -233,8 +234,9 @@ def nearest_of_block(rows: np.ndarray, weights: np.ndarray, sizes: np.ndarray, m
     mine, place = mine[order], place[order]
     exact = np.float32 if weights.sum() < 2**23 else np.float64
     out = []
-    for at in range(0, len(own_code), slab):
-        n = min(slab, len(own_code) - at)
+    at, n = 0, slab
+    while at < len(own_code):
+        n = min(n, len(own_code) - at)
         x, y = np.searchsorted(place, [at, at + n])
         r, (used, which) = place[x:y] - at, np.unique(of[mine[x:y]], return_inverse=True)
         long = sizes[used]
@@ -246,6 +248,9 @@ def nearest_of_block(rows: np.ndarray, weights: np.ndarray, sizes: np.ndarray, m
         c, first = small[c], np.cumsum(long) - long
         own = small[own_code[at_row[at : at + n]]]
         work, cells = int(long[which].sum()), n * len(cols)
+        if n > 1 and (work if cells > 8 * work else cells) > CELLS:
+            n = max(1, n // 2)
+            continue
         if cells > 8 * work:  # few of the pairs have anything in common
             many = long[which]
             key = np.repeat(r, many) * len(cols) + c[_ranges(first[which], many)]
@@ -288,6 +293,7 @@ def nearest_of_block(rows: np.ndarray, weights: np.ndarray, sizes: np.ndarray, m
             v = s[i, j].astype(np.int64)
             i, j, v = i[v > 0], j[v > 0], v[v > 0]
         out.append((names[own_code[at_row[at + i]]], names[cols[j]], v))
+        at, n = at + n, min(slab, 2 * n)
     return tuple(np.concatenate(c) for c in zip(*out)) if out else (np.zeros(0, np.int64),) * 3
 
 
@@ -340,7 +346,9 @@ def _multiply(placed: DataFrame, parts: list[DataFrame], k: int) -> DataFrame:
     for p in parts:
         kind = F.lit(1 if "members" in p.columns else 2).alias("kind")
         rows = rows.unionByName(p.select("block", kind, *(F.col(c) if c in p.columns else F.lit(None).cast(t).alias(c) for c, t in none.items())))
-    return rows.repartition(partitions(placed.sparkSession), "block").sortWithinPartitions("block").mapInArrow(_block_task(k), "a long, b long, similarity long")
+    n = partitions(placed.sparkSession)
+    to = F.pmod(F.col("block") + F.shiftright("block", 32), F.lit(n)).cast("int")  # one after the other, so that none gets many
+    return rows.repartitionById(n, to).sortWithinPartitions("block").mapInArrow(_block_task(k), "a long, b long, similarity long")
 
 
 def _blocks(ids: DataFrame, by: str) -> DataFrame:
