@@ -1,27 +1,34 @@
 """HTML extraction by differencing each page with the nearest URL of its host.
 
-Pages are ordered by host and URL path (query parameters other than tracking
-ones belong to the path, letters and numbers compare as such). Of the paths
-before and after its own on its host a page takes the one that shares more
-leading segments; of equal ones the one with the nearer number, then the one
-before. Of several pages with that path the least page_id stands for it. The
-lines of both are aligned by their longest common subsequence, and the lines
-that the page shares are deleted.
-
-The order is cut into ranges of about equal numbers of pages, whose bounds
-come from a job over the URLs alone; a page at a bound is sent to both sides.
+Of the other paths of its host (query parameters other than tracking ones
+belong to the path) a page takes the one that shares most leading segments; of
+these the one whose next segment shares most leading words and numbers; then
+the one with the nearer number there; then the one nearer in order, the one
+before if both are next to it. In the order of paths, segment by segment and
+numbers as numbers, that is the path before or the path after its own. Of
+several pages with that path the least page_id stands for it. The lines of
+both are aligned by their longest common subsequence, and the lines that the
+page shares are deleted.
+
+The order is cut into ranges of about equal numbers of pages, also within a
+path that very many pages have. Bounds come from a job over the URLs alone;
+the pages that stand for paths at bounds are sent to the ranges that need them.
 
 Defined results: a page whose host has no other path keeps all its lines and
 has a null neighbour; null or empty html has no lines; pages with null URLs
-form a host of their own; repeated rows each give a row; of pages with equal
-paths none is the other's neighbour; an empty table gives an empty result;
-other columns are ignored; long pages are read and aligned whole.
+form a host of their own with one path; repeated rows each give a row; of
+pages with equal paths none is the other's neighbour; of equal least page_ids
+the first in place stands for its path; an empty table gives an empty result;
+other columns are ignored; long pages are read and aligned whole. ``pages`` is
+read twice and has to give the same rows in the same places, as tables of
+files do.
 """
 
 from __future__ import annotations
 
 import re
 from bisect import bisect_right
+from decimal import Decimal
 from html import unescape
 
 import pyarrow as pa
@@ -61,21 +68,35 @@ def address(url: str | None) -> tuple[str, str]:
     return host, f"{path}?{kept}" if kept else path
 
 
+SEGMENT = re.compile(r"[/?&]")
+PIECE = re.compile(r"[0-9]+|[^0-9]+")
+
+
+def _number(digits: str) -> str:
+    """A string whose order is that of numbers of any length; different writings of one number differ."""
+    n = digits.lstrip("0")
+    return f"{len(str(len(n)))}{len(n)}{n}:{digits}"
+
+
 def place(url: str | None) -> str:
-    """A string whose order is that of hosts and paths, numbers as numbers."""
+    """A string whose order is that of hosts and paths, segment by segment, numbers before words and as numbers."""
     host, path = address(url)
-    padded = re.sub(r"\d+", lambda m: f"{len(m.group().lstrip('0')):04d}{m.group().lstrip('0')}:{m.group()}", path)
-    return host + "\x00" + padded.replace("/", "\x01")
+    padded = re.sub(r"[0-9]+", lambda m: "\x02" + _number(m.group()), path)
+    return host + "\x00" + SEGMENT.sub("\x01", padded)
 
 
-def closeness(a: str, b: str) -> tuple[int, int]:
-    """(leading segments shared, minus the difference of the first numbers that differ): greater is nearer."""
-    x, y = re.split(r"[/?&]", a), re.split(r"[/?&]", b)
+def closeness(a: str, b: str) -> tuple[int, int, Decimal]:
+    """(leading segments shared, leading words and numbers shared of the next, minus the difference of the numbers after these): greater is nearer."""
+    x, y = SEGMENT.split(a), SEGMENT.split(b)
     n = 0
     while n < min(len(x), len(y)) and x[n] == y[n]:
         n += 1
-    u, v = (re.findall(r"\d+", s[n]) if n < len(s) else [] for s in (x, y))
-    return n, -abs(int(u[0][:300]) - int(v[0][:300])) if u and v else -(10**300)
+    u, v = (PIECE.findall(s[n]) if n < len(s) else [] for s in (x, y))
+    k = 0
+    while k < min(len(u), len(v)) and u[k] == v[k]:
+        k += 1
+    both = k < min(len(u), len(v)) and u[k][0].isdigit() and v[k][0].isdigit()
+    return n, k, -abs(Decimal(u[k]) - Decimal(v[k])) if both else -Decimal("Infinity")
 
 
 def _row(a: list[int], where: dict[int, int], m: int) -> list[int]:
@@ -158,55 +179,81 @@ def difference(lines: list[str], other: list[str]) -> list[str]:
 
 
 def _bounds(batches):
-    """The first and the last place of a sorted partition."""
-    first = last = None
+    """Of a sorted partition: its first row, and the first row of its first two and last two paths."""
+    first, heads = None, []
     for b in batches:
-        c = b.column("place")
-        if len(c):
-            first = c[0].as_py() if first is None else first
-            last = c[len(c) - 1].as_py()
-    if first is not None:
-        yield pa.RecordBatch.from_pydict({"first": [first], "last": [last]})
+        for key in b.column("key").to_pylist():
+            first = first or key
+            if not heads or heads[-1]["place"] != key["place"]:
+                heads.append(key)
+                del heads[2:-2]
+            elif _order(key) < _order(heads[-1]):
+                heads[-1] = key
+    if first:
+        yield pa.RecordBatch.from_arrays([pa.array([first], _TYPE), pa.array([heads], pa.list_(_TYPE))], ["head", "heads"])
+
+
+_TYPE = pa.struct([("place", pa.string()), ("none", pa.bool_()), ("page_id", pa.int64()), ("rid", pa.int64()), ("salt", pa.int64())])
+
+
+def _order(key) -> tuple:
+    return key["none"], key["page_id"] or 0, key["rid"]
+
+
+def _halos(ranges: list) -> dict[tuple[str, int], list[int]]:
+    """(place, rid) of the pages that stand for paths at bounds, with the ranges that these are sent to."""
+    best: dict[str, dict] = {}
+    for _, heads in ranges:
+        for h in heads:
+            if h["place"] not in best or _order(h) < _order(best[h["place"]]):
+                best[h["place"]] = h
+    order = sorted(best)
+    at = {p: k for k, p in enumerate(order)}
+    out: dict[tuple[str, int], list[int]] = {}
+    for k, (_, heads) in enumerate(ranges):
+        low, high = at[heads[0]["place"]], at[heads[-1]["place"]]
+        for i in {low - 1, low, high, high + 1} & set(range(len(order))):
+            out.setdefault((order[i], best[order[i]]["rid"]), []).append(k)
+    return out
 
 
-_SENT = "bucket int, halo boolean, place string, page_id long, url string, lines array<string>"
+_SENT = "bucket int, halo boolean, place string, none boolean, page_id long, rid long, url string, lines array<string>"
 SCHEMA = "page_id long, url string, neighbour_id long, n_lines int, n_shared int, text string"
 
 
-def _parse(firsts: list[str], lasts: list[str]):
-    """Lines of each page, to the bucket of its place; places at a bound also go to the other side as halo."""
-    before = {f: k - 1 for k, f in enumerate(firsts) if k}
-    after = {x: k + 1 for k, x in enumerate(lasts) if k + 1 < len(firsts)}
+def _parse(firsts: list[tuple], halos: dict[tuple[str, int], list[int]]):
+    """Lines of each page, to the range of its place; pages that stand for paths at bounds also to other ranges."""
 
     def run(batches):
         for b in slices(batches, "html", 4 << 20):
             rows = []
-            for page, url, html in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "html"))):
+            for page, rid, url, html, salt in zip(*(b.column(c).to_pylist() for c in ("page_id", "rid", "url", "html", "salt"))):
                 at, lines = place(url), lines_of(html)
-                k = max(0, bisect_right(firsts, at) - 1)
-                rows.append((k, False, at, page, url, lines))
-                rows += [(h, True, at, page, url, lines) for h in {before.get(at, k), after.get(at, k)} - {k}]
+                k = max(0, bisect_right(firsts, (at, salt)) - 1)
+                rest = (at, page is None, page, rid, url, lines)
+                rows.append((k, False, *rest))
+                rows += [(h, True, *rest) for h in halos.get((at, rid), ()) if h != k]
             c = list(zip(*rows))
-            types = [pa.int32(), pa.bool_(), pa.string(), pa.int64(), pa.string(), pa.list_(pa.string())]
+            types = [pa.int32(), pa.bool_(), pa.string(), pa.bool_(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.string())]
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(c, types)], [x.split()[0] for x in _SENT.split(", ")])
 
     return run
 
 
 def _pair(batches):
-    """Rows of sorted buckets: three paths are held at a time, the one before, this one and the next."""
+    """Rows of a sorted range: three paths are held at a time, the one before, this one and the next."""
     out, run_, bucket = [], [], None
 
     def settle(prev, here, after):
         host = here[0][2].split("\x00")[0]
-        here_path = address(here[0][4])[1]
+        here_path = address(here[0][6])[1]
         sides = [g for g in (prev, after) if g and g[0][2].split("\x00")[0] == host]
-        best = max(sides, key=lambda g: closeness(here_path, address(g[0][4])[1]), default=None)
-        for _, halo, _, page, url, lines in here:
+        best = max(sides, key=lambda g: closeness(here_path, address(g[0][6])[1]), default=None)
+        for _, halo, _, _, page, _, url, lines in here:
             if halo:
                 continue
-            kept = difference(lines, best[0][5]) if best else lines
-            out.append((page, url, best[0][3] if best else None, len(lines), len(lines) - len(kept), "\n".join(kept)))
+            kept = difference(lines, best[0][7]) if best else lines
+            out.append((page, url, best[0][4] if best else None, len(lines), len(lines) - len(kept), "\n".join(kept)))
 
     def finish():
         if run_:
@@ -220,7 +267,7 @@ def _pair(batches):
         return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(c, types)], [x.split()[0] for x in SCHEMA.split(", ")])
 
     for b in batches:
-        for row in zip(*(b.column(c).to_pylist() for c in ("bucket", "halo", "place", "page_id", "url", "lines"))):
+        for row in zip(*(b.column(c.split()[0]).to_pylist() for c in _SENT.split(", "))):
             if row[0] != bucket:
                 finish()
                 bucket = row[0]
@@ -229,6 +276,7 @@ def _pair(batches):
                 continue
             if run_:
                 settle(run_[-2] if len(run_) > 1 else None, run_[-1], [row])
+                run_[:-1] = [g[:1] for g in run_[:-1]]
             run_.append([row])
             del run_[:-2]
         if out:
@@ -237,14 +285,22 @@ def _pair(batches):
     yield take()
 
 
+def _places(batches):
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([place(u) for u in b.column("url").to_pylist()], pa.string()), *(b.column(c) for c in ("page_id", "rid", "salt"))], ["place", "page_id", "rid", "salt"])
+
+
 def extract(pages: DataFrame, n_buckets: int | None = None) -> DataFrame:
     """One row for each page: its lines without those it shares with the nearest URL."""
     n = n_buckets or partitions(pages.sparkSession)
-    kept = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    places = kept.select("url").mapInArrow(lambda bs: (pa.RecordBatch.from_pydict({"place": [place(u) for u in b.column(0).to_pylist()]}) for b in bs), "place string")
-    ranges = places.repartitionByRange(n, "place").sortWithinPartitions("place").mapInArrow(_bounds, "first string, last string").orderBy("first").collect()
-    sent = kept.mapInArrow(_parse([r.first for r in ranges], [r.last for r in ranges]), _SENT)
-    return sent.repartition(n, "bucket").sortWithinPartitions("bucket", "place", F.col("page_id").asc_nulls_last(), "lines").mapInArrow(_pair, SCHEMA)
+    kept = pages.select(F.col("page_id").cast("long").alias("page_id"), F.monotonically_increasing_id().alias("rid"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).withColumn("salt", F.xxhash64("rid"))
+    places = kept.select("url", "page_id", "rid", "salt").mapInArrow(_places, "place string, page_id long, rid long, salt long")
+    key = F.struct("place", F.col("page_id").isNull().alias("none"), "page_id", "rid", "salt").alias("key")
+    sorted_ = places.repartitionByRange(n, "place", "salt").sortWithinPartitions("place", "salt").select(key)
+    kind = "struct<place:string,none:boolean,page_id:long,rid:long,salt:long>"
+    ranges = sorted_.mapInArrow(_bounds, f"head {kind}, heads array<{kind}>").orderBy("head.place", "head.salt").collect()  # a row for each range
+    sent = kept.mapInArrow(_parse([(r.head.place, r.head.salt) for r in ranges], _halos(ranges)), _SENT)
+    return sent.repartitionById(n, "bucket").sortWithinPartitions("bucket", "place", "none", "page_id", "rid").mapInArrow(_pair, SCHEMA)
 
 
 def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:

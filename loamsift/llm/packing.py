@@ -52,7 +52,7 @@ GRAM = 5
 K = 4
 WINDOW = 1024
 WINDOWS_A_BUCKET = 256
-BLOCK = 8192  # documents of one product
+BLOCK = 1 << 14  # documents of one product
 SPREAD = 1 << 17  # members times blocks up to which a list is sent to its blocks
 CELLS = 1 << 21  # of a similarity matrix held at a time
 HOT = 1 << 16  # documents of a run beyond which no task holds them together
@@ -70,6 +70,17 @@ def _grams(sizes: np.ndarray, h: np.ndarray, powers: Powers) -> tuple[np.ndarray
     return owner, mix(span_hash(prefix_hashes(h, powers), at, at + np.minimum(GRAM, sizes[owner]), powers))
 
 
+def _cut(h: np.ndarray) -> np.ndarray:
+    """The low 48 bits as six bytes each; with the partition, which a hash also gives, these tell runs apart."""
+    return np.ascontiguousarray(h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6])
+
+
+def _whole(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    return out.view("<u8").reshape(-1)
+
+
 _SENT = "to int, hashes binary, rids binary, rid array<long>, doc_id array<long>, length array<long>"
 _FEATURES = ("rid", "doc_id", "length")
 
@@ -83,7 +94,7 @@ def _scan(n_parts: int):
 
         def flush():
             h, rid = (np.concatenate([x[k] for x in held]) for k in (0, 1))
-            out = _blobs((h % np.uint64(n_parts)).astype(small), {"hashes": h, "rids": rid})
+            out = _blobs((h % np.uint64(n_parts)).astype(small), {"hashes": _cut(h // np.uint64(n_parts)), "rids": rid})
             none = pa.nulls(out.num_rows, pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([*out.columns, *[none] * 3], ["to", "hashes", "rids", *_FEATURES])
             rows = [pa.concat_arrays([x[2][k] for x in held]) for k in range(3)]
@@ -154,13 +165,13 @@ def _lists(hot: int, most: int):
             first = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]])).tolist()
             for s, e in zip(first, [*first[1:], len(a)]):
                 for k in range(s, e, hot):
-                    yield _met(members=pa.array([r[k : min(e, k + hot)].tobytes()], pa.binary()), gram=pa.array(a[s : s + 1].view(np.int64)))
+                    yield _met(members=pa.array([r[k : min(e, k + hot)].tobytes()], pa.binary()), gram=pa.array([(int(a[s]) * 0x9E3779B97F4A7C15 + TaskContext.get().partitionId() * 0xC2B2AE3D27D4EB4F) % 2**63]))
 
         for b in batches:
             if len(b.column("rid").flatten()):
                 yield _met(**{c: b.column(c).flatten() for c in _FEATURES})
             blobs = b.column("hashes").is_valid()
-            got = [np.frombuffer(x, np.uint64) for x in b.column("hashes").filter(blobs).to_pylist()]
+            got = [_whole(x) for x in b.column("hashes").filter(blobs).to_pylist()]
             h += got
             rid += [np.frombuffer(x, np.int64) for x in b.column("rids").filter(blobs).to_pylist()]
             count += sum(map(len, got))
@@ -285,15 +296,14 @@ def nearest_of_block(rows: np.ndarray, weights: np.ndarray, sizes: np.ndarray, m
                     s[r0:r1] += part.reshape(r1 - r0, -1).astype(exact)
                     k0 = k1
             s[np.arange(n), own] = 0
-            ring = (np.arange(len(cols))[None, :] - own[:, None] - 1) % len(cols)
-            rank = s.astype(np.float64) * (len(cols) + 1) - ring
-            rank[s == 0] = -np.inf
-            best = np.argpartition(-rank, min(k, len(cols)) - 1, axis=1)[:, :k]
+            less = np.linspace(0.5, 0.0, len(cols), endpoint=False)  # of equals the next in the ring
+            turns = np.lib.stride_tricks.sliding_window_view(np.concatenate([less, less]), len(cols))
+            best = np.argpartition(s + turns[len(cols) - 1 - own], -min(k, len(cols)), axis=1)[:, -k:]
             i, j = np.repeat(np.arange(n), best.shape[1]), best.ravel()
             v = s[i, j].astype(np.int64)
             i, j, v = i[v > 0], j[v > 0], v[v > 0]
         out.append((names[own_code[at_row[at + i]]], names[cols[j]], v))
-        at, n = at + n, min(slab, 2 * n)
+        at, n = at + n, min(slab, 2 * n) if 2 * max(work, cells) <= CELLS else n
     return tuple(np.concatenate(c) for c in zip(*out)) if out else (np.zeros(0, np.int64),) * 3
 
 

@@ -250,7 +250,7 @@ def verified_edges(distinct: DataFrame, radius: int = RADIUS, run_bits: int = RU
     """(a, b) gids: verified pairs whose fingerprints collide, enough of them to connect all that such pairs connect."""
     n_parts = max(partitions(distinct.sparkSession), distinct.count() * TABLES * len(masks(radius // 2)) // ROWS_A_PARTITION)
     blobs = distinct.mapInArrow(_emit(n_parts, radius), "to int, keys binary, gids binary")
-    met = blobs.repartition(n_parts, "to").mapInArrow(_meet, "bucket long, gid long").distinct()
+    met = blobs.repartitionById(n_parts, "to").mapInArrow(_meet, "bucket long, gid long").distinct()
     sketched = met.join(distinct.select("gid", "s0", "s1"), "gid").select("bucket", "gid", "s0", "s1")
     return sketched.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_verify(run_bits), "a long, b long")
 

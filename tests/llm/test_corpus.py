@@ -1,6 +1,7 @@
 """Operators that hold documents against each other."""
 
 import random
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -11,6 +12,7 @@ from loamsift.llm import html as H
 from loamsift.llm import packing as P
 from loamsift.llm import repeats as R
 from loamsift.llm import simhash as SH
+from loamsift.session import materialize
 from tests.llm.test_rowwise import EXTRA, edge_docs, empty
 
 
@@ -317,35 +319,54 @@ def test_lines_and_addresses():
     assert H.address(None) == ("", "")
 
 
+def order_of(path):
+    """A path as a list that sorts segment by segment, numbers before words and as numbers."""
+    return [[(0, int(x), x) if x.isdigit() else (1, x) for x in re.findall(r"[0-9]+|[^0-9]+", s)] for s in re.split(r"[/?&]", path)]
+
+
+def nearness(a, b):
+    """Segments, then pieces of the next one, that two paths share, then how near its numbers are."""
+    x, y = order_of(a), order_of(b)
+    n = next((k for k in range(min(len(x), len(y))) if x[k] != y[k]), min(len(x), len(y)))
+    u, v = (s[n] if n < len(s) else [] for s in (x, y))
+    k = next((k for k in range(min(len(u), len(v))) if u[k] != v[k]), min(len(u), len(v)))
+    numbers = k < min(len(u), len(v)) and u[k][0] == v[k][0] == 0
+    return n, k, -abs(u[k][1] - v[k][1]) if numbers else float("-inf")
+
+
 def brute_extract(pages):
+    """The neighbour of each page out of all pages of its host."""
     by = defaultdict(lambda: defaultdict(list))
     for i, u, h in pages:
-        by[H.address(u)[0]][H.place(u)].append((i, u, h))
+        host, path = H.address(u)
+        by[host][path].append((i, u, h))
     out = {}
     for host in by.values():
-        order = sorted(host)
-        for k, at in enumerate(order):
-            sides = [host[order[j]] for j in (k - 1, k + 1) if 0 <= j < len(order)]
-            mine = H.address(host[at][0][1])[1]
-            best = max(sides, key=lambda g: H.closeness(mine, H.address(g[0][1])[1]), default=None)
-            other = min(best, key=lambda r: r[0]) if best else None
-            for i, u, h in host[at]:
+        order = sorted(host, key=order_of)
+        for k, path in enumerate(order):
+            others = [p for p in order if p != path]
+            best = max(others, key=lambda p: (*nearness(path, p), -abs(order.index(p) - k), order.index(p) < k), default=None)
+            other = min(host[best], key=lambda r: r[0]) if best is not None else None
+            for i, u, h in host[path]:
                 out[i] = (other[0] if other else None, "\n".join(H.difference(H.lines_of(h), H.lines_of(other[2])) if other else H.lines_of(h)))
     return out
 
 
-@pytest.mark.parametrize("buckets", [1, 7])
+@pytest.mark.parametrize("buckets", [1, 7, 40])
 def test_extraction_is_brute_force_pairing(spark, buckets):
     rng = random.Random(8)
     pages = []
-    for i in range(150):
+    for i in range(220):
         host = rng.choice(["a.org", "a.org", "b.com", f"solo{i}.net"])
-        url = f"http://{host}/{rng.choice(['en', 'fr'])}/{rng.randrange(90)}{rng.choice(['', '.html', '?utm_source=x', '?page=2'])}"
+        url = f"http://{host}/{rng.choice(['en', 'fr', 'en-b', 'en2', 'en10'])}/{rng.choice(['a', 'a-b', 'x', ''])}{rng.randrange(40)}{rng.choice(['', '.html', '?utm_source=x', '?page=2', '?x=1&y=02', '/more'])}"
+        if i > 150:  # a path that many pages have
+            url = "http://a.org/en/same"
         pages.append((i, url, "".join(f"<p>{x}</p>" for x in ["menu", f"for {host}", *(f"text {rng.randrange(1000)}" for _ in range(5)), "foot"])))
-    d = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(4)
+    pages += [(300 + i, u, "<p>menu<p>" + u) for i, u in enumerate(["http://c.org/en/a", "http://c.org/en/a-b", "http://c.org/en/a?x=1"])]
+    d = materialize(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(4), "pages")
     got = {r.page_id: (r.neighbour_id, r.text) for r in H.extract(d, buckets).collect()}
     assert got == brute_extract(pages)
-    assert all("menu" not in t for n, t in got.values() if n is not None)
+    assert got[302][0] == 300 and all("menu" not in t for n, t in got.values() if n is not None)
 
 
 def test_html_edges(spark):
