@@ -6,9 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loamsift.operators.dedup import Deduplicated, deduplicate
-from loamsift.operators.minhash import shingle_hashes, signature_of
+from loamsift.operators.minhash import signature_of
 from loamsift.operators.semantic import embedded, hybrid_keep, semantic_keep, similar_pairs
-from loamsift.functions.hashing import permutations
 from loamsift.plans.config import DedupConfig, HybridConfig, SemanticConfig
 
 
@@ -28,10 +27,7 @@ class Deduplicator:
         return self.deduplicate(texts_frame(spark, texts))
 
     def signature(self, text: str) -> list[int]:
-        import numpy as np
-
-        a, b = np.array(permutations(self.config.permutations, self.config.seed), np.int64).T
-        return signature_of(shingle_hashes(text, self.config.ngram), a, b).tolist()
+        return signature_of([text], self.config)[0]
 
     def similarity(self, a: str, b: str) -> float:
         """The estimated Jaccard similarity of two texts; that of two empty ones is 1."""

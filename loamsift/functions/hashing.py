@@ -13,6 +13,11 @@ def hash31(s: Column) -> Column:
     return F.conv(F.substring(F.md5(s), 1, 15), 16, 10).cast("long") % PRIME
 
 
+def places(n: int) -> list[int]:
+    """What the hash of each word of a shingle of n is multiplied by."""
+    return [pow(1_000_003, n - k, PRIME) for k in range(n)]
+
+
 def permutations(n: int, seed: int = 42) -> list[tuple[int, int]]:
     """n pairs (a, b) with 0 < a < PRIME and 0 <= b < PRIME from a fixed generator."""
     x, out = seed, []

@@ -62,22 +62,26 @@ def deduplicate(docs: DataFrame, config: DedupConfig = DedupConfig(), id_col: st
     folded signatures, never texts.
     """
     kept = docs.where(F.col(f"`{id_col}`").isNotNull())
-    sigs = materialize(signatures(kept, config, id_col, text_col).withColumn("digest", F.xxhash64("signature")), "signatures")
-    # two equal digests of unequal signatures can't be folded by mistake: the signature is part of the group
-    folded = sigs.groupBy("digest", "signature").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
-    folded = materialize(folded, "folded")
+    sigs = materialize(signatures(kept, config, id_col, text_col).withColumn("digest", F.md5(F.array_join("signature", ","))), "signatures")
+    counted = sigs.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
+    firsts = sigs.select(F.col("digest"), "doc_id", "signature").join(counted, ["digest", "doc_id"]).dropDuplicates(["digest"])  # signatures of the first of each alone
+    folded = materialize(firsts.select("digest", "doc_id", "n", "signature"), "folded")
     pairs = with_similarity(candidate_pairs(band_keys(folded.select("doc_id", "signature"), config)), folded)
     sizes = folded.select("doc_id", "n")
     weighed = pairs.join(sizes.select(F.col("doc_id").alias("doc_a"), F.col("n").alias("n_a")), "doc_a").join(sizes.select(F.col("doc_id").alias("doc_b"), F.col("n").alias("n_b")), "doc_b")
     good = F.col("similarity") >= config.threshold if config.verify else F.lit(True)
     pairs = materialize(weighed.select("doc_a", "doc_b", "similarity", (F.col("n_a") * F.col("n_b")).alias("weight"), good.alias("verified")), "pairs")
     parts = connected_components(pairs.where("verified"), "doc_a", "doc_b")
-    heads = folded.join(parts, F.col("doc_id") == F.col("id"), "left").select("digest", "signature", F.coalesce("component", "doc_id").alias("rep"))
-    members = sigs.join(heads, ["digest", "signature"]).select("doc_id", "rep")
+    heads = folded.join(parts, F.col("doc_id") == F.col("id"), "left").select("digest", F.coalesce("component", "doc_id").alias("rep"))
+    members = sigs.select("doc_id", "digest").join(heads, "digest").select("doc_id", "rep")
     return Deduplicated(materialize(members, "members"), folded, pairs)
 
 
 def drop_duplicates(docs: DataFrame, config: DedupConfig = DedupConfig(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that stay, all columns as they are; rows with null ids stay."""
-    gone = deduplicate(docs, config, id_col, text_col).remove().select(F.col("doc_id").alias("__loamsift_gone"))
+    """The documents that stay, all columns as they are; rows with null ids stay. An id that two rows have, of which one would go, is an error."""
+    run = deduplicate(docs, config, id_col, text_col)
+    mixed = run.members.groupBy("doc_id").agg(F.count_distinct(F.col("doc_id") == F.col("rep")).alias("n")).where("n > 1").first()
+    if mixed:
+        raise ValueError(f"the id {mixed.doc_id} belongs to a document that stays and to one that goes: give each row an id of its own")
+    gone = run.remove().select(F.col("doc_id").alias("__loamsift_gone"))
     return docs.join(gone, F.col(f"`{id_col}`") == F.col("__loamsift_gone"), "left_anti")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from loamsift.operators.minhash import band_keys, signatures
 from loamsift.plans.config import StreamConfig
+from loamsift.session import materialize
 
 STATE = "band_id int, band_hash string, first_seq long"
 
@@ -48,7 +49,8 @@ def flags(keys: DataFrame, state: DataFrame | None = None) -> DataFrame:
 
 def first_seen(docs: DataFrame, config: StreamConfig = StreamConfig(), seq_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, is_duplicate): what feeding the documents in order gives; rows with null places are left out."""
-    return flags(keys_of(docs.where(F.col(f"`{seq_col}`").isNotNull()), config, seq_col, text_col))
+    keys = materialize(keys_of(docs.where(F.col(f"`{seq_col}`").isNotNull()), config, seq_col, text_col), "keys")  # read twice
+    return flags(keys)
 
 
 def probe(docs: DataFrame, state: DataFrame, config: StreamConfig = StreamConfig(), seq_col: str = "doc_id", text_col: str = "text") -> DataFrame:

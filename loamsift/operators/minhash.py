@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from hashlib import md5
 
 import numpy as np
@@ -10,44 +9,87 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loamsift.functions.hashing import EMPTY, PRIME, band_key, permutations
+from loamsift.functions.hashing import EMPTY, PRIME, band_key, permutations, places
+from loamsift.functions.words import Powers, distinct_words
 from loamsift.plans.config import DedupConfig
 
-SPACE = re.compile(r"\s+")
+MASK, SHIFT, CHUNK = np.uint64(PRIME), np.uint64(31), 4096
 
 
-def shingle_hashes(text: str | None, n: int) -> np.ndarray:
-    """What ``hash31`` gives for each distinct shingle."""
-    w = (text or "").split()
-    if not w:
-        return np.empty(0, np.int64)
-    every = {" ".join(w[i : i + n]) for i in range(max(1, len(w) - n + 1))}
-    return np.fromiter((int(md5(s.encode()).hexdigest()[:15], 16) % PRIME for s in every), np.int64, len(every))
+class WordResidues(dict):
+    """Word to the ``hash31`` of it, remembered; forgets all once it holds ``most`` words."""
 
+    most = 500_000
 
-def signature_of(hashes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The least of every permutation over the hashes, a few thousand hashes at a time."""
-    out = np.full(len(a), EMPTY, np.int64)
-    for k in range(0, len(hashes), 4096):
-        out = np.minimum(out, ((hashes[k : k + 4096, None] * a + b) % PRIME).min(axis=0))
-    return out
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= self.most:
+            self.clear()
+        v = self[word] = int(md5(word).hexdigest()[:15], 16) % PRIME
+        return v
+
+
+def shingle_hashes(texts: pa.Array, n: int, known: WordResidues, powers: Powers) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of every shingle of all texts in turn, shingles of each): its words' residues times ``places(n)``, mod PRIME."""
+    which, words, sizes = distinct_words(texts, powers)
+    v = np.fromiter((known[w] for w in words), np.uint64, len(words))
+    per = np.maximum(sizes - n + 1, np.minimum(sizes, 1))
+    owner = np.repeat(np.arange(len(sizes)), per)
+    end = np.cumsum(sizes)
+    at = np.arange(len(owner)) - np.repeat(np.cumsum(per) - per, per) + (end - sizes)[owner]
+    out = np.zeros(len(at), np.uint64)
+    for k, c in enumerate(places(n) if len(at) else ()):
+        part = _residue(v * np.uint64(c))[which]
+        out += np.where(at + k < end[owner], part[np.minimum(at + k, len(which) - 1)], np.uint64(0))
+    return out % np.uint64(PRIME), per
+
+
+def _residue(y: np.ndarray) -> np.ndarray:
+    """y mod 2**31 - 1 of values below 2**62 + 2**31, by shift and add."""
+    t = (y & MASK) + (y >> SHIFT)
+    return np.minimum(t, t - MASK)  # wraps to something large where t is below
+
+
+def minima(hashes: np.ndarray, per: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least of every permutation over each document's hashes, a few thousand hashes at a time; EMPTY without any."""
+    out = np.full((len(a), len(per)), EMPTY, np.uint64)
+    owner = np.repeat(np.arange(len(per)), per)
+    for k in range(0, len(hashes), CHUNK):
+        h, own = hashes[k : k + CHUNK], owner[k : k + CHUNK]
+        first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+        doc = own[first]
+        for p in range(len(a)):
+            out[p, doc] = np.minimum(out[p, doc], np.minimum.reduceat(_residue(h * a[p] + b[p]), first))
+    return out.T
+
+
+def signature_of(texts: list[str | None], config: DedupConfig = DedupConfig()) -> list[list[int]]:
+    """The signatures of texts, without Spark."""
+    a, b = np.array(permutations(config.permutations, config.seed), np.uint64).T
+    return minima(*shingle_hashes(pa.array(texts, pa.string()), config.ngram, WordResidues(), Powers()), a, b).astype(np.int64).tolist()
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt to all cores where the scan has fewer partitions than there are cores; larger inputs stay where they are."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
 
 
 def signatures(docs: DataFrame, config: DedupConfig = DedupConfig(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, signature): Arrow batches in, one narrow pass, no shuffle. A text without words is EMPTY throughout."""
-    a, b = np.array(permutations(config.permutations, config.seed), np.int64).T
+    """(doc_id, signature): Arrow batches in, one pass. A text without words is EMPTY throughout."""
+    a, b = np.array(permutations(config.permutations, config.seed), np.uint64).T
     n = config.ngram
 
     def run(batches):
+        known, powers = WordResidues(), Powers()
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            sigs = [signature_of(shingle_hashes(t, n), a, b) for t in texts]
-            values = pa.array(np.concatenate(sigs)) if sigs else pa.array([], pa.int64())
-            at = pa.array(np.arange(len(sigs) + 1, dtype=np.int32) * len(a))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(at, values)], ["doc_id", "signature"])
-
-    kept = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    return kept.mapInArrow(run, "doc_id long, signature array<long>")
+            for k in range(0, batch.num_rows, 256):
+                part = batch.slice(k, 256)
+                values = pa.array(minima(*shingle_hashes(part.column(1), n, known, powers), a, b).astype(np.int64).ravel())
+                at = pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * len(a))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(at, values)], ["doc_id", "signature"])
+
+    kept = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    return spread(kept).mapInArrow(run, "doc_id long, signature array<long>")
 
 
 def similarity(a: Column, b: Column) -> Column:

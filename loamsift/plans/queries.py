@@ -103,7 +103,7 @@ def lsh_bucket_stats(spark, sf_dir):
 
 @query("WITH " + S.signature() + S.bands(CONFIG) + S.pairs(CONFIG) + " SELECT doc_a, doc_b FROM cand")
 def lsh_candidate_pairs(spark, sf_dir):
-    return candidate_pairs(band_keys(signatures(_t(spark, sf_dir, "documents"), CONFIG), CONFIG))
+    return candidate_pairs(materialize(band_keys(signatures(_t(spark, sf_dir, "documents"), CONFIG), CONFIG), "keys"))
 
 
 def _estimated(spark, sf_dir):

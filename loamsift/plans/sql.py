@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loamsift.functions.hashing import EMPTY, PRIME, permutations
+from loamsift.functions.hashing import EMPTY, PRIME, permutations, places
 from loamsift.operators.quantize import NF4
 from loamsift.plans.config import DedupConfig
 
@@ -20,8 +20,10 @@ def shingles(n: int = 5, table: str = "documents", ident: str = "doc_id", text:
 def signature(config: DedupConfig = DedupConfig(), table: str = "documents", ident: str = "doc_id", text: str = "text") -> str:
     """CTEs up to sig(doc_id, signature)."""
     least = ", ".join(f"min(({a} * h + {b}) % {PRIME})" for a, b in permutations(config.permutations, config.seed))
+    words = " + ".join(f"coalesce(lead(v, {k}) OVER o * {c} % {PRIME}, 0)" for k, c in enumerate(places(config.ngram)))
     return f"""{shingles(config.ngram, table, ident, text)},
-hs AS (SELECT doc_id, ('0x' || substr(md5(shingle), 1, 15))::BIGINT % {PRIME} AS h FROM sh),
+gv AS (SELECT doc_id, i, n, ({words}) % {PRIME} AS h FROM (SELECT *, ('0x' || substr(md5(w), 1, 15))::BIGINT % {PRIME} AS v FROM t) WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+hs AS (SELECT DISTINCT doc_id, h FROM gv WHERE i <= greatest(1, n - {config.ngram - 1})),
 full_sig AS (SELECT doc_id, [{least}] AS signature FROM hs GROUP BY doc_id),
 sig AS (SELECT doc_id, coalesce(signature, list_transform(range({config.permutations}), lambda x: {EMPTY}::BIGINT)) AS signature FROM (SELECT DISTINCT doc_id FROM d) LEFT JOIN full_sig USING (doc_id))"""
 

@@ -10,7 +10,7 @@ from loamsift.functions.hashing import EMPTY, PRIME, permutations
 from loamsift.operators.dedup import deduplicate, drop_duplicates
 from loamsift.operators.exact import content_table, keep_first
 from loamsift.operators.jaccard import exact_pairs
-from loamsift.operators.minhash import band_keys, candidate_pairs, shingle_hashes, signature_of, signatures, similarity, with_similarity
+from loamsift.operators.minhash import band_keys, candidate_pairs, signature_of, signatures, similarity, with_similarity
 from loamsift.plans.config import DedupConfig, HybridConfig, SemanticConfig, StreamConfig, optimal_bands
 
 FOX = "the quick brown fox jumps over the lazy dog in the park near the river"
@@ -64,12 +64,28 @@ def test_shingles(spark):
 def test_estimate_is_near_jaccard(x, y):
     import numpy as np
 
-    a, b = np.array(permutations(256)).T
-    s, t = (signature_of(shingle_hashes(" ".join(v), 2), a, b) for v in (x, y))
+    s, t = map(np.array, signature_of([" ".join(x), " ".join(y)], DedupConfig(permutations=256, ngram=2)))
     u, v = plain_shingles(" ".join(x), 2), plain_shingles(" ".join(y), 2)
     assert abs((s == t).mean() - len(u & v) / len(u | v)) < 0.2
 
 
+def test_signatures_are_plain_arithmetic():
+    from hashlib import md5
+
+    texts = ["one two three", " ".join(f"w{i % 7} é{i}" for i in range(3000)), "", "a b c d e f"]
+    for text, got in zip(texts, signature_of(texts)):
+        v = [int(md5(w.encode()).hexdigest()[:15], 16) % PRIME for w in text.split()]
+        grams = [v[i : i + 5] for i in range(max(1, len(v) - 4))] if v else []
+        h = [sum(x * pow(1_000_003, 5 - k, PRIME) for k, x in enumerate(g)) % PRIME for g in grams]
+        assert got == [min([(x * a + b) % PRIME for x in h], default=EMPTY) for a, b in permutations(128)]
+
+
+def test_an_id_of_unlike_rows_is_no_loss(spark):
+    rows = spark.createDataFrame([(1, FOX), (2, FOX), (2, CAT)], "doc_id long, text string")
+    with pytest.raises(ValueError, match="id 2"):
+        drop_duplicates(rows)
+
+
 def test_signatures(spark):
     rows = {r.doc_id: r.signature for r in signatures(frame(spark, [FOX, FOX, CAT, "", None]), DedupConfig()).collect()}
     assert rows[0] == rows[1] != rows[2] and rows[3] == rows[4] == [EMPTY] * 128 and all(0 <= v < PRIME for v in rows[0])
