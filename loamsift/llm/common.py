@@ -40,6 +40,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str | int = "text", limit:
             to = max(at + 1, int(np.searchsorted(size, floor + limit, "right")))
             yield b.slice(at, to - at)
             at = to
+    pa.default_memory_pool().release_unused()  # a worker lives on after its task
 
 
 class WordHash(dict):
