@@ -285,7 +285,7 @@ def _pair(batches):
     yield take()
 
 
-def _places(batches):
+def _placed_urls(batches):
     for b in batches:
         yield pa.RecordBatch.from_arrays([pa.array([place(u) for u in b.column("url").to_pylist()], pa.string()), *(b.column(c) for c in ("page_id", "rid", "salt"))], ["place", "page_id", "rid", "salt"])
 
@@ -294,7 +294,7 @@ def extract(pages: DataFrame, n_buckets: int | None = None) -> DataFrame:
     """One row for each page: its lines without those it shares with the nearest URL."""
     n = n_buckets or partitions(pages.sparkSession)
     kept = pages.select(F.col("page_id").cast("long").alias("page_id"), F.monotonically_increasing_id().alias("rid"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).withColumn("salt", F.xxhash64("rid"))
-    places = kept.select("url", "page_id", "rid", "salt").mapInArrow(_places, "place string, page_id long, rid long, salt long")
+    places = kept.select("url", "page_id", "rid", "salt").mapInArrow(_placed_urls, "place string, page_id long, rid long, salt long")
     key = F.struct("place", F.col("page_id").isNull().alias("none"), "page_id", "rid", "salt").alias("key")
     sorted_ = places.repartitionByRange(n, "place", "salt").sortWithinPartitions("place", "salt").select(key)
     kind = "struct<place:string,none:boolean,page_id:long,rid:long,salt:long>"
