@@ -37,14 +37,14 @@ BITS = 36
 RADIUS = 2
 RUN_BITS = 40  # of 128: a cosine of 0.56 over runs of three words
 ROWS_A_PARTITION = 2_000_000
-CHUNK = 1 << 14
+CHUNK = 1 << 13
 FIELDS = [f"f{i}" for i in range(TABLES)] + ["s0", "s1"]
 
 
 class Signs(dict):
     """Word to a row of +1 and -1, one for each bit of all tables; and the word's hash."""
 
-    def __init__(self, most: int = 100_000):
+    def __init__(self, most: int = 50_000):
         self.most, self.rows, self.hash = most, np.empty((most, BITS * TABLES), np.int8), np.empty(most, np.uint64)
         self.fresh: list[bytes] = []
 
