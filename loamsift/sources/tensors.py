@@ -280,6 +280,10 @@ def _as_npy(row):
 def write_tensors(df: DataFrame, path: str, format: str = "safetensors") -> DataFrame:
     """Files under ``path``, one for each value of ``file`` (for npy one for each tensor); (file, tensors, bytes) of each.
 
+    Files keep their paths from the folder that all of them are in, so equal
+    names in different folders stay apart; arrays of several files go to a
+    folder for each.
+
     A file is written beside its place and then moved there, so a task that is
     run again replaces what it wrote. The result is already there: it isn't lazy.
     """
@@ -301,14 +305,21 @@ def write_tensors(df: DataFrame, path: str, format: str = "safetensors") -> Data
         where.move(draft, inner)
         return n
 
+    ends = df.agg(F.min("file").alias("low"), F.max("file").alias("high")).first()
+    low, high = ((x or "").rstrip("/") for x in ends)
+    shared = next((k for k, (a, b) in enumerate(zip(low, high)) if a != b), min(len(low), len(high)))
+    root = low[:shared].rfind("/") + 1
+    several = low != high
+
     def run(batches):
         held, rows, done = None, [], []
 
         def close():
             if rows:
-                stem = held.rstrip("/").rsplit("/", 1)[-1].rsplit(".", 1)[0]
+                folder, slash, name = held.rstrip("/")[root:].rpartition("/")
+                stem = folder + slash + name.rsplit(".", 1)[0]
                 if format == "npy":
-                    n = sum(put(f"{r[0]}.npy", _as_npy(r)) for r in rows)
+                    n = sum(put(f"{stem}/{r[0]}.npy" if several else f"{r[0]}.npy", _as_npy(r)) for r in rows)
                 else:
                     n = put(stem + (".mst" if format == "container" else ".safetensors"), (_as_container if format == "container" else _as_safetensors)(rows))
                 done.append((stem, len(rows), n))

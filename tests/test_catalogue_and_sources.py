@@ -140,6 +140,9 @@ def test_tensor_files(spark, tmp_path):
         assert {r.format for r in T.file_formats(spark, str(tmp_path / kind)).collect()} == {kind}
         assert all(r.data is None for r in T.read_tensors(spark, str(tmp_path / kind), kind, data=False).collect())
     T.convert(spark, str(tmp_path / "container"), str(tmp_path / "back"), "safetensors")
+    apart = d.where("file = 'a'").withColumn("file", F.lit("/x/a/model.st")).union(d.where("file = 'b'").withColumn("file", F.lit("/x/b/model.st")))
+    assert {r.file for r in T.write_tensors(apart, str(tmp_path / "apart"), "safetensors").collect()} == {"a/model", "b/model"}
+    assert T.read_tensors(spark, str(tmp_path / "apart")).count() == apart.count()
     assert T.read_tensors(spark, str(tmp_path / "back")).count() == len(rows)
     T.write_tensors(d.where("file = 'a'"), str(tmp_path / "arrays"), "npy")
     assert np.array_equal(np.load(tmp_path / "arrays/layer.1.npy").tobytes(), want["a", "layer.1"][2])
