@@ -9,11 +9,13 @@ Documents meet in a shuffle on the hashes of their runs. Runs with the same
 documents are one list with a weight. Documents lie in blocks, near copies
 side by side; a list is sent once to each block that has
 members of it, and a block's similarities are a product of two incidence
-matrices, of which K a document leave the task. Lists that lie so wide that
-members times blocks pass ``SPREAD`` aren't sent: documents with the same wide
-lists are one class, classes are multiplied in place of documents, and what
-wide lists add to pairs that other lists have is sent to their blocks. Both
-ways are exact.
+matrices, of which K a document leave the task. There are as many blocks as
+documents fill, however many partitions a shuffle has. Lists that lie so wide
+that members times blocks pass ``SPREAD`` bring no pairs to a block: documents
+with the same wide lists are one class, and classes are multiplied in place of
+documents. What wide lists add to pairs that other lists have is counted in the
+blocks, to which they are sent compressed, and which keep of them only the
+documents they have from other lists. Both ways are exact.
 
 Paths are walked within what best neighbours connect: each starts at the
 unvisited document of least degree and goes to the nearest unvisited
@@ -34,6 +36,7 @@ from __future__ import annotations
 
 import heapq
 import math
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -54,6 +57,7 @@ WINDOW = 1024
 WINDOWS_A_BUCKET = 256
 BLOCK = 1 << 14  # documents of one product
 SPREAD = 1 << 17  # members times blocks up to which a list is sent to its blocks
+PACKED = 64  # members from which a list is compressed before it is sent
 CELLS = 1 << 21  # of a similarity matrix held at a time
 HOT = 1 << 16  # documents of a run beyond which no task holds them together
 HELD = 1 << 23  # (hash, document) pairs of a task after which it looks for hot runs
@@ -307,64 +311,87 @@ def nearest_of_block(rows: np.ndarray, weights: np.ndarray, sizes: np.ndarray, m
     return tuple(np.concatenate(c) for c in zip(*out)) if out else (np.zeros(0, np.int64),) * 3
 
 
-_PART = "block long, kind int, no long, weight long, id long, members binary"
+def _packed(batches):
+    """The column ``members`` (array<long> or binary) as compressed bytes of its differences."""
+    for b in batches:
+        members = b.column("members")
+        if pa.types.is_binary(members.type):
+            each = (np.frombuffer(x, np.int64) for x in members.to_pylist())
+        else:
+            each = np.split(members.flatten().to_numpy(), np.cumsum(members.value_lengths().to_numpy())[:-1])
+        rest = [c for c in b.schema.names if c != "members"]
+        packed = [zlib.compress(np.diff(x, prepend=np.int64(0)).tobytes(), 1) for x in each] if b.num_rows else []
+        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in rest), pa.array(packed, pa.binary())], [*rest, "members"])
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(zlib.decompress(raw), np.int64))
 
 
 def _block_task(k: int):
+    """Rows sorted by block and kind: 0 the documents of a block, 1 lists of bytes, 2 packed lists, 3 packed lists that bring no pairs of their own. Lists with one number are one."""
+
     def run(batches):
-        held, block = [], None
+        block, rows, no, weight, lists, names = None, [], [], [], [], None
 
         def flush():
-            t = pa.Table.from_batches(held)
-            kind = t.column("kind").to_numpy()
-            ids, no, weight = (pa.compute.fill_null(t.column(c), 0).to_numpy() for c in ("id", "no", "weight"))
-            rows, single = ids[kind == 0], kind == 2
-            lists = [np.frombuffer(x, np.int64) for x in t.column("members").filter(pa.array(kind == 1)).to_pylist()]
-            weights, sizes = [weight[kind == 1]], [np.array([len(x) for x in lists], np.int64)]
-            if single.any():
-                order = np.argsort(no[single], kind="stable")
-                n, w = no[single][order], weight[single][order]
+            if lists and rows:
+                order = np.argsort(np.array(no), kind="stable")
+                n, size = np.array(no)[order], np.array([len(x) for x in lists])[order]
                 first = np.flatnonzero(np.concatenate([[True], n[1:] != n[:-1]]))
-                weights.append(w[first]), sizes.append(np.diff([*first, len(n)]))
-                lists.append(ids[single][order])
-            if not lists or not len(rows):
-                return
-            a, b, s = nearest_of_block(rows, np.concatenate(weights), np.concatenate(sizes), np.concatenate(lists), k)
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(s)], ["a", "b", "similarity"])
+                own, weights, members = np.concatenate(rows), np.array(weight)[order][first], np.concatenate([lists[x] for x in order.tolist()])
+                lists.clear()
+                a, b, s = nearest_of_block(own, weights, np.add.reduceat(size, first), members, k)
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(s)], ["a", "b", "similarity"])
+            for x in (rows, no, weight, lists):
+                x.clear()
 
         for b in batches:
             own = b.column("block").to_numpy()
-            cuts = [0, *(np.flatnonzero(own[1:] != own[:-1]) + 1).tolist(), len(own)]
+            kinds = b.column("kind").to_numpy()
+            cuts = [0, *(np.flatnonzero((own[1:] != own[:-1]) | (kinds[1:] != kinds[:-1])) + 1).tolist(), len(own)]
             for x, y in zip(cuts, cuts[1:]):
                 if x == y:
                     continue
-                if held and own[x] != block:
+                if own[x] != block:
                     yield from flush()
-                    held = []
-                block = own[x]
-                held.append(b.slice(x, y - x))
-        if held:
-            yield from flush()
+                    block, names = own[x], None
+                part, kind = b.slice(x, y - x), int(kinds[x])
+                if kind == 0:
+                    rows.append(part.column("id").to_numpy())
+                    continue
+                if kind == 3 and names is None:
+                    names = np.unique(np.concatenate(lists)) if lists else np.zeros(0, np.int64)
+                for n, w, raw in zip(part.column("no").to_pylist(), part.column("weight").to_pylist(), part.column("members")):
+                    ids = np.frombuffer(raw.as_buffer(), np.int64) if kind == 1 else _unpacked(raw.as_buffer())
+                    if kind == 3:
+                        at = np.searchsorted(names, ids)
+                        ids = ids[names[np.minimum(at, len(names) - 1)] == ids] if len(names) else ids[:0]
+                    if len(ids):
+                        no.append(n), weight.append(w), lists.append(ids)
+        yield from flush()
 
     return run
 
 
-def _multiply(placed: DataFrame, parts: list[DataFrame], k: int) -> DataFrame:
-    """The k nearest (a, b, similarity) of everything in ``placed`` (id, block) by the lists sent to its blocks."""
-    none = {"no": "long", "weight": "long", "id": "long", "members": "binary"}
+def _multiply(placed: DataFrame, parts: list[tuple[int, DataFrame]], k: int) -> DataFrame:
+    """The k nearest (a, b, similarity) of everything in ``placed`` (id, block) by the lists (block, no, weight, members) of each kind sent to its blocks."""
     rows = placed.select("block", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("no"), F.lit(None).cast("long").alias("weight"), "id", F.lit(None).cast("binary").alias("members"))
-    for p in parts:
-        kind = F.lit(1 if "members" in p.columns else 2).alias("kind")
-        rows = rows.unionByName(p.select("block", kind, *(F.col(c) if c in p.columns else F.lit(None).cast(t).alias(c) for c, t in none.items())))
+    for kind, p in parts:
+        rows = rows.unionByName(p.select("block", F.lit(kind).alias("kind"), "no", "weight", F.lit(None).cast("long").alias("id"), "members"))
     n = partitions(placed.sparkSession)
     to = F.pmod(F.col("block") + F.shiftright("block", 32), F.lit(n)).cast("int")  # one after the other, so that none gets many
-    return rows.repartitionById(n, to).sortWithinPartitions("block").mapInArrow(_block_task(k), "a long, b long, similarity long")
+    return rows.repartitionById(n, to).sortWithinPartitions("block", "kind").mapInArrow(_block_task(k), "a long, b long, similarity long")
 
 
 def _blocks(ids: DataFrame, by: str) -> DataFrame:
-    """(id, block) of a table with ids, those with like values of ``by`` side by side."""
-    n = partitions(ids.sparkSession)
-    return materialize(ids.select("id", by).repartitionByRange(n, by, "id").sortWithinPartitions(by, "id").mapInArrow(_placed, "id long, block long"), "blocks")
+    """(id, block) of a table with ids, those with like values of ``by`` side by side; as many blocks as they fill, for each is sent what it needs of all others."""
+    ids = materialize(ids.select("id", by), "ids")
+    spark = ids.sparkSession
+    n = max(min(partitions(spark), spark.sparkContext.defaultParallelism), math.ceil(ids.count() / (0.8 * BLOCK)))
+    out = materialize(ids.repartitionByRange(n, by, "id").sortWithinPartitions(by, "id").mapInArrow(_placed, "id long, block long"), "blocks")
+    release(ids)
+    return out
 
 
 def _sides(lists: DataFrame) -> DataFrame:
@@ -398,24 +425,28 @@ def _ring(k: int):
     return run
 
 
-def _wide(wide: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
-    """Of the members (no, weight, id) of wide lists: (id, g, held), the class of each document and the lists it has; (a, b, similarity), the k nearest by wide lists alone."""
+def _wide(wide: DataFrame, k: int) -> DataFrame:
+    """Of the members (no, weight, id) of wide lists: (a, b, similarity), the k nearest by wide lists alone."""
     n_parts = partitions(wide.sparkSession)
     held = wide.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("no", "weight"))).alias("held"))
     total = F.aggregate("held", F.lit(0).cast("long"), lambda s, x: s + x["weight"])
     held = materialize(held.select("id", F.xxhash64("held").alias("g"), total.alias("total"), "held"), "held")
     classes = held.groupBy("g").agg(F.first("held").alias("held"), F.first("total").alias("total"))
     each = materialize(classes.select(F.col("g").alias("id"), "total", F.col("held")[0]["no"].alias("first"), F.explode("held").alias("x")).select("id", "total", "first", "x.no", "x.weight"), "classes")
-    placed = _blocks(each.groupBy("id").agg(F.first("first").alias("first")), "first")
-    where = each.join(placed, "id").select("no", "block").distinct()
-    near = _multiply(placed, [each.select("no", "weight", "id").join(where, "no")], k + 1)
+    few = held.groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") <= k).select(F.col("g").alias("id"))  # others have k in their own class, and none nearer
+    placed = _blocks(each.join(few, "id", "left_semi").groupBy("id").agg(F.first("first").alias("first")), "first")
+    where = each.join(placed, "id").groupBy("no").agg(F.collect_set("block").alias("blocks"))
+    n_pieces = math.ceil(max(1, held.select("g").distinct().count()) / HOT)
+    pieces = each.groupBy("no", F.pmod(F.xxhash64("id"), F.lit(n_pieces)).alias("piece")).agg(F.first("weight").alias("weight"), F.sort_array(F.collect_list("id")).alias("members"))
+    pieces = pieces.join(where, "no").select("no", "weight", "blocks", "members").mapInArrow(_packed, "no long, weight long, blocks array<long>, members binary")
+    near = _multiply(placed, [(2, pieces.select(F.explode("blocks").alias("block"), "no", "weight", "members"))], k + 1)
     own = each.groupBy("id").agg(F.first("total").alias("similarity")).select(F.col("id").alias("a"), F.col("id").alias("b"), "similarity")
     heads = held.select("g", "id", F.row_number().over(Window.partitionBy("g").orderBy("id")).alias("n")).where(F.col("n") <= k + 1)
     best = Window.partitionBy("a").orderBy(F.desc("similarity"), "id")
     near = near.unionByName(own).join(heads, F.col("b") == F.col("g")).withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1)
     far = held.select(F.col("id").alias("me"), "g").join(near.select("a", "id", "similarity"), F.col("a") == F.col("g")).where("me <> id").select(F.col("me").alias("a"), F.col("id").alias("b"), "similarity")
     ring = held.select("g", "id", "total").repartitionByRange(n_parts, "g", "id").sortWithinPartitions("g", "id").mapInArrow(_ring(k), "a long, b long, similarity long")
-    return held, far.unionByName(ring)
+    return far.unionByName(ring)
 
 
 def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -436,18 +467,22 @@ def neighbours(met: DataFrame, k: int = K) -> DataFrame:
     release(lists)
     narrow = F.col("n") * F.size("blocks") <= SPREAD
     short = sent.where(narrow)
-    wide = sent.where(~narrow).select("no", "weight", "members").mapInArrow(_members, "no long, weight long, id long")
+    wide = sent.where(~narrow).select("no", "weight", "members", "blocks")
     hot = met.where("gram IS NOT NULL").select("gram", "members")
     if not hot.isEmpty():
         names = hot.mapInArrow(_members, "gram long, id long").groupBy("gram").agg(F.count("*").alias("n"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("s"))
         names = names.where("n > 1").groupBy(F.xxhash64("n", "s").alias("no")).agg(F.count("*").alias("weight"), F.min("gram").alias("gram"))
-        wide = wide.unionByName(hot.join(names, "gram").select("no", "weight", "members").mapInArrow(_members, "no long, weight long, id long"))
-    parts = [short.select(F.explode("blocks").alias("block"), "no", "weight", "members")]
+        pieces = hot.join(names, "gram").select("no", "weight", "members")
+        where = pieces.select("no", "members").mapInArrow(_members, "no long, id long").join(placed, "id").groupBy("no").agg(F.collect_set("block").alias("blocks"))
+        wide = wide.unionByName(pieces.join(where, "no", "left"))
+    long = short.where(F.col("n") >= PACKED).select("no", "weight", "blocks", "members").mapInArrow(_packed, "no long, weight long, blocks array<long>, members binary")
+    parts = [(kind, p.select(F.explode("blocks").alias("block"), "no", "weight", "members")) for kind, p in ((1, short.where(F.col("n") < PACKED)), (2, long))]
     far = None
+    wide = materialize(wide, "wide")
     if not wide.isEmpty():
-        held, far = _wide(wide, k)
-        seen = short.select("blocks", "members").mapInArrow(_members, "blocks array<long>, id long").join(held.select("id"), "id").select("id", F.explode("blocks").alias("block")).distinct()
-        parts.append(seen.join(held.select("id", F.explode("held").alias("x")), "id").select("block", "x.no", "x.weight", "id"))
+        far = _wide(wide.select("no", "weight", "members").mapInArrow(_members, "no long, weight long, id long"), k)
+        packed = wide.where("blocks IS NOT NULL").mapInArrow(_packed, "no long, weight long, blocks array<long>, members binary")
+        parts.append((3, packed.select(F.explode("blocks").alias("block"), "no", "weight", "members")))
     near = _multiply(placed, parts, k)
     if far is not None:
         near = near.unionByName(far).groupBy("a", "b").agg(F.max("similarity").alias("similarity"))

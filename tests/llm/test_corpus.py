@@ -219,6 +219,28 @@ def test_neighbours_are_those_of_whole_texts(spark, monkeypatch, hot, spread, he
     hold_against_all(spark, texts + near + [lines[0] + " " + t for t in near[:9]])
 
 
+def test_what_is_sent_follows_documents_and_not_partitions(spark, monkeypatch):
+    monkeypatch.setattr(P, "SPREAD", 60)
+    rng = random.Random(5)
+    lines = [" ".join(f"z{rng.randrange(10**6)}" for _ in range(7)) for _ in range(12)]
+    texts = [" ".join(f"{x} y{rng.randrange(10**6)}" for x in rng.sample(lines, 4)) + f" {lines[0][:20]} {k // 2}" for k in range(120)]
+    sent, multiply = [], P._multiply
+
+    def counted(placed, parts, k):
+        tables = [p[-1] if isinstance(p, tuple) else p for p in parts]
+        sent.append((placed.select("block").distinct().count(), sum(p.count() for p in tables), sum(p.groupBy("block", "no").count().count() for p in tables)))
+        return multiply(placed, parts, k)
+
+    monkeypatch.setattr(P, "_multiply", counted)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "24")
+        hold_against_all(spark, texts)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert len(sent) == 2 and all(blocks <= spark.sparkContext.defaultParallelism and rows == lists for blocks, rows, lists in sent)
+
+
 @pytest.mark.parametrize("lists,ids,longest", [(400, 30, 9), (60, 900, 9), (900, 40, 30), (12, 300, 200)])
 def test_products_are_the_same_dense_and_sparse(lists, ids, longest):
     rng = np.random.default_rng(2)
