@@ -9,7 +9,9 @@ Documents meet in a shuffle on the hashes of their runs. Runs with the same
 documents are one list with a weight. Documents lie in blocks, near copies
 side by side; a list is sent once to each block that has
 members of it, and a block's similarities are a product of two incidence
-matrices, of which K a document leave the task. There are as many blocks as
+matrices, of which K a document leave the task; in it lists with more than
+``LONG`` members count by classes of documents with the same such lists, for
+they weigh little and most have nearer ones. There are as many blocks as
 documents fill, however many partitions a shuffle has. Lists that lie so wide
 that members times blocks pass ``SPREAD`` bring no pairs to a block: documents
 with the same wide lists are one class, and classes are multiplied in place of
@@ -57,6 +59,7 @@ WINDOW = 1024
 WINDOWS_A_BUCKET = 256
 BLOCK = 1 << 14  # documents of one product
 SPREAD = 1 << 17  # members times blocks up to which a list is sent to its blocks
+LONG = 1024  # members from which a list is multiplied by classes of documents
 PACKED = 64  # members from which a list is compressed before it is sent
 CELLS = 1 << 21  # of a similarity matrix held at a time
 HOT = 1 << 16  # documents of a run beyond which no task holds them together
@@ -91,7 +94,7 @@ _FEATURES = ("rid", "doc_id", "length")
 
 def _scan(n_parts: int):
     """One pass over the texts: the hashes for each partition as bytes, and (rid, doc_id, length) beside them."""
-    small = np.uint16 if n_parts <= 1 << 16 else np.int64
+    small = _small(n_parts)
 
     def run(batches):
         powers, held = Powers(), []
@@ -157,8 +160,10 @@ def _lists(hot: int, most: int):
             order = np.argsort(a)
             a, r = a[order], r[order]
             first = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
-            known = np.union1d(known, a[first[np.diff([*first, len(a)]) > hot]])
-            out = np.isin(a, known) if len(known) else np.zeros(len(a), bool)
+            known = np.union1d(known, a[first[np.diff(np.append(first, len(a))) > hot]])
+            if not len(known):
+                return a, r, a[:0], r[:0]
+            out = np.isin(a, known)
             return a[~out], r[~out], a[out], r[out]
 
         def pieces(a, r):
@@ -226,10 +231,64 @@ def _ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.arange(int(size.sum())) + np.repeat(begin - (np.cumsum(size) - size), size)
 
 
-def nearest_of_block(rows: np.ndarray, weights: np.ndarray, sizes: np.ndarray, members: np.ndarray, k: int, slab: int = 256) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(a, b, similarity): for each of the rows its k nearest, where two are as similar as their common lists weigh; of equals the next in order, in a ring."""
+def _classes(of: np.ndarray, code: np.ndarray, sizes: np.ndarray, n: int, exact: type, long: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(lists that are long, class of each of n documents, which long lists a class has): documents with the same long lists are one class. Long is what has more than ``long`` members, or twice as many and so on until the classes fit."""
+    while True:
+        far = sizes > long
+        at = far[of]
+        h = np.zeros(n, np.uint64)
+        np.add.at(h, code[at], mix(of[at].astype(np.uint64) + np.uint64(1)))
+        _, one, kind = np.unique(h, return_index=True, return_inverse=True)
+        if len(one) * max(256, int(far.sum())) <= 8 * CELLS or not at.any():
+            break
+        long *= 2
+    first = np.zeros(n, bool)
+    first[one] = True
+    at &= first[code]
+    has = np.zeros((len(one), int(far.sum())), exact)
+    has[kind[code[at]], (np.cumsum(far) - 1)[of[at]]] = 1
+    return far, kind, has
+
+
+def _by_class(a: np.ndarray, kind: np.ndarray, has: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, similarity) by long lists alone: for each of the documents the k nearest, of equals the next in the ring."""
+    docs, count = np.argsort(kind, kind="stable"), np.bincount(kind, minlength=len(has))
+    begin = np.cumsum(count) - count
+    a = a[np.argsort(kind[a], kind="stable")]
+    own, first = np.unique(kind[a], return_index=True)
+    first, out = [*first.tolist(), len(a)], []
+    step = max(1, CELLS // len(has))
+    for at in range(0, len(own), step):
+        both = ((has[own[at : at + step]] * weights) @ has.T).astype(np.int64)
+        for x, y, v in zip(first[at:], first[at + 1 :], both):
+            most = np.cumsum(np.bincount(v, count)[::-1])[::-1]  # documents as near as this or nearer
+            t = max(1, int(np.searchsorted(-most, -(k + 1), "right")) - 1)
+            e, h = np.flatnonzero(v == t), np.flatnonzero(v > t)
+            even = np.sort(docs[_ranges(begin[e], count[e])])
+            nearer, me = docs[_ranges(begin[h], count[h])], a[x:y]
+            if len(even):
+                turn = (np.searchsorted(even, me, "right")[:, None] + np.arange(min(k + 1, len(even)))) % len(even)
+                out.append((np.repeat(me, turn.shape[1]), even[turn].ravel(), np.full(turn.size, t)))
+            out.append((np.repeat(me, len(nearer)), np.tile(nearer, len(me)), np.tile(np.repeat(v[h], count[h]), len(me))))
+    return tuple(np.concatenate(c) for c in zip(*out))
+
+
+def nearest_of_block(rows: np.ndarray, weights: np.ndarray, sizes: np.ndarray, members: np.ndarray, k: int, slab: int = 256, long: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, similarity): for each of the rows its k nearest, where two are as similar as their common lists weigh; of equals the next in order, in a ring.
+
+    Only short lists are multiplied document by document. What long ones add
+    to the pairs found so follows from the classes of the two. Other pairs are
+    as near as their classes, no nearer than all long lists of a document
+    weigh, and are looked for where its k nearest so far don't pass that.
+    """
     names, code = np.unique(members, return_inverse=True)
     of = np.repeat(np.arange(len(sizes)), sizes)
+    exact = np.float32 if weights.sum() < 2**23 else np.float64
+    far, kind, has = _classes(of, code, sizes, len(names), exact, LONG if long is None else long)
+    far_weights = weights[far].astype(exact)
+    reach = (has @ far_weights).astype(np.int64)[kind]  # what a document has in common with others by long lists at most
+    code, sizes, weights = code[~far[of]], sizes[~far], weights[~far]
+    of = np.repeat(np.arange(len(sizes)), sizes)
     begin = np.cumsum(sizes) - sizes
     row_of = np.full(len(names), -1)
     row_of[np.flatnonzero(np.isin(names, rows))] = 0
@@ -247,37 +306,45 @@ def nearest_of_block(rows: np.ndarray, weights: np.ndarray, sizes: np.ndarray, m
     place = turn[row_of[code[mine]]]
     order = np.argsort(place, kind="stable")
     mine, place = mine[order], place[order]
-    exact = np.float32 if weights.sum() < 2**23 else np.float64
-    out = []
+    bits = int(weights.max(initial=1)).bit_length()
+    out, open_rows = [], []
     at, n = 0, slab
     while at < len(own_code):
         n = min(n, len(own_code) - at)
         x, y = np.searchsorted(place, [at, at + n])
         r, (used, which) = place[x:y] - at, np.unique(of[mine[x:y]], return_inverse=True)
-        long = sizes[used]
-        c = code[_ranges(begin[used], long)]
+        many_of = sizes[used]
+        c = code[_ranges(begin[used], many_of)]
+        me = own_code[at_row[at : at + n]]
         seen = np.zeros(len(names), bool)
         seen[c] = True
+        seen[me] = True
         cols = np.flatnonzero(seen)
         small = np.cumsum(seen) - 1
-        c, first = small[c], np.cumsum(long) - long
-        own = small[own_code[at_row[at : at + n]]]
-        work, cells = int(long[which].sum()), n * len(cols)
+        c, first = small[c], np.cumsum(many_of) - many_of
+        own = small[me]
+        work, cells = int(many_of[which].sum()), n * len(cols)
         if n > 1 and (work if cells > 8 * work else cells) > CELLS:
             n = max(1, n // 2)
             continue
+        (left_kinds, kind_i), (right_kinds, kind_j) = (np.unique(kind[d], return_inverse=True) for d in (me, cols))
+        common = (has[left_kinds] * far_weights) @ has[right_kinds].T
         if cells > 8 * work:  # few of the pairs have anything in common
-            many = long[which]
+            many = many_of[which]
             key = np.repeat(r, many) * len(cols) + c[_ranges(first[which], many)]
-            key, inverse = np.unique(key, return_inverse=True)
-            v = np.bincount(inverse, np.repeat(weights[used][which], many)).astype(np.int64)
-            i, j = key // len(cols), key % len(cols)
+            key = np.sort(key << bits | np.repeat(weights[used][which], many))  # numbers are sorted several times faster than their places
+            v, key = key & ((1 << bits) - 1), key >> bits
+            new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])[: len(key)])
+            v, (i, j) = np.add.reduceat(v, new) if len(new) else v, np.divmod(key[new], len(cols))
             other = j != own[i]
             i, j, v = i[other], j[other], v[other]
-            order = np.lexsort(((j - own[i] - 1) % len(cols), -v, i))
-            i, j, v = i[order], j[order], v[order]
+            v += common[kind_i[i], kind_j[j]].astype(np.int64)
+            top = int(v.max(initial=0)) + 1
+            key = np.sort((i * top + top - 1 - v) * len(cols) + (j - own[i] - 1) % len(cols))
+            i, key = np.divmod(key, top * len(cols))
             keep = np.arange(len(i)) - np.searchsorted(i, np.arange(n))[i] < k
-            i, j, v = i[keep], j[keep], v[keep]
+            i, (v, j) = i[keep], np.divmod(key[keep], len(cols))
+            v, j = top - 1 - v, (j + own[i] + 1) % len(cols)
         else:
             s = np.zeros((n, len(cols)), exact)
             if cells * len(used) < 50 * work:
@@ -285,20 +352,22 @@ def nearest_of_block(rows: np.ndarray, weights: np.ndarray, sizes: np.ndarray, m
                     some = (which >= k0) & (which < k0 + 256)
                     left, right = np.zeros((n, min(256, len(used) - k0)), exact), np.zeros((min(256, len(used) - k0), len(cols)), exact)
                     left[r[some], which[some] - k0] = weights[used[which[some]]]
-                    many = long[k0 : k0 + 256]
+                    many = many_of[k0 : k0 + 256]
                     right[np.repeat(np.arange(len(many)), many), c[_ranges(first[k0 : k0 + 256], many)]] = 1
                     s += left @ right
             else:
-                step = np.concatenate([[0], np.cumsum(long[which])])
+                step = np.concatenate([[0], np.cumsum(many_of[which])])
                 k0 = 0
                 while k0 < len(which):
                     k1 = max(k0 + 1, int(np.searchsorted(step, step[k0] + 4_000_000, "right")) - 1)
-                    many = long[which[k0:k1]]
+                    many = many_of[which[k0:k1]]
                     key = np.repeat(r[k0:k1] * len(cols), many) + c[_ranges(first[which[k0:k1]], many)]
                     r0, r1 = int(r[k0]), int(r[k1 - 1]) + 1
                     part = np.bincount(key - r0 * len(cols), np.repeat(weights[used[which[k0:k1]]], many), (r1 - r0) * len(cols))
                     s[r0:r1] += part.reshape(r1 - r0, -1).astype(exact)
                     k0 = k1
+            if common.any():
+                s += common[kind_i][:, kind_j]
             s[np.arange(n), own] = 0
             less = np.linspace(0.5, 0.0, len(cols), endpoint=False)  # of equals the next in the ring
             turns = np.lib.stride_tricks.sliding_window_view(np.concatenate([less, less]), len(cols))
@@ -306,9 +375,28 @@ def nearest_of_block(rows: np.ndarray, weights: np.ndarray, sizes: np.ndarray, m
             i, j = np.repeat(np.arange(n), best.shape[1]), best.ravel()
             v = s[i, j].astype(np.int64)
             i, j, v = i[v > 0], j[v > 0], v[v > 0]
-        out.append((names[own_code[at_row[at + i]]], names[cols[j]], v))
+        out.append((me[i], cols[j], v))
+        past = np.bincount(i[v > reach[me[i]]], minlength=n)
+        open_rows.append(me[(past < k) & (reach[me] > 0)])
         at, n = at + n, min(slab, 2 * n) if 2 * max(work, cells) <= CELLS else n
-    return tuple(np.concatenate(c) for c in zip(*out)) if out else (np.zeros(0, np.int64),) * 3
+    if not out:
+        return (np.zeros(0, np.int64),) * 3
+    a, b, s = (np.concatenate(c) for c in zip(*out))
+    rest = np.concatenate(open_rows)
+    if len(rest):
+        redo = np.zeros(len(names), bool)
+        redo[rest] = True
+        redo = redo[a]
+        x, y, z = (np.concatenate([p[redo], f]) for p, f in zip((a, b, s), _by_class(rest, kind, has, far_weights, k)))
+        order = np.lexsort((-z, y, x))
+        x, y, z = x[order], y[order], z[order]
+        new = np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])]) & (x != y)
+        x, y, z = x[new], y[new], z[new]
+        order = np.lexsort(((y - x - 1) % len(names), -z, x))
+        x, y, z = x[order], y[order], z[order]
+        keep = np.arange(len(x)) - np.searchsorted(x, x) < k
+        a, b, s = (np.concatenate([p[~redo], f[keep]]) for p, f in zip((a, b, s), (x, y, z)))
+    return names[a], names[b], s
 
 
 def _packed(batches):
@@ -394,6 +482,55 @@ def _blocks(ids: DataFrame, by: str) -> DataFrame:
     return out
 
 
+def _small(n_parts: int) -> type:
+    return np.uint16 if n_parts <= 1 << 16 else np.int64
+
+
+_TO_DOCUMENTS = "to int, id binary, no binary, weight binary, size binary"
+
+
+def _to_documents(n_parts: int):
+    """The members of lists for each partition of documents, as bytes."""
+
+    def run(batches):
+        for b in batches:
+            members = b.column("members").to_pylist()
+            no, weight = (b.column(c).to_numpy() for c in ("no", "weight"))
+            size = np.array([len(x) // 8 for x in members], np.int64)
+            ends = np.cumsum(size)
+            at = 0
+            while at < len(members):
+                to = max(at + 1, int(np.searchsorted(ends, (int(ends[at - 1]) if at else 0) + 500_000, "right")))
+                ids, n = np.frombuffer(b"".join(members[at:to]), np.int64), size[at:to]
+                if len(ids):
+                    yield _blobs((ids % n_parts).astype(_small(n_parts)), {"id": ids, "no": np.repeat(no[at:to], n), "weight": np.repeat(weight[at:to], n), "size": np.repeat(n, n)})
+                at = to
+
+    return run
+
+
+def _gathered(batches: list[pa.RecordBatch], names: tuple[str, ...]) -> list[np.ndarray]:
+    raw = [b"".join(x for b in batches for x in b.column(c).to_pylist() if x is not None) for c in names]
+    return [np.frombuffer(x, np.int64) for x in raw]
+
+
+def _side_task(batches):
+    """(id, side) of the documents of a partition."""
+    ids, no, weight, size = _gathered(list(batches), ("id", "no", "weight", "size"))
+    if not len(ids):
+        return
+    like = np.floor(np.log(size) / math.log(1.5)).astype(np.int64)
+    order = np.lexsort((no, size, like, ids))
+    ids, no, weight, size, like = (x[order] for x in (ids, no, weight, size, like))
+    first = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (like[1:] != like[:-1])]))
+    last = np.concatenate([first[1:], [len(ids)]]) - 1
+    runs, ids, no, size = np.add.reduceat(weight, first), ids[first], no[last], size[last]
+    order = np.lexsort((no, size, runs, ids))
+    ids, no = ids[order], no[order]
+    best = np.concatenate([ids[1:] != ids[:-1], [True]])
+    yield pa.RecordBatch.from_arrays([pa.array(ids[best]), pa.array(no[best])], ["id", "side"])
+
+
 def _sides(lists: DataFrame) -> DataFrame:
     """(id, side): the list by which each member of any is put beside others.
 
@@ -401,10 +538,52 @@ def _sides(lists: DataFrame) -> DataFrame:
     together; of the sizes that has most runs the longest list is taken, so
     that near copies agree on it however many longer passages some have.
     """
-    size = (F.octet_length("members") / 8).cast("long")
-    each = lists.select("no", "weight", size.alias("n"), "members").mapInArrow(_members, "no long, weight long, n long, id long")
-    sizes = each.groupBy("id", F.floor(F.log("n") / math.log(1.5)).alias("like")).agg(F.sum("weight").alias("runs"), F.max(F.struct("n", "no")).alias("longest"))
-    return sizes.groupBy("id").agg(F.max(F.struct("runs", "longest")).alias("best")).select("id", F.col("best.longest.no").alias("side"))
+    n = partitions(lists.sparkSession)
+    return lists.select("no", "weight", "members").mapInArrow(_to_documents(n), _TO_DOCUMENTS).repartitionById(n, "to").mapInArrow(_side_task, "id long, side long")
+
+
+def _blocks_of(lists: DataFrame, placed: DataFrame) -> DataFrame:
+    """(no, blocks) of each list, by the (id, block) of its members."""
+    n = partitions(lists.sparkSession)
+
+    def placed_to(batches):
+        for b in batches:
+            if b.num_rows:
+                ids, block = (b.column(c).to_numpy() for c in ("id", "block"))
+                yield _blobs((ids % n).astype(_small(n)), {"id": ids, "block": block})
+
+    def meet(batches):
+        own, lists = [], []
+        for b in batches:
+            kind = b.column("block").is_valid()
+            own.append(b.filter(kind))
+            lists.append(b.filter(pa.compute.invert(kind)))
+        names, block = _gathered(own, ("id", "block"))
+        ids, no = _gathered(lists, ("id", "no"))
+        order = np.argsort(names)
+        names, block = names[order], block[order]
+        if not len(ids):
+            return
+        pairs = np.stack([no, block[np.searchsorted(names, ids)]])
+        pairs = pairs[:, np.lexsort(pairs)]
+        no, block = pairs[:, np.concatenate([[True], (pairs[:, 1:] != pairs[:, :-1]).any(axis=0)])]
+        yield _blobs((no % n).astype(_small(n)), {"no": no, "block": block})
+
+    def gather(batches):
+        no, block = _gathered(list(batches), ("no", "block"))
+        order = np.lexsort((block, no))
+        no, block = no[order], block[order]
+        new = np.concatenate([[True], (no[1:] != no[:-1]) | (block[1:] != block[:-1])])[: len(no)]
+        no, block = no[new], block[new]
+        first = np.flatnonzero(np.concatenate([[True], no[1:] != no[:-1]])[: len(no)])
+        at = pa.array([*first.tolist(), len(no)], pa.int32())
+        yield pa.RecordBatch.from_arrays([pa.array(no[first]), pa.ListArray.from_arrays(at, pa.array(block))], ["no", "blocks"])
+
+    none = F.lit(None).cast("binary")
+    members = lists.select("no", "weight", "members").mapInArrow(_to_documents(n), _TO_DOCUMENTS).select("to", "id", "no", none.alias("block"))
+    rows = members.unionByName(placed.select("id", "block").mapInArrow(placed_to, "to int, id binary, block binary").select("to", "id", none.alias("no"), "block"))
+    met = rows.repartitionById(n, "to").mapInArrow(meet, "to int, no binary, block binary")
+    return met.repartitionById(n, "to").mapInArrow(gather, "no long, blocks array<long>")
 
 
 def _ring(k: int):
@@ -461,9 +640,7 @@ def neighbours(met: DataFrame, k: int = K) -> DataFrame:
     folded = met.where("members IS NOT NULL AND gram IS NULL").groupBy("members").agg(F.sum("weight").alias("weight"))
     lists = materialize(folded.select(F.monotonically_increasing_id().alias("no"), "weight", "members"), "lists")
     placed = _blocks(_sides(lists), "side")
-    where = lists.select("no", "members").mapInArrow(_members, "no long, id long").join(placed, "id")
-    spread = where.groupBy("no").agg(F.collect_set("block").alias("blocks"), F.count("*").alias("n"))
-    sent = materialize(lists.join(spread, "no"), "sent")
+    sent = materialize(lists.join(_blocks_of(lists, placed), "no").withColumn("n", F.octet_length("members") / F.lit(8)), "sent")
     release(lists)
     narrow = F.col("n") * F.size("blocks") <= SPREAD
     short = sent.where(narrow)

@@ -256,6 +256,37 @@ def test_products_are_the_same_dense_and_sparse(lists, ids, longest):
         assert set(zip(b[a == i].tolist(), s[a == i].tolist())) == {(j, both[i, j]) for j in order}
 
 
+@pytest.mark.parametrize("lists,ids,longest,long", [(400, 60, 30, 12), (60, 900, 500, 100), (300, 300, 200, 3), (12, 300, 250, 1), (5, 40, 40, 20)])
+def test_products_are_the_same_by_classes_of_long_lists(lists, ids, longest, long):
+    rng = np.random.default_rng(4)
+    members = [np.sort(rng.choice(ids, rng.integers(2, longest), replace=False)) for _ in range(lists)]
+    members = [np.unique(np.concatenate([m, m[m % 3 == 0] + 1])) % ids if len(m) > long else m for m in members]  # some with the same long lists
+    members = [np.unique(m) for m in members]
+    weights, sizes = rng.integers(1, 4, lists), np.array([len(m) for m in members])
+    both = np.zeros((ids, ids), int)
+    for m, w in zip(members, weights):
+        both[np.ix_(m, m)] += w
+    np.fill_diagonal(both, 0)
+    rows = np.arange(0, ids, 2)
+    a, b, s = P.nearest_of_block(rows, weights, sizes, np.concatenate(members), 3, 50, long)
+    place = {i: n for n, i in enumerate(sorted(set(np.concatenate(members).tolist())))}
+    for i in rows.tolist():
+        order = sorted(np.flatnonzero(both[i]), key=lambda j: (-both[i, j], (place[j] - place[i]) % len(place)))[:3]
+        assert sorted(zip(b[a == i].tolist(), s[a == i].tolist())) == sorted((j, both[i, j]) for j in order)
+
+
+def test_long_lists_are_not_multiplied_by_documents(monkeypatch):
+    near = [np.array([2 * k, 2 * k + 1]) for k in range(5000)]
+    long = [np.arange(0, 10_000, 1 + k % 3) for k in range(6)]
+    members = near + long
+    weights, sizes = np.array([9] * 5000 + [1] * 6), np.array([len(m) for m in members])
+    met, ranges = [], P._ranges
+    monkeypatch.setattr(P, "_ranges", lambda begin, size: met.append(int(size.sum())) or ranges(begin, size))
+    a, b, s = P.nearest_of_block(np.arange(2000), weights, sizes, np.concatenate(members), 4)
+    assert sum(met) < 10**6 and len(a) == 8000  # by documents 2000 rows times 10 000 and more
+    assert {(x, y, z) for x, y, z in zip(a, b, s) if x == y ^ 1} >= {(x, x ^ 1, 9 + sum((x % (1 + k % 3) == 0) and ((x ^ 1) % (1 + k % 3) == 0) for k in range(6))) for x in range(0, 2000, 500)}
+
+
 def test_links_are_the_same_in_rounds_and_in_one_task(spark):
     rng = random.Random(3)
     walked = [(10 * p + k, 10 * p, k, n, rng.randrange(5)) for p in range(60) for n in [rng.randrange(1, 4)] for k in range(n)]
