@@ -17,6 +17,7 @@ null; an empty table gives an empty result; long texts are encoded whole.
 from __future__ import annotations
 
 import base64
+import re
 from array import array
 
 import numpy as np
@@ -27,7 +28,9 @@ from loamsift.llm.common import pick, slices, table
 
 BLOCK = 128
 PERCENTILE = 0.9
+TOGETHER = 1 << 17  # characters of which new pieces are encoded at once
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+_BESIDE = re.compile(r" (?:(?=\s)|(?<=\s ))")  # a space beside other white space
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
@@ -43,24 +46,57 @@ class Pieces(dict):
     """A space and the piece after it, to the bytes of its ids.
 
     The pattern never joins characters across a space that stands between two
-    others that aren't white space, so such pieces can be encoded apart.
+    others that aren't white space, so such pieces can be encoded apart. New
+    ones are encoded all at once, and each begins at an id of a space.
     """
 
     def __init__(self, enc, most: int = 200_000):
         self.enc, self.most = enc, most
+        self.space = np.zeros(enc.n_vocab, bool)
+        self.space[[enc.encode_single_token(t) for t in enc.token_byte_values() if t[:1] == b" "]] = True
 
-    def __missing__(self, piece: str) -> bytes:
-        if len(self) >= self.most:
+    def _learn(self, pieces: set[str]) -> None:
+        if len(self) + len(pieces) > self.most:
             self.clear()
-        v = self[piece] = array("i", self.enc.encode_ordinary(" " + piece)).tobytes()
-        return v
+        new = list(pieces)
+        ids = np.array(self.enc.encode_ordinary(" " + " ".join(new)), np.int32)
+        cuts = [*(4 * np.flatnonzero(self.space[ids])).tolist(), 4 * len(ids)]
+        raw = ids.tobytes()
+        self.update(zip(new, [raw[x:y] for x, y in zip(cuts, cuts[1:])], strict=True))
+
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        out, at = [], 0
+        while at < len(texts):  # few at a time, so that pieces stay in the processor's cache
+            known, new, size = [], set(), 0
+            while at < len(texts) and size < TOGETHER:
+                text, size, at = texts[at], size + len(texts[at]), at + 1
+                parts = self._parts(text) if text else None
+                if parts is None:
+                    known.append((array("i", self.enc.encode_ordinary(text)).tobytes(), [], [], ()))
+                    continue
+                rest = parts[1:]
+                ids = list(map(self.get, rest))
+                holes = [k for k, v in enumerate(ids) if v is None]
+                new.update(missing := [rest[k] for k in holes])
+                known.append((array("i", self.enc.encode_ordinary(parts[0])).tobytes(), ids, holes, missing))
+            if new:
+                self._learn(new)
+            for head, ids, holes, missing in known:
+                for k, piece in zip(holes, missing):
+                    ids[k] = self[piece]
+                out.append(np.frombuffer(head + b"".join(ids), np.int32))
+        return out
+
+    @staticmethod
+    def _parts(text: str) -> list[str] | None:
+        """Pieces of a text, none if it can't be cut at its spaces."""
+        if " " not in text or text[0].isspace() or text[-1].isspace():
+            return None
+        parts = text.split(" ")
+        return parts if parts == text.split() or not _BESIDE.search(text) else None
 
     def encode(self, text: str) -> np.ndarray:
-        parts = text.split(" ")
-        if len(parts) == 1 or not all(parts) or any(p[0].isspace() or p[-1].isspace() for p in parts):
-            return np.array(self.enc.encode_ordinary(text), np.int32)
-        head = array("i", self.enc.encode_ordinary(parts[0])).tobytes()
-        return np.frombuffer(head + b"".join(map(self.__getitem__, parts[1:])), np.int32)
+        return self.encode_all([text])[0]
 
 
 def _widths(x: np.ndarray) -> np.ndarray:
@@ -93,8 +129,9 @@ def pack(docs: list[np.ndarray]) -> list[tuple[bytes, np.ndarray]]:
     for w in np.unique(width):
         if w:
             own = np.flatnonzero(width == w)
-            planes = (grid[own][:, :, None] >> np.arange(w)) & 1
-            packed = np.packbits(planes.reshape(len(own), -1).astype(np.uint8), axis=1, bitorder="little")
+            raw = grid[own].astype("<u4").view(np.uint8).reshape(len(own), BLOCK, 4)[:, :, : (int(w) + 7) // 8]
+            planes = np.unpackbits(raw, axis=2, bitorder="little")[:, :, :w]
+            packed = np.packbits(planes.reshape(len(own), -1), axis=1, bitorder="little")
             for b, row in zip(own.tolist(), packed):
                 bits[b] = row[: (int(sizes[b]) * int(w) + 7) // 8].tobytes()
     high, place = (grid >> width[:, None])[outlier].astype("<u4"), np.nonzero(outlier)[1].astype(np.uint8)
@@ -142,7 +179,7 @@ def token_blocks(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
         pieces = Pieces(encoding(vocabulary))
         for b in slices(batches, limit=2 << 20):
             texts = b.column("text").to_pylist()
-            ids = [pieces.encode(t) if t else np.empty(0, np.int32) for t in texts]
+            ids = pieces.encode_all([t or "" for t in texts])
             packed = pack(ids)
             none = np.array([t is None for t in texts])
             at = np.concatenate([[0], np.cumsum([len(s) for _, s in packed])]).astype(np.int32)

@@ -266,6 +266,36 @@ def test_pieces_encode_as_the_whole_text(text):
     assert T.Pieces(enc).encode(text).tolist() == enc.encode_ordinary(text)
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(alphabet="ab .,\n\t'é漢1 ", max_size=40), max_size=6), st.integers(1, 60))
+def test_pieces_of_many_texts_encode_as_each(texts, together):
+    enc = test_pieces_of_many_texts_encode_as_each.__dict__.setdefault("enc", T.encoding())
+    pieces, before = T.Pieces(enc, most=5), T.TOGETHER  # a memory that is often cleared
+    T.TOGETHER = together
+    try:
+        got = pieces.encode_all(texts)
+    finally:
+        T.TOGETHER = before
+    assert [g.tolist() for g in got] == [enc.encode_ordinary(t) for t in texts]
+
+
+def test_new_pieces_are_encoded_at_once():
+    class Counted:
+        def __init__(self, enc):
+            self.enc, self.calls = enc, 0
+
+        def __getattr__(self, name):
+            return getattr(self.enc, name)
+
+        def encode_ordinary(self, text):
+            self.calls += 1
+            return self.enc.encode_ordinary(text)
+
+    enc = Counted(T.encoding())
+    text = " ".join(f"word{k}" for k in range(1000))
+    assert T.Pieces(enc).encode(text).tolist() == enc.enc.encode_ordinary(text) and enc.calls <= 3
+
+
 def test_token_blocks_round_trip(spark):
     d = edge_docs(spark, "Hello, world.  Two spaces\nand a line", "x" * 5000)
     enc = T.encoding()
