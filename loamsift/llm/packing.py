@@ -36,6 +36,7 @@ as tables of files do.
 
 from __future__ import annotations
 
+import functools
 import heapq
 import math
 import zlib
@@ -60,6 +61,7 @@ WINDOWS_A_BUCKET = 256
 BLOCK = 1 << 14  # documents of one product
 SPREAD = 1 << 17  # members times blocks up to which a list is sent to its blocks
 LONG = 1024  # members from which a list is multiplied by classes of documents
+SENT, LEAST = 1 << 10, 256 << 20  # bytes a document of lists sent to blocks at a time, and how many are always
 PACKED = 64  # members from which a list is compressed before it is sent
 CELLS = 1 << 21  # of a similarity matrix held at a time
 HOT = 1 << 16  # documents of a run beyond which no task holds them together
@@ -462,14 +464,40 @@ def _block_task(k: int):
     return run
 
 
+_TO_BLOCKS = "kind int, no long, weight long, blocks array<long>, members binary"
+
+
+def _to_blocks(lists: DataFrame, kind: int) -> tuple[int, DataFrame]:
+    """The lists of a kind, once for each of their blocks."""
+    return kind, lists.where(F.col("kind") == kind).select(F.explode("blocks").alias("block"), "no", "weight", "members")
+
+
 def _multiply(placed: DataFrame, parts: list[tuple[int, DataFrame]], k: int) -> DataFrame:
-    """The k nearest (a, b, similarity) of everything in ``placed`` (id, block) by the lists (block, no, weight, members) of each kind sent to its blocks."""
-    rows = placed.select("block", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("no"), F.lit(None).cast("long").alias("weight"), "id", F.lit(None).cast("binary").alias("members"))
-    for kind, p in parts:
-        rows = rows.unionByName(p.select("block", F.lit(kind).alias("kind"), "no", "weight", F.lit(None).cast("long").alias("id"), "members"))
-    n = partitions(placed.sparkSession)
-    to = F.pmod(F.col("block") + F.shiftright("block", 32), F.lit(n)).cast("int")  # one after the other, so that none gets many
-    return rows.repartitionById(n, to).sortWithinPartitions("block", "kind").mapInArrow(_block_task(k), "a long, b long, similarity long")
+    """The k nearest (a, b, similarity) of everything in ``placed`` (id, block) by the lists (block, no, weight, members) of each kind sent to its blocks.
+
+    What is sent is members times blocks, which grows faster than documents.
+    If it is more than ``SENT`` bytes a document, blocks take turns, and the
+    shuffle files of a turn go before the next.
+    """
+    spark = placed.sparkSession
+    bytes_of = [p.agg(F.coalesce(F.sum(F.octet_length("members")), F.lit(0))).first()[0] for _, p in parts]
+    n_rows, n_blocks = placed.agg(F.count("*"), F.count_distinct("block")).first()
+    turns = max(1, min(n_blocks, math.ceil(sum(bytes_of) / max(LEAST, SENT * n_rows))))
+    n = partitions(spark) if turns == 1 else min(partitions(spark), math.ceil(n_blocks / turns))
+    number = F.shiftright("block", 32) + F.col("block").bitwiseAND(F.lit(0xFFFFFFFF))
+    empty = {c: F.lit(None).cast(t).alias(c) for c, t in (("no", "long"), ("weight", "long"), ("id", "long"), ("members", "binary"))}
+
+    def turn(t: int) -> DataFrame:
+        own = (number % turns) == t
+        rows = placed.where(own).select("block", F.lit(0).alias("kind"), empty["no"], empty["weight"], "id", empty["members"])
+        for kind, p in parts:
+            rows = rows.unionByName(p.where(own).select("block", F.lit(kind).alias("kind"), "no", "weight", empty["id"], "members"))
+        to = (F.floor(number / turns) % n).cast("int")  # one after the other, so that none gets many
+        return rows.repartitionById(n, to).sortWithinPartitions("block", "kind").mapInArrow(_block_task(k), "a long, b long, similarity long")
+
+    if turns == 1:
+        return turn(0)
+    return functools.reduce(DataFrame.union, [materialize(turn(t), f"turn{t}") for t in range(turns)])
 
 
 def _blocks(ids: DataFrame, by: str) -> DataFrame:
@@ -617,8 +645,8 @@ def _wide(wide: DataFrame, k: int) -> DataFrame:
     where = each.join(placed, "id").groupBy("no").agg(F.collect_set("block").alias("blocks"))
     n_pieces = math.ceil(max(1, held.select("g").distinct().count()) / HOT)
     pieces = each.groupBy("no", F.pmod(F.xxhash64("id"), F.lit(n_pieces)).alias("piece")).agg(F.first("weight").alias("weight"), F.sort_array(F.collect_list("id")).alias("members"))
-    pieces = pieces.join(where, "no").select("no", "weight", "blocks", "members").mapInArrow(_packed, "no long, weight long, blocks array<long>, members binary")
-    near = _multiply(placed, [(2, pieces.select(F.explode("blocks").alias("block"), "no", "weight", "members"))], k + 1)
+    pieces = pieces.join(where, "no").select(F.lit(2).alias("kind"), "no", "weight", "blocks", "members").mapInArrow(_packed, _TO_BLOCKS)
+    near = _multiply(placed, [_to_blocks(materialize(pieces, "pieces"), 2)], k + 1)
     own = each.groupBy("id").agg(F.first("total").alias("similarity")).select(F.col("id").alias("a"), F.col("id").alias("b"), "similarity")
     heads = held.select("g", "id", F.row_number().over(Window.partitionBy("g").orderBy("id")).alias("n")).where(F.col("n") <= k + 1)
     best = Window.partitionBy("a").orderBy(F.desc("similarity"), "id")
@@ -652,19 +680,24 @@ def neighbours(met: DataFrame, k: int = K) -> DataFrame:
         pieces = hot.join(names, "gram").select("no", "weight", "members")
         where = pieces.select("no", "members").mapInArrow(_members, "no long, id long").join(placed, "id").groupBy("no").agg(F.collect_set("block").alias("blocks"))
         wide = wide.unionByName(pieces.join(where, "no", "left"))
-    long = short.where(F.col("n") >= PACKED).select("no", "weight", "blocks", "members").mapInArrow(_packed, "no long, weight long, blocks array<long>, members binary")
-    parts = [(kind, p.select(F.explode("blocks").alias("block"), "no", "weight", "members")) for kind, p in ((1, short.where(F.col("n") < PACKED)), (2, long))]
+    def columns(kind: int, lists: DataFrame) -> DataFrame:
+        return lists.select(F.lit(kind).alias("kind"), "no", "weight", "blocks", "members")
+
+    parts = columns(1, short.where(F.col("n") < PACKED)).unionByName(columns(2, short.where(F.col("n") >= PACKED)).mapInArrow(_packed, _TO_BLOCKS))
     far = None
     wide = materialize(wide, "wide")
     if not wide.isEmpty():
-        far = _wide(wide.select("no", "weight", "members").mapInArrow(_members, "no long, weight long, id long"), k)
-        packed = wide.where("blocks IS NOT NULL").mapInArrow(_packed, "no long, weight long, blocks array<long>, members binary")
-        parts.append((3, packed.select(F.explode("blocks").alias("block"), "no", "weight", "members")))
-    near = _multiply(placed, parts, k)
+        far = materialize(_wide(wide.select("no", "weight", "members").mapInArrow(_members, "no long, weight long, id long"), k), "far")
+        parts = parts.unionByName(columns(3, wide.where("blocks IS NOT NULL")).mapInArrow(_packed, _TO_BLOCKS))
+    parts = materialize(parts, "parts")
+    release(sent, wide)
+    near = _multiply(placed, [_to_blocks(parts, kind) for kind in (1, 2, 3)[: 2 if far is None else 3]], k)
     if far is not None:
         near = near.unionByName(far).groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
     best = Window.partitionBy("a").orderBy(F.desc("similarity"), F.col("b") < F.col("a"), "b")
-    return near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    near = materialize(near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k), "neighbours")
+    release(parts, placed)
+    return near
 
 
 def walk(nodes: dict[int, list[tuple[int, int]]]) -> list[list[int]]:
@@ -904,8 +937,9 @@ def _fill(window: int, texts: bool):
 def pack_related(docs: DataFrame, window: int = WINDOW, k: int = K, texts: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each window: which words of which documents it holds, in order; with ``texts`` also these words as they stand in the documents."""
     met = scanned(docs, id_col, text_col)
-    f = met.where("rid IS NOT NULL").select("rid", "doc_id", "length")
-    near = materialize(neighbours(met, k), "neighbours")
+    f = materialize(met.where("rid IS NOT NULL").select("rid", "doc_id", "length"), "features")
+    near = neighbours(met, k)
+    release(met)
     walked, edges = paths(f, near)
     seg = chained(walked, edges)
     words = f.agg(F.sum("length")).first()[0] or 0

@@ -241,6 +241,18 @@ def test_what_is_sent_follows_documents_and_not_partitions(spark, monkeypatch):
     assert len(sent) == 2 and all(blocks <= spark.sparkContext.defaultParallelism and rows == lists for blocks, rows, lists in sent)
 
 
+def test_blocks_take_turns_where_much_is_sent(spark, monkeypatch):
+    for name, value in (("SPREAD", 60), ("BLOCK", 16), ("SENT", 1), ("LEAST", 1)):
+        monkeypatch.setattr(P, name, value)
+    rng = random.Random(6)
+    lines = [" ".join(f"z{rng.randrange(10**6)}" for _ in range(7)) for _ in range(12)]
+    texts = [" ".join(f"{x} y{rng.randrange(10**6)}" for x in rng.sample(lines, 4)) + f" {lines[0][:20]} {k // 2}" for k in range(120)]
+    labels, written = [], P.materialize
+    monkeypatch.setattr(P, "materialize", lambda df, label: labels.append(label) or written(df, label))
+    hold_against_all(spark, texts)
+    assert sum(x.startswith("turn") for x in labels) > 4
+
+
 @pytest.mark.parametrize("lists,ids,longest", [(400, 30, 9), (60, 900, 9), (900, 40, 30), (12, 300, 200)])
 def test_products_are_the_same_dense_and_sparse(lists, ids, longest):
     rng = np.random.default_rng(2)

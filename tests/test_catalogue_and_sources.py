@@ -1,5 +1,6 @@
 import json
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -185,3 +186,17 @@ def test_classes(spark):
     assert d.similarity("a b c d e f", "a b c d e f") == 1.0 == d.similarity("", "") and d.deduplicate_texts(spark, ["x y", "x y", "z"]).keep().count() == 2
     docs = texts_frame(spark, ["x y", "x y", "z"])
     assert SemanticDeduplicator(embed=mock_embedding).deduplicate(docs).count() == 2 == HybridDeduplicator(embed=mock_embedding).deduplicate(docs).count()
+
+
+def test_what_is_written_leaves_no_shuffle_files(spark):
+    from loamsift.session import materialize
+
+    env = spark._jvm.org.apache.spark.SparkEnv.get()
+    held = lambda: {x for x in env.blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n") if "shuffle_" in x}
+    before = held()
+    d = materialize(spark.range(1000).repartition(3, "id").groupBy((F.col("id") % 7).alias("a")).count(), "counts")
+    until = time.monotonic() + 20
+    while held() - before and time.monotonic() < until:
+        time.sleep(0.1)
+    assert not held() - before
+    assert d.count() == 7
