@@ -18,9 +18,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loamsift.functions.vectors import normalize
+from loamsift.functions.words import mix
 
-BLOCK_ROWS = 4096
-SLAB_ROWS = 512
+BLOCK_ROWS = 1 << 15  # vectors of a block
+CELLS = 1 << 21  # cosines held at a time
+PAIRS = 1 << 16  # pairs whose cosines are taken in double precision at a time
 DIGITS = 6
 PAIR = "id_a long, id_b long, similarity double"
 
@@ -29,72 +31,168 @@ def _vectors(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return df.where(F.col(f"`{id_col}`").isNotNull() & F.col(f"`{vector_col}`").isNotNull()).select(F.col(f"`{id_col}`").cast("long").alias("id"), normalize(F.col(f"`{vector_col}`")).alias("v"))
 
 
-def _blocks(vectors: DataFrame, n: int) -> DataFrame:
-    """(cell, side, id, v): each vector in the n cells in which its block meets every block."""
-    b = F.pmod(F.xxhash64("id"), F.lit(n))
-    cells = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    each = vectors.select(b.alias("b"), "id", "v").select("b", "id", "v", cells.alias("o"))
-    return each.select((F.least("b", "o") * n + F.greatest("b", "o")).alias("cell"), (F.col("b") > F.col("o")).alias("upper"), (F.col("b") == F.col("o")).alias("same"), "id", "v")
+def _matrix(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, vectors) of a batch."""
+    v = batch.column("v")
+    return batch.column("id").to_numpy(), v.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
 
 
-def _cells(pick):
-    """Every cell's ids and matrices, to ``pick``; cells come sorted, so one is held at a time."""
+def _blobs(key: np.ndarray, ids: np.ndarray, m: np.ndarray, of: np.ndarray, name: str) -> pa.RecordBatch:
+    """(key, ids, m): what belongs to a key as bytes; ``of`` says which vector each key is of."""
+    order = np.argsort(key, kind="stable")
+    key, of = key[order], of[order]
+    cuts = [*np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])).tolist(), len(key)]
+    parts = [of[x:y] for x, y in zip(cuts, cuts[1:])]
+    return pa.RecordBatch.from_arrays([pa.array(key[cuts[:-1]].astype(np.int64)), pa.array([ids[x].tobytes() for x in parts], pa.binary()), pa.array([m[x].tobytes() for x in parts], pa.binary())], [name, "ids", "m"])
 
-    def flush(cell, rows):
-        ids = np.array([r[2] for r in rows], np.int64)
-        m = np.array([r[3] for r in rows], np.float64)
-        same, upper = rows[0][1], np.array([r[0] for r in rows])
-        left, right = (slice(None), slice(None)) if same else (~upper, upper)
-        a, b = ids[left], ids[right]
-        if not len(a) or not len(b):
-            return None
-        return pick(a, b, np.round(m[left] @ m[right].T, DIGITS), same)
 
-    def run(batches):
-        cell, rows = None, []
-        for batch in batches:
-            for c, upper, same, i, v in zip(*(batch.column(k).to_pylist() for k in ("cell", "upper", "same", "id", "v"))):
-                if c != cell:
-                    if rows and (got := flush(cell, rows)) is not None:
-                        yield got
-                    cell, rows = c, []
-                rows.append((upper, same, i, v))
-        if rows and (got := flush(cell, rows)) is not None:
-            yield got
+def _held(rows: list[tuple[bytes, bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, vectors) of blobs, in order of ids."""
+    ids = np.frombuffer(b"".join(r[0] for r in rows), np.int64)
+    m = np.frombuffer(b"".join(r[1] for r in rows), np.float64).reshape(len(ids), -1)
+    order = np.argsort(ids, kind="stable")
+    return ids[order], m[order]
+
 
-    return run
+def _slack(dim: int) -> float:
+    """What a cosine of unit vectors in single precision and one in double, rounded, differ by at most."""
+    return (dim + 4) * 2.0**-24 + 10.0**-DIGITS
+
+
+def _exact(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Rounded cosines of the pairs, a few at a time."""
+    parts = [np.einsum("ij,ij->i", a[i[k : k + PAIRS]], b[j[k : k + PAIRS]]) for k in range(0, len(i), PAIRS)]
+    return np.round(np.concatenate(parts), DIGITS) if parts else np.zeros(0)
 
 
 def _batch(a, b, s) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(s)], ["id_a", "id_b", "similarity"])
 
 
+def _above(ids_a, a, ids_b, b, same: bool, threshold: float):
+    """(x, y, cosine) of every pair at or above the threshold; in one block each once, the lesser id first.
+
+    Single precision tells which pairs may be; these are taken in double.
+    """
+    a32, b32, low = a.astype(np.float32), b.astype(np.float32), np.float32(threshold - 2 * _slack(a.shape[1]))
+    rows = max(1, CELLS // len(b))
+    for at in range(0, len(a), rows):
+        start = at if same else 0
+        s = a32[at : at + rows] @ b32[start:].T
+        hit = np.flatnonzero(~(s < low).ravel())
+        for k in range(0, len(hit), 16 * PAIRS):
+            i, j = np.divmod(hit[k : k + 16 * PAIRS], s.shape[1])
+            i, j = i + at, j + start
+            if same:
+                later = ids_a[i] < ids_b[j]
+                i, j = i[later], j[later]
+            w = _exact(a, b, i, j)
+            keep = w >= threshold
+            if keep.any():
+                yield ids_a[i[keep]], ids_b[j[keep]], w[keep]
+
+
+def _best(ids_a, a, ids_b, b, k: int, include_self: bool = False):
+    """(x, y, cosine) of the k nearest in b, whose ids ascend, of each of a; of equals the lesser id.
+
+    Columns lie in groups. The best of k groups are k vectors, so that the
+    least of them bounds from below what the k nearest reach, in single
+    precision; what may pass it is taken in double.
+    """
+    a32, b32, slack = a.astype(np.float32), b.astype(np.float32), np.float32(3 * _slack(a.shape[1]))
+    rows, group = max(1, CELLS // len(b)), max(1, min(64, len(b) // (16 * k)))
+    whole = len(b) // group * group
+    for at in range(0, len(a), rows):
+        s = a32[at : at + rows] @ b32.T
+        if not include_self:
+            low, high = (np.searchsorted(ids_b, ids_a[at : at + rows], side) for side in ("left", "right"))
+            n = high - low
+            own = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            s[np.repeat(np.arange(len(n)), n), own] = -np.inf
+        top = s[:, :whole].reshape(len(s), group, -1).max(axis=1)
+        least = np.partition(top, top.shape[1] - k, axis=1)[:, -k] - slack if top.shape[1] >= k else np.full(len(s), -np.inf, np.float32)
+        hit = ~(s < least[:, None])
+        ends = np.cumsum(np.count_nonzero(hit, axis=1))
+        x = 0
+        while x < len(s):  # so many rows that their pairs fit
+            y = max(x + 1, int(np.searchsorted(ends, (int(ends[x - 1]) if x else 0) + 16 * PAIRS, "right")))
+            i, j = np.divmod(np.flatnonzero(hit[x:y].ravel()), len(b))
+            i += at + x
+            if not include_self:
+                other = ids_a[i] != ids_b[j]
+                i, j = i[other], j[other]
+            w = _exact(a, b, i, j)
+            order = np.lexsort((j, -w, i))
+            i, j, w = i[order], j[order], w[order]
+            keep = np.arange(len(i)) - np.searchsorted(i, i) < k
+            yield ids_a[i[keep]], ids_b[j[keep]], w[keep]
+            x = y
+
+
 def _meet(vectors: DataFrame, pick, block_rows: int) -> DataFrame:
-    n = max(1, math.ceil(vectors.count() / block_rows))
-    cells = _blocks(vectors, n)
-    parts = min(n * (n + 1) // 2, max(1, 8 * int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    return cells.repartition(parts, "cell").sortWithinPartitions("cell").mapInArrow(_cells(pick), PAIR)
+    """What ``pick`` finds in every cell of two blocks, (ids, vectors) of each, ids ascending; all with one id are in one block.
+
+    Blocks are sent to as many cells as there are blocks, so they are large:
+    what a task holds besides is a slab of cosines.
+    """
+    spark, count = vectors.sparkSession, vectors.count()
+    spread = math.ceil(math.sqrt(8 * spark.sparkContext.defaultParallelism))  # cells enough for all cores
+    n = max(1, math.ceil(count / block_rows), min(spread, math.ceil(count / 1024)))
+
+    def dealt(batches):
+        for batch in batches:
+            if batch.num_rows:
+                ids, m = _matrix(batch)
+                yield _blobs((mix(ids.view(np.uint64)) % np.uint64(n)).astype(np.int64), ids, m, np.arange(len(ids)), "b")
+
+    def run(batches):
+        cell, sides = None, ([], [])
+
+        def flush():
+            left, right = sides
+            if left and (right or same):
+                own = _held(left)
+                for found in pick(*own, *(own if same else _held(right)), same):
+                    yield _batch(*found)
+            left.clear(), right.clear()
+
+        for batch in batches:
+            for c, upper, one, ids, m in zip(*(batch.column(k).to_pylist() for k in ("cell", "upper", "same", "ids", "m"))):
+                if c != cell:
+                    if cell is not None:
+                        yield from flush()
+                    cell, same = c, one
+                sides[upper].append((ids, m))
+        if cell is not None:
+            yield from flush()
+
+    each = vectors.mapInArrow(dealt, "b long, ids binary, m binary").select("b", "ids", "m", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("o"))
+    low, high = F.least("b", "o"), F.greatest("b", "o")
+    cell = low * n - F.floor(low * (low - 1) / 2) + high - low  # 0, 1, ... of the pairs
+    cells = each.select(cell.cast("long").alias("cell"), (F.col("b") > F.col("o")).alias("upper"), (F.col("b") == F.col("o")).alias("same"), "ids", "m")
+    parts = min(n * (n + 1) // 2, max(1, 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    return cells.repartitionById(parts, F.pmod("cell", F.lit(parts)).cast("int")).sortWithinPartitions("cell").mapInArrow(run, PAIR)
 
 
 def all_pairs(df: DataFrame, threshold: float, id_col: str = "vec_id", vector_col: str = "embedding", block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(id_a, id_b, similarity), id_a < id_b, of every pair at or above the threshold."""
 
-    def pick(a, b, s, same):
-        i, j = np.nonzero(s >= threshold)
-        x, y, w = a[i], b[j], s[i, j]
-        if same:
-            keep = x < y
-            x, y, w = x[keep], y[keep], w[keep]
-        return _batch(np.minimum(x, y), np.maximum(x, y), w)
+    def pick(ids_a, a, ids_b, b, same):
+        for x, y, w in _above(ids_a, a, ids_b, b, same, threshold):
+            yield np.minimum(x, y), np.maximum(x, y), w
 
     return _meet(_vectors(df, id_col, vector_col), pick, block_rows)
 
 
 def range_search(df: DataFrame, threshold: float, id_col: str = "vec_id", vector_col: str = "embedding", block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(query_id, doc_id, similarity): every other vector at or above the threshold, for every vector."""
-    p = all_pairs(df, threshold, id_col, vector_col, block_rows)
-    turned = p.select(F.col("id_b").alias("query_id"), F.col("id_a").alias("doc_id"), "similarity")
-    return p.select(F.col("id_a").alias("query_id"), F.col("id_b").alias("doc_id"), "similarity").union(turned)
+
+    def pick(ids_a, a, ids_b, b, same):
+        for x, y, w in _above(ids_a, a, ids_b, b, same, threshold):
+            yield np.concatenate([x, y]), np.concatenate([y, x]), np.concatenate([w, w])
+
+    p = _meet(_vectors(df, id_col, vector_col), pick, block_rows)
+    return p.select(F.col("id_a").alias("query_id"), F.col("id_b").alias("doc_id"), "similarity")
 
 
 def _nearest(rows: DataFrame, k: int) -> DataFrame:
@@ -109,17 +207,10 @@ def top_k(df: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embe
     vectors times blocks and not with pairs.
     """
 
-    def side(a, b, s):
-        order = np.lexsort((np.broadcast_to(b, s.shape), -s), axis=1)[:, : k + 1]
-        rows = np.repeat(np.arange(len(a)), order.shape[1])
-        return a[rows], b[order.ravel()], s[rows, order.ravel()]
-
-    def pick(a, b, s, same):
-        parts = [side(a, b, s)] if same else [side(a, b, s), side(b, a, s.T)]
-        x, y, w = (np.concatenate(c) for c in zip(*parts))
-        if not include_self:
-            x, y, w = x[x != y], y[x != y], w[x != y]
-        return _batch(x, y, w)
+    def pick(ids_a, a, ids_b, b, same):
+        yield from _best(ids_a, a, ids_b, b, k, include_self)
+        if not same:
+            yield from _best(ids_b, b, ids_a, a, k, include_self)
 
     met = _meet(_vectors(df, id_col, vector_col), pick, block_rows)
     return _nearest(met.select(F.col("id_a").alias("query_id"), F.col("id_b").alias("doc_id"), "similarity"), k)
@@ -140,39 +231,32 @@ def approximate_top_k(df: DataFrame, k: int, id_col: str = "vec_id", vector_col:
     planes_of = np.random.default_rng(seed).standard_normal((tables * planes, dim))
     weights = 1 << np.arange(planes)
 
-    def run(batches):
-        for b in batches:
-            m = np.array(b.column("v").to_pylist(), np.float64).reshape(b.num_rows, dim)
-            code = ((m @ planes_of.T > 0).reshape(-1, tables, planes) * weights).sum(axis=2) + np.arange(tables) * (1 << planes)
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("v"), pa.array(list(code.astype(np.int64)), pa.list_(pa.int64()))], ["id", "v", "buckets"])
-
-    def flush(ids, m):
-        order = np.argsort(ids, kind="stable")
-        ids, m = ids[order], m[order]
-        for at in range(0, len(ids), SLAB_ROWS):
-            s = np.round(m[at : at + SLAB_ROWS] @ m.T, DIGITS)
-            s[ids[at : at + SLAB_ROWS, None] == ids] = -np.inf
-            best = np.argsort(-s, axis=1, kind="stable")[:, :k]
-            x, y, w = np.repeat(ids[at : at + SLAB_ROWS], best.shape[1]), ids[best.ravel()], np.take_along_axis(s, best, 1).ravel()
-            other = x != y
-            yield _batch(x[other], y[other], w[other])
+    def dealt(batches):
+        for batch in batches:
+            if batch.num_rows:
+                ids, m = _matrix(batch)
+                code = ((m @ planes_of.T > 0).reshape(-1, tables, planes) * weights).sum(axis=2) + np.arange(tables) * (1 << planes)
+                yield _blobs(code.ravel(), ids, m, np.repeat(np.arange(len(ids)), tables), "bucket")
 
     def rank(batches):
         bucket, held = None, []
-        for b in batches:
-            own, ids = (b.column(c).to_numpy() for c in ("bucket", "id"))
-            m = b.column("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
-            cuts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else []
-            for a, e in zip(cuts, [*cuts[1:], len(own)]):
-                if own[a] != bucket:
-                    if held:
-                        yield from flush(*map(np.concatenate, zip(*held)))
-                    bucket, held = own[a], []
-                held.append((ids[a:e], m[a:e]))
-        if held:
-            yield from flush(*map(np.concatenate, zip(*held)))
-
-    v = _vectors(df, id_col, vector_col)
-    keys = v.mapInArrow(run, "id long, v array<double>, buckets array<long>").select(F.explode("buckets").alias("bucket"), "id", "v")
+
+        def flush():
+            if held:
+                own = _held(held)
+                for found in _best(*own, *own, k):
+                    yield _batch(*found)
+                held.clear()
+
+        for batch in batches:
+            for c, ids, m in zip(*(batch.column(x).to_pylist() for x in ("bucket", "ids", "m"))):
+                if c != bucket:
+                    yield from flush()
+                    bucket = c
+                held.append((ids, m))
+        yield from flush()
+
+    keys = _vectors(df, id_col, vector_col).mapInArrow(dealt, "bucket long, ids binary, m binary")
     met = keys.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(rank, PAIR)
-    return _nearest(met.select(F.col("id_a").alias("query_id"), F.col("id_b").alias("doc_id"), "similarity").distinct(), k)
+    once = met.select(F.col("id_a").alias("query_id"), F.col("id_b").alias("doc_id"), "similarity").repartition("query_id").groupBy("query_id", "doc_id").agg(F.max("similarity").alias("similarity"))
+    return _nearest(once, k)

@@ -150,3 +150,34 @@ def test_greedy_keeps_columns(spark):
     d = spark.createDataFrame([(0, "x", 1), (1, "y", 2), (None, "z", 3)], "doc_id long, a string, b int")
     out = greedy_keep(d, spark.createDataFrame([(0, 1)], "doc_a long, doc_b long"))
     assert out.columns == d.columns and {r.a for r in out.collect()} == {"x", "z"}
+
+
+@pytest.mark.parametrize("include_self", [False, True])
+@pytest.mark.parametrize("k", [1, 10])
+def test_nearest_of_a_block_hold_a_slab_and_not_the_block(k, include_self):
+    import tracemalloc
+
+    from loamsift.operators.similarity import _above, _best
+
+    rng = np.random.default_rng(3)
+    v = rng.standard_normal((5000, 8))
+    v[100:160] = v[7]  # equal ones: the lesser id first
+    v[200], v[4000:4100] = 0, np.round(v[4000:4100])
+    v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+    ids = np.sort(rng.permutation(20_000)[:5000])
+    tracemalloc.start()
+    x, y, w = (np.concatenate(c) for c in zip(*_best(ids, v, ids, v, k, include_self)))
+    pairs = {(a, b): s for p in _above(ids, v, ids, v, True, 0.97) for a, b, s in zip(*map(np.ndarray.tolist, p))}
+    assert tracemalloc.get_traced_memory()[1] < 120e6  # all cosines are 200
+    tracemalloc.stop()
+    s = np.round(np.einsum("id,jd->ij", v, v), 6)
+    assert pairs == {(int(ids[i]), int(ids[j])): s[i, j] for i, j in np.argwhere(s >= 0.97) if i < j}
+    if not include_self:
+        np.fill_diagonal(s, -np.inf)
+    order = np.argsort(-s, axis=1, kind="stable")[:, :k]
+    assert (x == np.repeat(ids, k)).all() and (y == ids[order].ravel()).all() and (w == np.take_along_axis(s, order, 1).ravel()).all()
+
+
+def test_ranges_are_sought_once(spark):
+    plan = range_search(table(spark, vectors()), 0.5)._jdf.queryExecution().executedPlan().toString()
+    assert "Union" not in plan
