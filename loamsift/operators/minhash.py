@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from hashlib import md5
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,12 +16,13 @@ from loamsift.functions.words import Powers, distinct_words
 from loamsift.plans.config import DedupConfig
 
 MASK, SHIFT, CHUNK = np.uint64(PRIME), np.uint64(31), 4096
+SLICE_ROWS, SLICE_BYTES = 256, 1 << 19  # of texts hashed at once
 
 
 class WordResidues(dict):
     """Word to the ``hash31`` of it, remembered; forgets all once it holds ``most`` words."""
 
-    most = 500_000
+    most = 100_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.most:
@@ -68,6 +71,17 @@ def signature_of(texts: list[str | None], config: DedupConfig = DedupConfig()) -
     return minima(*shingle_hashes(pa.array(texts, pa.string()), config.ngram, WordResidues(), Powers()), a, b).astype(np.int64).tolist()
 
 
+def sliced(batch: pa.RecordBatch, column: int = 1) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch of ``SLICE_ROWS`` rows and ``SLICE_BYTES`` of text at most, or one text, so that memory follows neither the number of long texts nor the batch."""
+    ends = np.cumsum(pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        to = int(np.searchsorted(ends, (int(ends[at - 1]) if at else 0) + SLICE_BYTES, "right"))
+        to = min(max(at + 1, to), at + SLICE_ROWS, batch.num_rows)
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Rows dealt to all cores where the scan has fewer partitions than there are cores; larger inputs stay where they are."""
     n = df.sparkSession.sparkContext.defaultParallelism
@@ -82,11 +96,11 @@ def signatures(docs: DataFrame, config: DedupConfig = DedupConfig(), id_col: str
     def run(batches):
         known, powers = WordResidues(), Powers()
         for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                part = batch.slice(k, 256)
+            for part in sliced(batch):
                 values = pa.array(minima(*shingle_hashes(part.column(1), n, known, powers), a, b).astype(np.int64).ravel())
                 at = pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * len(a))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(at, values)], ["doc_id", "signature"])
+            pa.default_memory_pool().release_unused()  # a worker lives on after its task
 
     kept = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     return spread(kept).mapInArrow(run, "doc_id long, signature array<long>")

@@ -170,3 +170,24 @@ def test_keep_first_and_contents(spark):
     assert got == {1: (1, False), 2: (1, True), 3: (3, False), 4: (3, True), None: (1, True)}
     c = content_table(d, "x").collect()
     assert sorted((r.size, r.references) for r in c) == [(0, 2), (1, 3)]
+
+
+def test_memory_of_signatures_follows_one_text_and_not_a_batch():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from loamsift.functions.words import Powers
+    from loamsift.operators import minhash as M
+
+    rng = random.Random(8)
+    texts = [" ".join(f"w{rng.randrange(5000)}" for _ in range(20_000)) for _ in range(40)] + [None, "", "a b"]
+    batch, known, powers = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"]), M.WordResidues(), Powers()
+    tracemalloc.start()
+    got = [M.shingle_hashes(part.column(1), 5, known, powers) for part in M.sliced(batch)]
+    parts = [len(per) for _, per in got]
+    del got
+    held = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert sum(parts) == len(texts) and max(parts[:-1]) <= 4 and held[1] < 60e6
+    assert [len(x) for x in M.sliced(batch.slice(0, 0))] == []
