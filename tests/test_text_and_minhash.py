@@ -191,3 +191,19 @@ def test_memory_of_signatures_follows_one_text_and_not_a_batch():
     tracemalloc.stop()
     assert sum(parts) == len(texts) and max(parts[:-1]) <= 4 and held[1] < 60e6
     assert [len(x) for x in M.sliced(batch.slice(0, 0))] == []
+
+
+@pytest.mark.parametrize("threshold", [0.3, 0.85])
+def test_exact_pairs_move_only_what_several_sets_have(spark, threshold, monkeypatch):
+    from loamsift.operators import jaccard as J
+
+    monkeypatch.setattr(J, "HASHES", 50)
+    written, put = {}, J.materialize
+    monkeypatch.setattr(J, "materialize", lambda df, label: written.setdefault(label, put(df, label)))
+    texts = corpus(12) + [" ".join(f"only{i}_{k}" for k in range(200)) for i in range(20)] + ["", None, "a"]
+    got = {(r.doc_a, r.doc_b): r.similarity for r in exact_pairs(frame(spark, texts), threshold).collect()}
+    s = [set(plain_shingles(t)) for t in texts]
+    want = {(a, b): len(x & y) / len(x | y) for a, x in enumerate(s) for b, y in enumerate(s) if a < b and x & y and len(x & y) / len(x | y) >= threshold}
+    assert got == pytest.approx(want) and want
+    held = written["held"].selectExpr("sum(size(s))").first()[0]
+    assert held == sum(any(g in o for k, o in enumerate(s) if k != i) for i, x in enumerate(s) for g in x)
