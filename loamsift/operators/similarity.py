@@ -233,8 +233,8 @@ def approximate_top_k(df: DataFrame, k: int, id_col: str = "vec_id", vector_col:
 
     def dealt(batches):
         for batch in batches:
-            if batch.num_rows:
-                ids, m = _matrix(batch)
+            for at in range(0, batch.num_rows, 512):  # every vector goes to all tables
+                ids, m = _matrix(batch.slice(at, 512))
                 code = ((m @ planes_of.T > 0).reshape(-1, tables, planes) * weights).sum(axis=2) + np.arange(tables) * (1 << planes)
                 yield _blobs(code.ravel(), ids, m, np.repeat(np.arange(len(ids)), tables), "bucket")
 
